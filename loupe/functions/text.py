@@ -69,7 +69,9 @@ def remove_stop_words(tokens, lang: str = DEFAULT_LANGUAGE, extra: tuple[str, ..
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when shorter than n)."""
+    """Space-joined n-grams of a token array (empty when shorter than n).
+
+    Pass a materialised column: the lambda reads ``tokens`` once per element."""
     t = _c(tokens)
     if n == 1:
         return t

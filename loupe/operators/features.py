@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (CountVectorizer, IDF, Normalizer, StringIndexer, VectorAssembler,
-                                ElementwiseProduct)
+                                ElementwiseProduct, NGram)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,8 +108,8 @@ def terms(df: DataFrame, id_col: str, text_cols, ngram_range=(1, 1), stop_words:
             sw = ()
         toks = F.filter(toks, lambda t: ~F.array_contains(F.array(*[F.lit(w) for w in (*sw, *extra_stop_words)]), t)) \
             if (sw or extra_stop_words) else toks
-    grams = TX.ngram_range(toks, *ngram_range)
-    return df.select(id_col, F.explode(grams).alias("term"))
+    with_grams = add_ngrams(df.select(id_col, toks.alias("_tok")), "_tok", "_grams", *ngram_range)
+    return with_grams.select(id_col, F.explode("_grams").alias("term"))
 
 
 def term_counts(df: DataFrame, id_col: str, text_cols, **kw) -> DataFrame:
@@ -196,7 +196,22 @@ def tokens_column(df: DataFrame, text_cols, out_col: str = "tokens", ngram_range
         toks = TX.tokenize(doc)
     if stop_words and not encrypt:
         toks = TX.remove_stop_words(toks, stop_words)
-    return df.withColumn(out_col, TX.ngram_range(toks, *ngram_range))
+    return add_ngrams(df.withColumn("_tok", toks), "_tok", out_col, *ngram_range).drop("_tok")
+
+
+def add_ngrams(df: DataFrame, tokens_col: str, out_col: str, lo: int = 1, hi: int = 1) -> DataFrame:
+    """N-grams lo..hi of a materialised token column via Spark ML ``NGram`` (JVM side;
+    a lambda over an unmaterialised token expression would re-tokenise per element)."""
+    parts = []
+    out = df
+    for n in range(lo, hi + 1):
+        if n == 1:
+            parts.append(F.col(tokens_col))
+        else:
+            out = NGram(n=n, inputCol=tokens_col, outputCol=f"_ng{n}").transform(out)
+            parts.append(F.col(f"_ng{n}"))
+    grams = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return out.withColumn(out_col, grams).drop(*[f"_ng{n}" for n in range(max(lo, 2), hi + 1)])
 
 
 def label_indexer(label_col: str, out_col: str = "label_idx") -> StringIndexer:

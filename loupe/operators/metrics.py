@@ -128,18 +128,22 @@ def cumulative_below(df: DataFrame, group: list[str], score: str, counts: list[s
 
 
 def _pair_scores(pred: DataFrame, k: int) -> DataFrame:
-    """Rows (a, b, s, pos, neg) for every ordered class pair, pre-aggregated by score value."""
-    pairs = [(a, b) for a in range(k) for b in range(k) if a != b] if k > 2 else [(1, 0)]
-    parts = []
-    for a, b in pairs:
-        sel = pred.filter(F.col(LABEL).isin(float(a), float(b)))
-        parts.append(sel.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(PROB)[a].alias("s"),
-                                (F.col(LABEL) == float(a)).cast("long").alias("pos"),
-                                (F.col(LABEL) == float(b)).cast("long").alias("neg")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("a", "b", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    """Rows (a, b, s, pos, neg) for every ordered class pair, pre-aggregated by score value.
+
+    One pass: a row of class y is a positive of every pair (y, b) scored by p[y], and a
+    negative of every pair (a, y) scored by p[a]; 2(k-1) exploded rows, no union per pair."""
+    y = F.col(LABEL).cast("int")
+    if k <= 2:
+        rows = pred.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col(PROB)[1].alias("s"),
+                           (y == 1).cast("long").alias("pos"), (y == 0).cast("long").alias("neg"))
+    else:
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: j != y)
+        as_pos = F.transform(others, lambda b: F.struct(y.alias("a"), b.alias("b"), F.element_at(F.col(PROB), y + 1).alias("s"),
+                                                        F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg")))
+        as_neg = F.transform(others, lambda a: F.struct(a.alias("a"), y.alias("b"), F.element_at(F.col(PROB), a + 1).alias("s"),
+                                                        F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg")))
+        rows = pred.select(F.explode(F.concat(as_pos, as_neg)).alias("r")).select("r.*")
+    return rows.groupBy("a", "b", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def auc_ovo(pred: DataFrame, k: int) -> DataFrame:
@@ -158,28 +162,28 @@ def auc_ovo(pred: DataFrame, k: int) -> DataFrame:
 
 
 def average_precision(pred: DataFrame, k: int) -> DataFrame:
-    """One-vs-rest average precision per class, then micro / macro / weighted."""
-    parts = []
-    classes = range(k) if k > 2 else [1]
-    for c in classes:
-        parts.append(pred.select(F.lit(c).alias("c"), (-F.col(PROB)[c]).alias("s"),
-                                 (F.col(LABEL) == float(c)).cast("long").alias("pos"),
-                                 (F.col(LABEL) != float(c)).cast("long").alias("neg")))
-    micro = pred.select(F.lit(-1).alias("c"), F.explode(F.arrays_zip(
-        F.col(PROB).alias("p"), F.sequence(F.lit(0), F.size(PROB) - 1).alias("j"))).alias("z"), LABEL)
-    micro = micro.select("c", (-F.col("z.p")).alias("s"), (F.col("z.j").cast("double") == F.col(LABEL)).cast("long").alias("pos"),
-                         (F.col("z.j").cast("double") != F.col(LABEL)).cast("long").alias("neg"))
-    u = parts[0]
-    for p in parts[1:] + [micro]:
-        u = u.unionByName(p)
-    agg = u.groupBy("c", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    """One-vs-rest average precision per class, then micro / macro / weighted.
+
+    Every (row, class) pair is exploded once and counted both for its class and for the
+    pooled micro curve (class -1)."""
+    classes = list(range(k)) if k > 2 else [1]
+    y = F.col(LABEL).cast("int")
+    cells = F.transform(F.array(*[F.lit(c) for c in classes]),
+                        lambda c: F.struct(c.alias("c"), (-F.element_at(F.col(PROB), c + 1)).alias("s"),
+                                           (c == y).cast("long").alias("pos"), (c != y).cast("long").alias("neg")))
+    ex = pred.select(F.explode(cells).alias("r")).select("r.*")
+    both = ex if k <= 2 else ex.select(F.explode(F.array(F.col("c"), F.lit(-1))).alias("c"), "s", "pos", "neg")
+    agg = both.groupBy("c", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cum = cumulative_below(agg, ["c"], "s", ["pos", "neg"])  # s = -score: "below" = strictly higher score
     tp = F.col("below_pos") + F.col("pos")
     fp = F.col("below_neg") + F.col("neg")
     per = cum.groupBy("c").agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("num"), F.sum("pos").alias("P"))
     ap = per.select("c", F.when(F.col("P") > 0, F.col("num") / F.col("P")).otherwise(0.0).alias("ap"), "P")
+    micro = F.max(F.when(F.col("c") == -1, F.col("ap")))
+    if k <= 2:
+        micro = F.max(F.when(F.col("c") == 1, F.col("ap")))
     return ap.agg(
-        F.max(F.when(F.col("c") == -1, F.col("ap"))).alias("average_precision_micro"),
+        micro.alias("average_precision_micro"),
         F.avg(F.when(F.col("c") >= 0, F.col("ap"))).alias("average_precision_macro"),
         (F.sum(F.when(F.col("c") >= 0, F.col("ap") * F.col("P"))) /
          F.sum(F.when(F.col("c") >= 0, F.col("P")))).alias("average_precision_weighted"))
