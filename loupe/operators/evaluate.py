@@ -50,13 +50,16 @@ def rates_summary(pred: DataFrame) -> DataFrame:
     return pred.agg(F.avg(RATE).alias("mean_rate"), F.stddev_pop(RATE).alias("std_rate"))
 
 
-def prediction_results(pred: DataFrame, id_col: str, labels: list[str]) -> DataFrame:
-    """Key, predicted label, rate, probabilities as CSV text (-1 per class when absent)."""
+def prediction_results(pred: DataFrame, id_col: str, labels: list[str], fmt: str | None = None) -> DataFrame:
+    """Key, predicted label, rate, probabilities as CSV text (-1 per class when absent).
+
+    ``fmt`` (e.g. '%.6f') fixes the number format of the probability text."""
     k = len(labels)
     probs = F.coalesce(F.col(PROB), F.array_repeat(F.lit(-1.0), k))
+    as_text = (lambda p: p.cast("string")) if fmt is None else (lambda p: F.format_string(fmt, p))
     return pred.select(F.col(id_col).alias("unique_key"), idx_to_label(labels, PRED).alias("class_result"),
                        F.col(RATE).alias("class_rate"),
-                       F.array_join(F.transform(probs, lambda p: p.cast("string")), ",").alias("class_probabilities"))
+                       F.array_join(F.transform(probs, as_text), ",").alias("class_probabilities"))
 
 
 def mispredicted(cross: DataFrame, retrained: DataFrame, id_col: str, labels: list[str], top: int = 50,

@@ -144,13 +144,15 @@ def _neighbour_labels(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
     return keyed.join(agg, "_key", "left")
 
 
-def edited_nn(df: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
-    """U4 ENN: drop rows of non-minority classes whose neighbours' majority vote disagrees."""
+def edited_nn(df: DataFrame, k: int = 3, seed: int = 7, kind_sel: str = "all") -> DataFrame:
+    """U4 ENN: rows of non-minority classes are dropped when their k nearest neighbours do not
+    all share their class (``kind_sel='mode'``: when the majority vote disagrees)."""
     sizes = class_sizes(df)
     minority = min(sizes, key=lambda c: (sizes[c], c))
     j = _neighbour_labels(df, k, seed)
     same = F.size(F.filter(F.col("_nbrs"), lambda s: s["_ny"] == F.col(LABEL)))
-    keep = (F.col(LABEL) == minority) | (same * 2 > F.size(F.col("_nbrs")))
+    agree = (same == F.size(F.col("_nbrs"))) if kind_sel == "all" else (same * 2 > F.size(F.col("_nbrs")))
+    keep = (F.col(LABEL) == minority) | agree
     return j.filter(keep).select(*df.columns)
 
 
