@@ -530,7 +530,7 @@ def _n_rows(train: DataFrame) -> int:
 def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: int = 42, **kw) -> Fitted:
     L = dict(featuresCol=FEATURES, labelCol=LABEL)
     if code in ("LRN", "SGDE_LOG"):
-        return SparkFitted(C.LogisticRegression(maxIter=max_iter, regParam=1.0 / _n_rows(train), **L).fit(train))
+        return SparkFitted(C.LogisticRegression(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L).fit(train))
     if code == "DTC":
         return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", 10), seed=seed, **L).fit(train))
     if code == "RFCL":
@@ -538,7 +538,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
     if code in ("GBC", "HIST"):
         return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", 20), maxDepth=3, seed=seed, **L), train, k)
     if code in ("LSVC", "SVC", "SGDE"):
-        return fit_ovr(lambda: C.LinearSVC(maxIter=max_iter, regParam=1.0 / _n_rows(train), **L), train, k,
+        return fit_ovr(lambda: C.LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L), train, k,
                        has_probability=False)
     if code == "SLSV":
         l1 = C.LogisticRegression(maxIter=max_iter, regParam=0.01, elasticNetParam=1.0, **L).fit(train)

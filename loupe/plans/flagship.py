@@ -77,7 +77,7 @@ def run(df: DataFrame, spec: SpotCheckSpec, spot: bool = True, parallelism: int
     cross = FittedCandidate(*best, p.train(), k, spec.oversampler, spec.undersampler, spec.seed)
     retrained = FittedCandidate(*best, p.labelled(), k, spec.oversampler, spec.undersampler, spec.seed)
     t["final_fit"] = time.time() - t0
-    test_pred = E.with_rate(cross.transform(p.test()))
+    test_pred = E.with_rate(cross.transform(p.test())).persist()
     report = M.classification_report(test_pred, p.labels)
     if not cross.has_probability:
         test_pred = E.fallback_rates(test_pred, report, p.labels)

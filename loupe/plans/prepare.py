@@ -73,20 +73,28 @@ def prepare(df: DataFrame, spec: SpotCheckSpec, persist: bool = True) -> Prepare
     base = (base.withColumn("label_idx", label_to_idx(labels, t.label))
             .withColumn("split", F.when(labelled, split_column(spec.seed, t.id, spec.test_size)).otherwise("predict"))
             .withColumn("fold", F.when(labelled, fold_column(spec.fold_seed, t.id, n_folds))))
-    train_rows = base.filter(F.col("split") == "train")
     conv: dict = {}
     feature_cols: list[str] = []
+    text_cols = list(t.text)
 
-    # numeric columns: whole-column typing, then missing -> 0
+    # numeric columns: whole-column typing (one aggregate on training rows), then missing -> 0
     if t.numeric:
-        decisions = infer_types(train_rows, list(t.numeric))
+        decisions = infer_types(base.filter(F.col("split") == "train"), list(t.numeric))
         base = apply_types(base, decisions, keep=[c for c in base.columns if c not in t.numeric])
         for c in t.numeric:
             base = base.withColumn(c, clean.impute_zero(c))
         feature_cols += list(t.numeric)
 
+    # the cleaned (and tokenised) base is read by every converter fit: persist it once,
+    # spilling to disk, and release it when the modelling frame is materialised
+    lang = spec.language
+    if text_cols and spec.stop_words and not lang:
+        lang = X.dominant_language(base.filter(F.col("split") == "train"), text_cols[0])
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    src = base
+    train_rows = base.filter(F.col("split") == "train")
+
     # category columns: declared ones plus text columns with few values
-    text_cols = list(t.text)
     cats = list(t.categorical)
     if spec.categorize and spec.train and text_cols:
         auto = X.categorical_columns(train_rows, text_cols, spec.category_limit)
@@ -99,21 +107,24 @@ def prepare(df: DataFrame, spec: SpotCheckSpec, persist: bool = True) -> Prepare
 
     # text: one document per row -> terms -> TF-IDF fitted on training rows
     if text_cols:
-        lang = spec.language
-        if spec.stop_words and not lang:
-            lang = X.dominant_language(train_rows, text_cols[0])
-        base = X.tokens_column(base, text_cols, "tokens", spec.ngram_range, lang if spec.stop_words else None,
-                               spec.encrypt_text)
-        tfidf = X.fit_tf_idf(base.filter(F.col("split") == "train"), "tokens", "text_features",
+        tok = X.tokens_column(src, text_cols, "tokens", spec.ngram_range, lang if spec.stop_words else None,
+                              spec.encrypt_text).select(t.id, "tokens").persist(StorageLevel.MEMORY_AND_DISK)
+        tfidf = X.fit_tf_idf(tok.join(train_rows.select(t.id), t.id, "left_semi"), "tokens", "text_features",
                              max_df=spec.max_df, vocab_size=spec.extra.get("vocab_size", 1 << 18))
-        base = tfidf.transform(base).drop("tokens")
+        base = base.join(tfidf.transform(tok).drop("tokens"), t.id, "left")
         conv["tfidf"] = tfidf
         conv["language"] = lang
         feature_cols.append("text_features")
+    else:
+        tok = None
 
     frame = X.assemble(base, feature_cols, "features").select(
         F.col(t.id).alias(t.id), F.col(t.label).alias("label"), "label_idx", "split", "fold", "features")
     if persist:
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+        frame.count()
+        src.unpersist()
+        if tok is not None:
+            tok.unpersist()
     conv["feature_cols"] = feature_cols
     return Prepared(frame, labels, n_folds, t.id, conv)
