@@ -14,6 +14,7 @@ parameters (k x d) on the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 from typing import Callable
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from loupe.session import cut_lineage
 
 FEATURES, LABEL, PRED, PROB, WEIGHT = "features", "label_idx", "prediction", "probability", "weight"
+_TAGS = itertools.count()  # unique scratch-column prefixes, so nested ensembles do not collide
 
 
 # ------------------------------------------------------------------ helpers
@@ -233,6 +235,33 @@ def fit_gaussian_nb(train: DataFrame, k: int, var_smoothing: float = 1e-9, **_)
     return ScoreFitted(score)
 
 
+def fit_count_nb(train: DataFrame, k: int, alpha: float = 1.0, complement: bool = False, **_) -> Fitted:
+    """A15 multinomial / A17 complement naive Bayes from per-class feature sums (one grouped
+    aggregate).  Scores are linear in x, so rows with negative values (e.g. test rows below
+    the training minimum after min-max scaling) are scored, not rejected; training rows must
+    be non-negative.  Complement weights are not normalised."""
+    rows = (train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"),
+                                     Summarizer.metrics("sum", "min").summary(F.col(FEATURES)).alias("s"))
+            .collect())
+    d = len(rows[0]["s"]["sum"])
+    n, S = np.zeros(k), np.zeros((k, d))
+    for r in rows:
+        if float(r["s"]["min"].toArray().min()) < 0:
+            raise ValueError("Negative values in data passed to a count naive Bayes")
+        n[int(r[LABEL])] = r["n"]
+        S[int(r[LABEL])] = r["s"]["sum"].toArray()
+    spark = train.sparkSession
+    if complement:
+        comp = S.sum(axis=0, keepdims=True) - S + alpha
+        W = -np.log(comp / comp.sum(axis=1, keepdims=True))
+        b = np.log(np.maximum(n, 1e-300) / n.sum()) if k == 1 else np.zeros(k)
+        return LinearScoreFitted(spark, b, W)
+    W = np.log((S + alpha) / (S.sum(axis=1, keepdims=True) + alpha * d))
+    with np.errstate(divide="ignore"):
+        b = np.log(n / n.sum())
+    return LinearScoreFitted(spark, b, W)
+
+
 def _pooled_covariance(train: DataFrame, mu: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Within-class scatter / (n - k): one treeAggregate-backed Summarizer job on centred rows."""
     from pyspark.ml.stat import Correlation  # noqa: F401  (keeps ml.stat imported)
@@ -349,6 +378,7 @@ class Averaged(Fitted):
         self.members, self.k, self.hard = members, k, hard
         self.weights = weights or [1.0] * len(members)
         self.has_probability = not hard
+        self.tag = f"_m{next(_TAGS)}_"
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df.drop(PRED, PROB)
@@ -357,20 +387,20 @@ class Averaged(Fitted):
             if self.hard:
                 one_hot = F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)),
                                       lambda j: F.when(j == F.col(PRED).cast("int"), 1.0).otherwise(0.0))
-                t = t.withColumn(f"_m{i}", one_hot)
+                t = t.withColumn(f"{self.tag}{i}", one_hot)
             else:
                 p = F.coalesce(F.col(PROB), F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)),
                                                          lambda j: F.when(j == F.col(PRED).cast("int"), 1.0).otherwise(0.0)))
-                t = t.withColumn(f"_m{i}", p)
+                t = t.withColumn(f"{self.tag}{i}", p)
             out = t.drop(PRED, PROB)
         acc = None
         wsum = float(sum(self.weights))
         for i, w in enumerate(self.weights):
-            term = F.transform(F.col(f"_m{i}"), lambda v: v * F.lit(w / wsum))
+            term = F.transform(F.col(f"{self.tag}{i}"), lambda v: v * F.lit(w / wsum))
             acc = term if acc is None else F.zip_with(acc, term, lambda a, b: a + b)
-        out = out.withColumn("_avg", acc).withColumn(PRED, argmax(F.col("_avg")))
-        out = out.withColumn(PROB, F.col("_avg") if not self.hard else F.lit(None).cast("array<double>"))
-        return out.drop("_avg", *[f"_m{i}" for i in range(len(self.members))])
+        out = out.withColumn(self.tag + "avg", acc).withColumn(PRED, argmax(F.col(self.tag + "avg")))
+        out = out.withColumn(PROB, F.col(self.tag + "avg") if not self.hard else F.lit(None).cast("array<double>"))
+        return out.drop(self.tag + "avg", *[f"{self.tag}{i}" for i in range(len(self.members))])
 
 
 def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, undersample: bool = False, **_) -> Fitted:
@@ -380,7 +410,7 @@ def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, unde
     column update grows the plan, so lineage is cut with a reliable checkpoint every 10 rounds.
     """
     from loupe.operators.resample import random_undersample
-    df = train.withColumn(WEIGHT, F.lit(1.0))
+    df = train.select(FEATURES, LABEL).withColumn(WEIGHT, F.lit(1.0)).persist()
     members, alphas = [], []
     for r in range(rounds):
         fit_on = random_undersample(df, seed=seed + r) if undersample else df
@@ -397,33 +427,37 @@ def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, unde
         alphas.append(alpha)
         if err <= 0:
             break
+        prev = df
         df = scored.withColumn(WEIGHT, F.when(F.col(PRED) != F.col(LABEL), F.col(WEIGHT) * math.exp(alpha))
                                .otherwise(F.col(WEIGHT))).drop(PRED, PROB, "rawPrediction")
-        if (r + 1) % 10 == 0:
-            df = cut_lineage(df)
+        # each round's weights are read by several passes of the next fit: keep them cached,
+        # and cut the lineage reliably every 10 rounds so a lost executor replays little
+        df = cut_lineage(df) if (r + 1) % 10 == 0 else df.persist()
+        prev.unpersist()
     if not members:
         return fit_dummy(train, k)
 
     class Boosted(Fitted):
         has_probability = True
 
+        tag = f"_b{next(_TAGS)}_"
+
         def transform(self, d: DataFrame) -> DataFrame:
-            avg = Averaged(members, k, weights=alphas, hard=True)
+            tag = self.tag
             # hard votes weighted by alpha, then softmax-free normalisation into a probability
             out = d.drop(PRED, PROB)
             for i, mm in enumerate(members):
                 t = mm.transform(out)
                 one_hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                                       lambda j: F.when(j == F.col(PRED).cast("int"), F.lit(alphas[i])).otherwise(0.0))
-                out = t.withColumn(f"_m{i}", one_hot).drop(PRED, PROB)
-            acc = F.col("_m0")
+                out = t.withColumn(f"{tag}{i}", one_hot).drop(PRED, PROB)
+            acc = F.col(f"{tag}0")
             for i in range(1, len(members)):
-                acc = F.zip_with(acc, F.col(f"_m{i}"), lambda a, b: a + b)
+                acc = F.zip_with(acc, F.col(f"{tag}{i}"), lambda a, b: a + b)
             tot = float(sum(alphas))
-            out = out.withColumn("_s", F.transform(acc, lambda v: v / F.lit(tot)))
-            del avg
-            return (out.withColumn(PRED, argmax(F.col("_s"))).withColumn(PROB, F.col("_s"))
-                    .drop("_s", *[f"_m{i}" for i in range(len(members))]))
+            out = out.withColumn(tag + "s", F.transform(acc, lambda v: v / F.lit(tot)))
+            return (out.withColumn(PRED, argmax(F.col(tag + "s"))).withColumn(PROB, F.col(tag + "s"))
+                    .drop(tag + "s", *[f"{tag}{i}" for i in range(len(members))]))
     return Boosted()
 
 
@@ -556,8 +590,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
                 return inner.transform(slicer.transform(d)).drop("_sliced")
         return Sliced()
     if code in ("MNB", "CNB"):
-        mt = "multinomial" if code == "MNB" else "complement"
-        return SparkFitted(C.NaiveBayes(modelType=mt, smoothing=1.0, **L).fit(train))
+        return fit_count_nb(train, k, complement=(code == "CNB"))
     if code == "BNB":
         b = Binarizer(threshold=0.0, inputCol=FEATURES, outputCol="_bin_features")
         m = C.NaiveBayes(modelType="bernoulli", smoothing=1.0, featuresCol="_bin_features", labelCol=LABEL).fit(

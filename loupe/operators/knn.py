@@ -42,8 +42,8 @@ def _dist(a: Column, b: Column) -> Column:
 
 def _buckets(right: DataFrame, n_right: int):
     nb = max(1, int(math.ceil(n_right / BUCKET_ROWS)))
-    if nb == 1:
-        return [-math.inf, math.inf]
+    if nb == 1:  # Bucketizer needs two buckets at least; any inner cut keeps the join exact
+        return [-math.inf, 0.0, math.inf]
     qs = right.approxQuantile("_t", [i / nb for i in range(1, nb)], 0.001)
     cuts = sorted(set(qs))
     return [-math.inf, *cuts, math.inf]

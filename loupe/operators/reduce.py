@@ -17,8 +17,10 @@ import math
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = "features"
 VARIANCE_SHARE = 0.95  # fixed value
@@ -51,6 +53,35 @@ def _matmul(df: DataFrame, M: np.ndarray, shift: np.ndarray | None = None) -> Da
     return df.withColumn(FEATURES, array_to_vector(out))
 
 
+def batch_sums(df: DataFrame, fn, size: int) -> np.ndarray:
+    """Sum ``fn(X)`` (a 1-d array of ``size``) over the rows' feature matrix, one Arrow batch
+    at a time.  Each batch emits one partial; the partials are added by ``Summarizer`` with
+    map-side partial aggregation, so neither rows nor per-batch partials reach the driver."""
+    def part(batches):
+        import pandas as pd
+        for pdf in batches:
+            if len(pdf):
+                X = np.stack(pdf["x"].to_numpy()).astype(float)
+                yield pd.DataFrame({"p": [np.asarray(fn(X), dtype=float).ravel().tolist()]})
+    parts = df.select(vector_to_array(F.col(FEATURES)).alias("x")).mapInPandas(part, "p array<double>")
+    r = parts.select(Summarizer.sum(array_to_vector(F.col("p"))).alias("s")).first()["s"]
+    return np.zeros(size) if r is None else r.toArray()
+
+
+def batch_map(df: DataFrame, fn) -> DataFrame:
+    """Replace ``features`` by ``fn(X)`` row-wise on Arrow batches (numpy inside the task)."""
+    base = df.withColumn(FEATURES, vector_to_array(F.col(FEATURES)))
+    schema = base.schema
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                X = np.stack(pdf[FEATURES].to_numpy()).astype(float)
+                pdf[FEATURES] = list(np.asarray(fn(X), dtype=float))
+            yield pdf
+    return base.mapInPandas(run, schema).withColumn(FEATURES, array_to_vector(F.col(FEATURES)))
+
+
 def fit_pca(train: DataFrame, n: int | None = None) -> FittedReduction:
     d = _dim(train)
     k_max = min(d, max(1, train.count() - 1))
@@ -111,42 +142,41 @@ def fit_nystroem(train: DataFrame, n: int | None = None, seed: int = 42, gamma:
     return FittedReduction(tr, len(Z))
 
 
-def fit_fica(train: DataFrame, n: int | None = None, seed: int = 42, iters: int = 50) -> FittedReduction:
-    """Whitening by PCA, then symmetric FastICA (logcosh); each iteration is one aggregate."""
+def fit_fica(train: DataFrame, n: int | None = None, seed: int = 42, iters: int = 200, tol: float = 1e-4) -> FittedReduction:
+    """Whitening by PCA, then symmetric FastICA (logcosh).  Each fixed-point iteration is
+    one distributed pass: per batch, G = tanh(X W^T) gives partial sums of G^T X and
+    sum(1 - G^2); only k x k numbers come back."""
     pca = fit_pca(train, n)
     w = pca.transform(train)
     k = pca.components
-    stats = w.select(vector_to_array(F.col(FEATURES)).alias("x")).select(
-        *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k)]).first()
-    sd = np.array([stats[f"s{i}"] or 1.0 for i in range(k)])
-    white = w.select(array_to_vector(F.transform(vector_to_array(F.col(FEATURES)),
-                                                 lambda v, i: v / F.element_at(F.array(*[F.lit(float(s)) for s in sd]), i + 1)))
-                     .alias(FEATURES)).cache()
+    mom = batch_sums(w, lambda X: np.concatenate([[len(X)], X.sum(axis=0), (X * X).sum(axis=0)]), 2 * k + 1)
+    n_rows = max(mom[0], 1.0)
+    sd = np.sqrt(np.maximum(mom[1 + k:] / n_rows - (mom[1:1 + k] / n_rows) ** 2, 0.0))
+    sd = np.where(sd > 0, sd, 1.0)
+    white = batch_map(w, lambda X: X / sd).persist()
     rng = np.random.default_rng(seed)
     W = np.linalg.qr(rng.normal(size=(k, k)))[0]
-    n_rows = white.count()
+
+    def step(Wc):
+        def fn(X):
+            G = np.tanh(X @ Wc.T)
+            return np.concatenate([(G.T @ X).ravel(), (1 - G * G).sum(axis=0)])
+        return fn
     for _ in range(iters):
-        x = vector_to_array(F.col(FEATURES))
-        aggs = []
-        for i in range(k):
-            wi = F.array(*[F.lit(float(v)) for v in W[i]])
-            u = F.aggregate(F.zip_with(x, wi, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-            g = F.tanh(u)
-            aggs.append(F.array(*[F.sum(g * x[j]) for j in range(k)]).alias(f"a{i}"))
-            aggs.append(F.sum(1 - g * g).alias(f"b{i}"))
-        r = white.agg(*aggs).first()
-        W_new = np.array([np.array(r[f"a{i}"]) / n_rows - (r[f"b{i}"] / n_rows) * W[i] for i in range(k)])
-        u_, s_, vt_ = np.linalg.svd(W_new)
+        r = batch_sums(white, step(W), k * k + k)
+        a, b = r[:k * k].reshape(k, k) / n_rows, r[k * k:] / n_rows
+        W_new = a - b[:, None] * W
+        u_, _s, vt_ = np.linalg.svd(W_new)
         W_new = u_ @ vt_
-        if np.max(np.abs(np.abs(np.diag(W_new @ W.T)) - 1)) < 1e-4:
-            W = W_new
-            break
+        done = np.max(np.abs(np.abs(np.diag(W_new @ W.T)) - 1)) < tol
         W = W_new
+        if done:
+            break
     white.unpersist()
     M = (W / sd[None, :]).T  # applied after the PCA projection
 
     def tr(df: DataFrame) -> DataFrame:
-        return _matmul(pca.transform(df), M)
+        return batch_map(pca.transform(df), lambda X: X @ M)
     return FittedReduction(tr, k)
 
 
@@ -194,42 +224,59 @@ def fit_rfe(train: DataFrame, k: int, algorithm: str, labels_metric=None) -> Fit
     return FittedReduction(lambda df: sl.transform(df).drop(FEATURES).withColumnRenamed("_s", FEATURES), len(keep))
 
 
-def fit_nmf(train: DataFrame, n: int | None = None, iters: int = 100, seed: int = 42) -> FittedReduction:
-    """Non-negative factorisation X ~ W H by multiplicative updates; H (m x d) lives on the
-    driver, W is per row.  The transform solves W for new rows with H fixed (a few updates as
-    column expressions)."""
+def _nmf_project(X: np.ndarray, H: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Non-negative codes W for rows X with H fixed (multiplicative updates)."""
+    HHt = H @ H.T
+    XHt = np.maximum(X @ H.T, 0.0)
+    W = XHt / max(float(np.trace(HHt)), 1e-12) + 1e-6
+    for _ in range(steps):
+        W = W * XHt / (W @ HHt + 1e-12)
+    return W
+
+
+def fit_nmf(train: DataFrame, n: int | None = None, iters: int = 100, seed: int = 42,
+            target_error: float = 0.05) -> FittedReduction:
+    """Non-negative factorisation X ~ W H.  H (m x d) lives on the driver; every update
+    is one distributed pass whose batches project their rows on H and return partial W^T X
+    and W^T W.  Like the reference's helper, the component count doubles (from 2) until the
+    relative reconstruction error drops below 5 % or reaches d, unless ``n`` is given."""
     d = _dim(train)
-    m = n or min(d, 10)
-    rng = np.random.default_rng(seed)
-    H = np.abs(rng.normal(size=(m, d))) + 1e-3
-    x = vector_to_array(F.col(FEATURES))
-    base = train.select(x.alias("x")).cache()
-
-    def project(col_x, Hm: np.ndarray, steps: int = 30):
-        HHt = Hm @ Hm.T
-        Hl = [F.array(*[F.lit(float(v)) for v in Hm[j]]) for j in range(m)]
-        XHt = F.array(*[F.aggregate(F.zip_with(col_x, h, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for h in Hl])
-        w = F.transform(XHt, lambda v: F.greatest(v, F.lit(0.0)) / F.lit(float(max(HHt.trace(), 1e-12))) + F.lit(1e-6))
-        for _ in range(steps):
-            denom = F.array(*[F.aggregate(F.zip_with(w, F.array(*[F.lit(float(v)) for v in HHt[j]]), lambda a, b: a * b),
-                                          F.lit(0.0), lambda s, v: s + v) for j in range(m)])
-            w = F.zip_with(F.zip_with(w, XHt, lambda a, b: a * b), denom, lambda a, b: a / (b + F.lit(1e-12)))
-        return w
-
-    for _ in range(max(1, iters // 10)):
-        w = project(F.col("x"), H)
-        agg = base.select(w.alias("w"), "x").agg(
-            *[F.array(*[F.sum(F.col("w")[i] * F.col("x")[j]) for j in range(d)]).alias(f"n{i}") for i in range(m)],
-            *[F.array(*[F.sum(F.col("w")[i] * F.col("w")[j]) for j in range(m)]).alias(f"g{i}") for i in range(m)]).first()
-        WtX = np.array([agg[f"n{i}"] for i in range(m)])
-        WtW = np.array([agg[f"g{i}"] for i in range(m)])
-        H = H * WtX / (WtW @ H + 1e-12)
+    base = train.select(FEATURES).persist()
+    lowest = base.select(F.min(F.array_min(vector_to_array(F.col(FEATURES)))).alias("m")).first()["m"]
+    if lowest is not None and lowest < 0:
+        raise ValueError("Negative values in data passed to NMF")
+    norm_x = float(np.sqrt(batch_sums(base, lambda X: np.array([(X * X).sum()]), 1)[0])) or 1.0
+
+    def fit_h(m):
+        H = np.abs(np.random.default_rng(seed).normal(size=(m, d))) + 1e-3
+        for _ in range(max(1, iters // 10)):
+            Hc = H
+
+            def fn(X, Hc=Hc):
+                Wr = _nmf_project(X, Hc)
+                return np.concatenate([(Wr.T @ X).ravel(), (Wr.T @ Wr).ravel()])
+            r = batch_sums(base, fn, m * d + m * m)
+            WtX, WtW = r[:m * d].reshape(m, d), r[m * d:].reshape(m, m)
+            H = H * WtX / (WtW @ H + 1e-12)
+        Hc = H
+        err = np.sqrt(batch_sums(base, lambda X: np.array([((X - _nmf_project(X, Hc) @ Hc) ** 2).sum()]), 1)[0])
+        return H, err / norm_x
+
+    if n:
+        H, _ = fit_h(n)
+    else:
+        m = min(2, d)
+        while True:
+            H, rel = fit_h(m)
+            if rel < target_error or m >= d:
+                break
+            m = min(d, m * 2)
     base.unpersist()
     Hf = H
 
     def tr(df: DataFrame) -> DataFrame:
-        return df.withColumn(FEATURES, array_to_vector(project(vector_to_array(F.col(FEATURES)), Hf)))
-    return FittedReduction(tr, m)
+        return batch_map(df, lambda X: _nmf_project(X, Hf))
+    return FittedReduction(tr, Hf.shape[0])
 
 
 def fit_reduction(code: str, train: DataFrame, k: int, algorithm: str | None = None, n: int | None = None) -> FittedReduction:

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from loupe.plans import queries_tables, queries_model, queries_more  # noqa: F401
+    from loupe.plans import queries_tables, queries_model, queries_more, queries_learners  # noqa: F401
