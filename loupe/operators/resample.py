@@ -212,8 +212,10 @@ def near_miss(df: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
 
 
 def cluster_centroids(df: DataFrame, seed: int = 0) -> DataFrame:
-    """Each majority class replaced by n_min KMeans centroids."""
+    """Each majority class replaced by the means of n_min KMeans clusters.  Centroids are
+    computed by a grouped aggregate over the assigned rows, so they stay distributed."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.stat import Summarizer
     sizes = class_sizes(df)
     n_min = min(sizes.values())
     out = None
@@ -221,10 +223,8 @@ def cluster_centroids(df: DataFrame, seed: int = 0) -> DataFrame:
         cls = df.filter(F.col(LABEL) == c)
         if n > n_min:
             km = KMeans(k=n_min, seed=seed, featuresCol=FEATURES, predictionCol="_cl").fit(cls)
-            cents = [(v, c) for v in km.clusterCenters()]
-            from pyspark.ml.linalg import Vectors
-            part = df.sparkSession.createDataFrame([(Vectors.dense(v), float(c)) for v, c in cents],
-                                                   f"{FEATURES} vector, {LABEL} double")
+            part = (km.transform(cls).groupBy("_cl").agg(Summarizer.mean(F.col(FEATURES)).alias(FEATURES))
+                    .withColumn(LABEL, F.lit(float(c))))
             for col in df.columns:
                 if col not in (FEATURES, LABEL):
                     part = part.withColumn(col, F.lit(None).cast(df.schema[col].dataType))
