@@ -17,11 +17,12 @@ MISSING_TOKENS = ["", "nan", "None", "NaT", "<NA>"]
 # The ISO date shape that may turn a column into day ordinals.
 ISO_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d+)?)?$"
 
-# date/time formats tried in this order, first match wins (Spark pattern letters).
+# date/time formats tried in this order, first match wins.  Single pattern
+# letters accept one or two digits, as strptime's %d %m %H %M %S do.
 DATETIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss,SSSSSS",
-    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss.SSSSSS", "dd/MM/yyyy HH:mm:ss,SSSSSS",
-    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss.SSSSSS", "MM/dd/yyyy HH:mm:ss,SSSSSS",
+    "yyyy-M-d H:m:s", "yyyy-M-d", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d H:m:s,SSSSSS",
+    "d/M/yyyy H:m:s", "d/M/yyyy", "d/M/yyyy H:m:s.SSSSSS", "d/M/yyyy H:m:s,SSSSSS",
+    "M/d/yyyy H:m:s", "M/d/yyyy", "M/d/yyyy H:m:s.SSSSSS", "M/d/yyyy H:m:s,SSSSSS",
 ]
 
 ORDINAL_EPOCH = "0001-01-01"  # day ordinal 1
