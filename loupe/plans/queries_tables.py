@@ -425,3 +425,58 @@ def q_p19(spark, sf):
     c = S.load(spark, sf, "customer")
     return c.filter(split.stratified_sample(7, "c_custkey", 0.3)).groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- P2-P4, P9, S12, F3
+_MISSING_SQL = "({c} IS NULL OR trim({c}) IN ('', 'nan', 'None', 'NaT', '<NA>') OR lower(trim({c})) = 'nan')"
+
+
+@query("P2_is_missing", f"""
+SELECT event_id, {_MISSING_SQL.format(c='props')} AS props_missing, {_MISSING_SQL.format(c='event_type')} AS type_missing
+FROM events""")
+def q_p2(spark, sf):
+    e = S.load(spark, sf, "events")
+    return e.select("event_id", clean.is_missing("props").alias("props_missing"),
+                    clean.is_missing("event_type").alias("type_missing"))
+
+
+@query("P3_standardise_decimal", """
+SELECT event_id, replace(replace(props, ' ', ''), ',', '.') AS props_std FROM events""")
+def q_p3(spark, sf):
+    e = S.load(spark, sf, "events")
+    return e.select("event_id", clean.standardise_decimal("props").alias("props_std"))
+
+
+@query("P4_iso_date_shape", rf"""
+SELECT o_orderkey, regexp_matches(CAST(o_orderdate AS VARCHAR), '{clean.ISO_DATE_PATTERN}') AS date_is_iso,
+       regexp_matches(o_orderstatus, '{clean.ISO_DATE_PATTERN}') AS status_is_iso FROM orders""")
+def q_p4(spark, sf):
+    o = S.load(spark, sf, "orders")
+    return o.select("o_orderkey", clean.iso_date_shape("o_orderdate").alias("date_is_iso"),
+                    clean.iso_date_shape("o_orderstatus").alias("status_is_iso"))
+
+
+@query("P9_text_as_string", """
+SELECT conv_id, turn, coalesce(CAST(role AS VARCHAR), 'None') AS role, coalesce(CAST(text AS VARCHAR), 'None') AS text
+FROM conversations""")
+def q_p9(spark, sf):
+    c = S.load(spark, sf, "conversations")
+    return c.select("conv_id", "turn", clean.text_as_string("role").alias("role"), clean.text_as_string("text").alias("text"))
+
+
+_SCHEMA_TABLES = ["documents", "labels", "embeddings", "events", "orders"]
+
+
+@query("S12_table_columns", f"""
+SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS position FROM information_schema.columns
+WHERE table_name IN ({", ".join(f"'{t}'" for t in _SCHEMA_TABLES)})""")
+def q_s12(spark, sf):
+    rows = [(t, c, i + 1) for t in _SCHEMA_TABLES for i, c in enumerate(S.load(spark, sf, t).columns)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position bigint")
+
+
+@query("F3_datatypes")
+def q_f3(spark, sf):
+    """Spark data type of every column of the given tables (metadata only, no scan)."""
+    rows = [(t, f.name, f.dataType.simpleString()) for t in _SCHEMA_TABLES for f in S.load(spark, sf, t).schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
