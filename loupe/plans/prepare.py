@@ -90,6 +90,12 @@ def prepare(df: DataFrame, spec: SpotCheckSpec, persist: bool = True) -> Prepare
     lang = spec.language
     if text_cols and spec.stop_words and not lang:
         lang = X.dominant_language(base.filter(F.col("split") == "train"), text_cols[0])
+    # a small table stored as one or two files would run every later pass (tokenising, each
+    # optimiser iteration) on that many tasks: spread it over the cores by key.  A large
+    # table already has at least that many scan partitions and keeps them (no shuffle).
+    par = base.sparkSession.sparkContext.defaultParallelism
+    if base.rdd.getNumPartitions() < par:
+        base = base.repartition(par, t.id)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     src = base
     train_rows = base.filter(F.col("split") == "train")
