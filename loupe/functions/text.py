@@ -3,8 +3,9 @@
 Tokens follow the usual bag-of-words rule "lower-case runs of two or more word characters".
 The word class is spelled out as ``[\\p{L}\\p{N}_]`` so that the JVM regex and DuckDB's RE2 agree
 on non-ASCII letters.  Stop-word lists are the ones shipped inside Spark ML
-(``StopWordsRemover.loadDefaultStopWords``); they are read from the Spark jar so the same list
-can be written into SQL for the oracles without a running JVM.
+(``StopWordsRemover.loadDefaultStopWords``), asked from the running session wherever its jars
+lie; without a session they are read from the jars of SPARK_HOME or of the pyspark package.
+Nothing is loaded at import.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import glob
 import os
 import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,18 +31,33 @@ LANGUAGES = {
 DEFAULT_LANGUAGE = "sv"
 
 
+def _stop_words_of_session(name: str) -> list[str] | None:
+    """The list as the running JVM has it; None without a session."""
+    if SparkContext._active_spark_context is None:
+        return None
+    from pyspark.ml.feature import StopWordsRemover
+    return StopWordsRemover.loadDefaultStopWords(name)
+
+
+def _stop_words_of_jars(name: str) -> list[str] | None:
+    """The list from a Spark ML jar on this machine; None where there is no such jar."""
+    import pyspark
+    homes = [os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)]
+    for jar in (j for h in homes if h for j in sorted(glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar")))):
+        with zipfile.ZipFile(jar) as z:
+            return z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8").split()
+    return None
+
+
 @functools.lru_cache(maxsize=None)
 def stop_words(lang: str) -> tuple[str, ...]:
     """Spark ML's default stop words for a language code or name."""
     name = LANGUAGES.get(lang, lang)
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-    seen: dict[str, None] = {}
-    for w in raw.split():
-        seen.setdefault(w, None)
-    return tuple(seen)
+    for source in (_stop_words_of_session, _stop_words_of_jars):
+        words = source(name)
+        if words:
+            return tuple(dict.fromkeys(words))
+    raise RuntimeError(f"no Spark session and no Spark ML jar to read the {name} stop words from")
 
 
 def _c(c) -> Column:

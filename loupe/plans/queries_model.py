@@ -122,9 +122,13 @@ def q_x4(spark, sf):
                     F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
-@query("X5_remove_stop_words", rf"""
+def _x5_sql():
+    return rf"""
 SELECT doc_id, CAST(len(list_filter(t, lambda w: NOT list_contains({TX.sql_string_list(TX.stop_words('en'))}, w))) AS BIGINT) AS n_kept
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM documents)""")
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM documents)"""
+
+
+@query("X5_remove_stop_words", _x5_sql)
 def q_x5(spark, sf):
     d = S.load(spark, sf, "documents")
     return d.select("doc_id", F.size(TX.remove_stop_words(TX.tokenize("text"), "en")).cast("bigint").alias("n_kept"))

@@ -223,12 +223,16 @@ def _stop_table_sql(langs):
     return " UNION ".join(parts)
 
 
-@query("F11_detect_language", rf"""
+def _f11_sql():
+    return rf"""
 WITH sw AS ({_stop_table_sql(sorted(text.LANGUAGES))}),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents),
 hits AS (SELECT doc_id, sw.lang, count(*) AS n FROM tok JOIN sw USING (w) GROUP BY 1, 2),
 best AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS rk FROM hits) WHERE rk = 1)
-SELECT d.doc_id, coalesce(b.lang, 'sv') AS detected, d.lang AS lang FROM documents d LEFT JOIN best b USING (doc_id)""")
+SELECT d.doc_id, coalesce(b.lang, 'sv') AS detected, d.lang AS lang FROM documents d LEFT JOIN best b USING (doc_id)"""
+
+
+@query("F11_detect_language", _f11_sql)
 def q_f11(spark, sf):
     from loupe.operators.features import detect_language
     d = S.load(spark, sf, "documents")
