@@ -9,6 +9,7 @@ operators is cut with ``DataFrame.checkpoint()`` into the shared folder named by
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    master = master or os.environ.get("LOUPE_MASTER", "local[8]")
-    b = (SparkSession.builder.master(master).appName(app_name)
-         .config("spark.ui.enabled", "false")
+    b = SparkSession.builder.appName(app_name)
+    master = master or os.environ.get("LOUPE_MASTER")
+    if master:
+        b = b.master(master)
+    b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
@@ -38,14 +41,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only when unset."""
+    """Return the session's shared checkpoint folder.  Where none is named, a local session (one
+    machine, as in tests) gets a scratch folder; on a cluster that is an error, since executors do
+    not share a machine's temporary folder."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = d or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="loupe-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
