@@ -29,3 +29,12 @@ FROM t WINDOW w AS (PARTITION BY norm)""")
 def op8_exact_dedup(spark, sf_dir):
     from loupe.llm.exactdedup import exact_dedup
     return exact_dedup(load(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from loupe.llm.simhash import near_duplicates
+    found = near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
