@@ -38,3 +38,9 @@ def op1_simhash_near_dedup(spark, sf_dir):
     from loupe.llm.simhash import near_duplicates
     found = near_duplicates(load(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    from loupe.llm.licenses import license_digest, scan_licenses
+    return license_digest(scan_licenses(load(spark, sf_dir, "documents")))
