@@ -44,3 +44,27 @@ def op1_simhash_near_dedup(spark, sf_dir):
 def op3_license_scan(spark, sf_dir):
     from loupe.llm.licenses import license_digest, scan_licenses
     return license_digest(scan_licenses(load(spark, sf_dir, "documents")))
+
+
+@query("op9_mix_sources", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap, ((rank - 1) % 3 - 1) * 0.5::DOUBLE AS slope FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank) AS ord, sum(source_size) OVER () AS words FROM w),
+f AS (SELECT *, words - coalesce(sum(cap) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words,
+             sum(weight) OVER (ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM o),
+l AS (SELECT ord AS level_ord, left_words AS level_words, left_weight AS level_weight FROM f
+      WHERE left_words * weight <= cap * left_weight ORDER BY ord LIMIT 1),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, slope,
+             CASE WHEN ord < level_ord THEN CAST(cap AS DOUBLE) ELSE CAST(weight * level_words AS DOUBLE) / CAST(level_weight AS DOUBLE) END AS target FROM f, l),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE CAST(size * ((2 * start + size <= 2 * target)::INT + (2 * (start + source_size) + size <= 2 * target)::INT
+                                                + (2 * (start + 2 * source_size) + size <= 2 * target)::INT) AS BIGINT) END AS taken
+FROM p""")
+def op9_mix_sources(spark, sf_dir):
+    from loupe.llm.mixing import mix
+    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
