@@ -68,3 +68,9 @@ FROM p""")
 def op9_mix_sources(spark, sf_dir):
     from loupe.llm.mixing import mix
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf_dir):
+    from loupe.llm.tokenfile import default_tokenizer, token_files
+    return token_files(load(spark, sf_dir, "documents"), default_tokenizer())
