@@ -74,3 +74,18 @@ def op9_mix_sources(spark, sf_dir):
 def op10_token_files(spark, sf_dir):
     from loupe.llm.tokenfile import default_tokenizer, token_files
     return token_files(load(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query("op7_warc_archive", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS top FROM p)
+SELECT page_id, payload_bytes,
+       translate(to_base(CAST('0x' || h[1:10] AS BIGINT), 32, 8) || to_base(CAST('0x' || h[11:20] AS BIGINT), 32, 8)
+              || to_base(CAST('0x' || h[21:30] AS BIGINT), 32, 8) || to_base(CAST('0x' || h[31:40] AS BIGINT), 32, 8),
+              '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM g""")
+def op7_warc_archive(spark, sf_dir):
+    from loupe.llm.warc import archive
+    return archive(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
