@@ -75,3 +75,11 @@ def keep_once(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataF
     joined = docs.join(ids, docs[id_col].eqNullSafe(ids["__kept"]), "left_semi")
     w = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
     return joined.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker, so that tasks of one worker can share memos
+    (functions are sent by value, so their module globals do not outlive a task)."""
+    import sys
+    import types
+    return sys.modules.setdefault("_loupe_worker_store", types.ModuleType("_loupe_worker_store")).__dict__

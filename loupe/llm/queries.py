@@ -101,3 +101,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op5_exact_top_k(spark, sf_dir):
     from loupe.llm.topk import exact_top_k
     return exact_top_k(load(spark, sf_dir, "embeddings"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from loupe.llm.toxicity import THRESHOLD, fit_toxicity, held_out, score_toxicity
+    docs = load(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, load(spark, sf_dir, "labels"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

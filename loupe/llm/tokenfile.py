@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loupe.llm.common import shared_path, small_batches, staged
+from loupe.llm.common import shared_path, small_batches, staged, worker_store
 
 MAGIC = b"LOUPETK1"
 HEAD = "<8sIQBBI"
@@ -202,8 +202,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if by_chunks:
-            import tokenizers  # the worker's tasks share the memo, whichever copy of this code they run
-            memo = tokenizers.__dict__.setdefault("_chunk_memo", {}).setdefault((tokenizer_path, width), ({}, {}))
+            memo = worker_store().setdefault(("tokens", tokenizer_path, width), ({}, {}))
             one = Encoder(tokenizer_path, width, *memo).encode
         else:
             one = whole_encoder(tokenizer_path, width)
