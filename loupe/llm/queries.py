@@ -112,3 +112,25 @@ def op6_toxicity(spark, sf_dir):
     model = fit_toxicity(docs, load(spark, sf_dir, "labels"))
     return score_toxicity(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op4_line_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+n AS (SELECT *, list_transform(lines, lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS plain FROM d),
+w AS (SELECT doc_id, unnest(range(1, len(plain) - 1)) AS i, plain FROM n WHERE len(plain) >= 3),
+k AS (SELECT doc_id, i, plain[i] || chr(10) || plain[i + 1] || chr(10) || plain[i + 2] AS key FROM w),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS place FROM k WHERE key <> chr(10) || chr(10)),
+c AS (SELECT doc_id, list_sort(list_distinct(flatten(list([i, i + 1, i + 2])))) AS removed FROM f WHERE place > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
+       CASE WHEN removed IS NULL THEN text ELSE coalesce(array_to_string(list_transform(
+            list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(removed, i)), lambda i: lines[i]), chr(10)), '') END AS text
+FROM d LEFT JOIN c USING (doc_id)""")
+def op4_line_dedup(spark, sf_dir):
+    from loupe.llm.linedup import line_dedup
+    return line_dedup(load(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark, sf_dir):
+    from loupe.llm.packing import pack
+    return pack(load(spark, sf_dir, "documents"))
