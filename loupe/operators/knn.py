@@ -1,152 +1,240 @@
-"""Exact k-nearest-neighbour join without all pairs (K1), and the neighbour classifiers
-(A21 KNN, A22 radius neighbours).
-
-Both sides are projected on a seeded unit direction u.  Because |<x - y, u>| <= ||x - y||,
-a neighbour within distance r of q has a projection within r of q's.  The right side is cut
-into range buckets of the projection (quantile boundaries, so buckets are balanced); each left
-row is matched to the buckets b-w..b+w around its own by an equi-join on the bucket number.
-A left row is finished when its k-th distance is no larger than the distance from its
-projection to the edge of the covered range; otherwise it goes to the next round with a
-doubled window.  The result is exact; each round compares a left row with at most
-(2w+1) bucket-sizes of candidates, never with the whole table.
+"""Exact k-nearest-neighbour join (K1) and the neighbour classifiers (A21 KNN, A22 radius neighbours).
+
+The right side is cut into Voronoi cells of a few pivots (rows chosen by hash).  A cell keeps its
+number of rows and the smallest and largest distance to its pivot, so the triangle inequality bounds
+the distance from any left row to all rows of a cell.
+
+1. Each left row meets the cells with the nearest pivots that hold enough rows between them; its
+   k-th distance there is an upper bound.
+2. It then meets the other cells whose lower bound does not exceed that; no other cell can hold a
+   neighbour.  The result is exact.
+
+Cells are split into blocks by hash, and the left rows that visit a block into blocks too, so a cell
+that holds a third of all rows is many groups of work.  A group compares two blocks in numpy and
+returns each left row's k best; they are merged with a grouped limit before the shuffle.  How many
+cells step 2 saves depends on the data: clustered rows need few, rows without structure in many
+dimensions need nearly all of them (``pairs_compared`` tells).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from loupe.session import cut_lineage
-
-BUCKET_ROWS = 256  # target right-side rows per bucket
-
-
-def _unit(d: int, seed: int) -> np.ndarray:
-    v = np.random.default_rng(seed).normal(size=d)
-    return v / np.linalg.norm(v)
-
-
-def _proj(x: Column, u: np.ndarray) -> Column:
-    ua = F.array(*[F.lit(float(v)) for v in u])
-    return F.aggregate(F.zip_with(x, ua, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
-def _dist(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-
-
-def _buckets(right: DataFrame, n_right: int):
-    nb = max(1, int(math.ceil(n_right / BUCKET_ROWS)))
-    if nb == 1:  # Bucketizer needs two buckets at least; any inner cut keeps the join exact
-        return [-math.inf, 0.0, math.inf]
-    qs = right.approxQuantile("_t", [i / nb for i in range(1, nb)], 0.001)
-    cuts = sorted(set(qs))
-    return [-math.inf, *cuts, math.inf]
+from pyspark.sql import types as T
+
+from loupe.session import staged
+
+#: Rows of a block; pivots at most (the driver and each task hold them).
+BLOCK_ROWS = 2048
+PIVOTS_MOST = 1024
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 0))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances of two small sets of rows, by inner products (see ``_nearest`` for exact ones)."""
+    d2 = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+    return np.sqrt(np.maximum(d2, 0))
+
+
+class Cells:
+    """Pivots and what is known of each cell's rows: count, least and largest distance to the pivot."""
+
+    def __init__(self, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray):
+        self.pivots, self.count, self.near, self.far = pivots, count, near, far
+        self.blocks = np.maximum(1, -(-count // BLOCK_ROWS)).astype(int)
+        self.slack = 1e-7 * (1 + float(np.abs(pivots).max(initial=0)) * math.sqrt(pivots.shape[1] or 1))
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Which cells step 1 visits: those of the nearest pivots until they hold k rows."""
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(self.count[order], axis=1)
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, held - self.count[order] < k, axis=1)
+        return out & (self.count > 0)
+
+    def within(self, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Which cells may hold a row within ``reach``."""
+        least = np.maximum(np.maximum(d - self.far, self.near - d), 0)
+        return (least <= reach[:, None] + self.slack) & (self.count > 0)
+
+
+def _cells(right: DataFrame, seed: int) -> tuple[Cells, DataFrame]:
+    """Cells of right(_rid, _rx, ...), and the rows with their cell and block."""
+    n = right.count()
+    n_pivots = max(1, min(PIVOTS_MOST, math.isqrt(n)))
+    chosen = right.select("_rx", F.xxhash64("_rid", F.lit(seed)).alias("h")).orderBy("h").limit(n_pivots).collect()
+    pivots = np.unique(_matrix([r["_rx"] for r in chosen]), axis=0) if chosen else np.zeros((1, 1))
+
+    @F.pandas_udf("cell int, reach double")
+    def own_cell(x: pd.Series) -> pd.DataFrame:
+        d = _distances(_matrix(x), pivots) if len(x) else np.zeros((0, 1))
+        cell = d.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
+
+    rows = staged(right.withColumn("_c", own_cell("_rx")).select("*", F.col("_c.cell").alias("_cell"), F.col("_c.reach").alias("_reach")).drop("_c"), "cells")
+    count, near, far = np.zeros(len(pivots), int), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_reach").alias("a"), F.max("_reach").alias("b")).collect():
+        count[r["_cell"]], near[r["_cell"]], far[r["_cell"]] = r["n"], r["a"], r["b"]
+    cells = Cells(pivots, count, near, far)
+    blocks = F.element_at(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("_cell") + 1)
+    return cells, rows.withColumn("_block", F.pmod(F.xxhash64("_rid", F.lit("block")), blocks).cast("int")).drop("_reach")
+
+
+def _visits(left: DataFrame, cells: Cells, choose) -> DataFrame:
+    """left(_lid, _lx, ...) once for each (cell, block) that ``choose(distances to pivots, batch)`` picks."""
+    fields = [f for f in left.schema.fields if f.name in ("_lid", "_lx")]
+    schema = T.StructType([*fields, T.StructField("_cell", T.IntegerType()), T.StructField("_block", T.IntegerType())])
+    pivots, blocks = cells.pivots, cells.blocks
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                row, cell = np.nonzero(choose(_distances(_matrix(part["_lx"]), pivots), part))
+                n = blocks[cell]
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                yield pd.DataFrame({"_lid": part["_lid"].to_numpy()[row], "_lx": part["_lx"].to_numpy()[row],
+                                    "_cell": cell.astype("int32"), "_block": block.astype("int32")})
+
+    return left.mapInPandas(visit, schema)
+
+
+def _meet(visits: DataFrame, rows: DataFrame, fn, schema) -> DataFrame:
+    """Group the visits of each block with its rows; many visits of one block are split by hash, and the
+    block is repeated for each part."""
+    visits = staged(visits, "visits")
+    parts = (visits.groupBy("_cell", "_block").agg(F.count(F.lit(1)).alias("n"))
+             .select("_cell", "_block", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("_parts")))
+    asked = visits.join(F.broadcast(parts), ["_cell", "_block"]).withColumn(
+        "_part", F.pmod(F.xxhash64("_lid", F.lit("part")), F.col("_parts")).cast("int")).drop("_parts")
+    held = rows.join(F.broadcast(parts), ["_cell", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    key = ("_cell", "_block", "_part")
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(fn, schema)
+
+
+def _nearest(k: int, exclude_self: bool, right_cols: tuple[str, ...]):
+    def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest rows of this block for each visitor, ties to the smaller id."""
+        out = {c: [] for c in ("_lid", "_rid", "_d", *right_cols)}
+        if len(q) and len(x):
+            x = x.sort_values("_rid", kind="stable")
+            qs, xs, ids = _matrix(q["_lx"]), _matrix(x["_rx"]), x["_rid"].to_numpy()
+            scale = 1e-9 * (1 + float((xs * xs).sum(axis=1).max()) + float((qs * qs).sum(axis=1).max()))
+            most = min(len(x), k + 1)
+            for at in range(0, len(q), 256):
+                d2 = _distances(qs[at:at + 256], xs) ** 2
+                bound = np.partition(d2, most - 1, axis=1)[:, most - 1] + scale
+                for i, lid in enumerate(q["_lid"].to_numpy()[at:at + 256]):
+                    near = np.flatnonzero(d2[i] <= bound[i])
+                    if exclude_self:
+                        near = near[ids[near] != lid]
+                    exact = np.sqrt(((xs[near] - qs[at + i]) ** 2).sum(axis=1))
+                    best = np.argsort(exact, kind="stable")[:k]
+                    out["_lid"] += [lid] * len(best)
+                    out["_rid"].append(near[best])
+                    out["_d"].append(exact[best])
+            place = np.concatenate(out["_rid"])
+            return pd.DataFrame({"_lid": out["_lid"], "_rid": ids[place], "_d": np.concatenate(out["_d"]),
+                                 **{c: x[c].to_numpy()[place] for c in right_cols}})
+        return pd.DataFrame(out)
+    return nearest
+
+
+def _sides(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, right_cols=()) -> tuple[DataFrame, DataFrame]:
+    return (staged(left.select(F.col(left_id).alias("_lid"), F.col(x).alias("_lx")), "left"),
+            right.select(F.col(right_id).alias("_rid"), F.col(x).alias("_rx"), *right_cols))
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "id",
-             x: str = "x", exclude_self: bool = False, seed: int = 7, right_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (left id, right id, dist, rank 1..k, right_cols...) for the k nearest right rows.
-
-    ``x`` is an array<double> column on both sides.  ``exclude_self`` drops pairs with equal
-    ids (a self-join leaving the row out)."""
-    d = int(right.select(F.size(x).alias("d")).first()["d"])
-    u = _unit(d, seed)
-    R = right.select(F.col(right_id).alias("_rid"), F.col(x).alias("_rx"), *right_cols).withColumn("_t", _proj(F.col("_rx"), u))
-    n_right = R.count()
-    splits = _buckets(R, n_right)
-    nb = len(splits) - 1
-    bk = Bucketizer(splits=splits, inputCol="_t", outputCol="_b", handleInvalid="keep")
-    R = bk.transform(R).withColumn("_b", F.col("_b").cast("int")).cache()
-    lo_map = F.array(*[F.lit(float(v)) for v in splits[:-1]])
-    hi_map = F.array(*[F.lit(float(v)) for v in splits[1:]])
-    L = left.select(F.col(left_id).alias("_lid"), F.col(x).alias("_lx")).withColumn("_t", _proj(F.col("_lx"), u))
-    L = bk.transform(L).withColumn("_b", F.col("_b").cast("int"))
-    pending = L
-    done = []
-    w = 1
-    while True:
-        lo_b = F.greatest(F.col("_b") - w, F.lit(0))
-        hi_b = F.least(F.col("_b") + w, F.lit(nb - 1))
-        rep = pending.withColumn("_cb", F.explode(F.sequence(lo_b, hi_b))) \
-            .withColumn("_edge_lo", F.element_at(lo_map, lo_b + 1)).withColumn("_edge_hi", F.element_at(hi_map, hi_b + 1))
-        pairs = rep.join(R.select(F.col("_b").alias("_cb"), "_rid", "_rx", *right_cols), "_cb")
-        if exclude_self:
-            pairs = pairs.filter(F.col("_lid") != F.col("_rid"))
-        pairs = pairs.withColumn("_d", _dist(F.col("_lx"), F.col("_rx")))
-        cand = F.struct(F.col("_d").alias("dist"), F.col("_rid").alias("rid"), *[F.col(c) for c in right_cols])
-        top = pairs.groupBy("_lid", "_t", "_edge_lo", "_edge_hi").agg(
-            F.slice(F.sort_array(F.collect_list(cand)), 1, k).alias("_nn"))
-        margin = F.least(F.col("_t") - F.col("_edge_lo"), F.col("_edge_hi") - F.col("_t"))
-        kth = F.element_at(F.col("_nn"), -1)["dist"]
-        full = w >= nb
-        ok = F.lit(True) if full else ((F.size("_nn") >= k) & (kth <= margin))
-        top = cut_lineage(top.withColumn("_ok", ok))
-        done.append(top.filter("_ok").select("_lid", "_nn"))
-        # rows with no candidate at all in the window also continue
-        missing = pending.join(top.select("_lid"), "_lid", "left_anti")
-        nxt = top.filter(~F.col("_ok")).select("_lid").unionByName(missing.select("_lid"))
-        if full or nxt.limit(1).count() == 0:
-            break
-        pending = pending.join(nxt, "_lid", "left_semi")
-        w *= 2
-    out = done[0]
-    for d_ in done[1:]:
-        out = out.unionByName(d_)
-    ex = out.select("_lid", F.posexplode("_nn").alias("_pos", "_n"))
-    return ex.select(F.col("_lid").alias(f"left_{left_id}"), F.col("_n.rid").alias(f"right_{right_id}"),
-                     F.col("_n.dist").alias("dist"), (F.col("_pos") + 1).alias("rank"),
-                     *[F.col(f"_n.{c}").alias(c) for c in right_cols])
-
-
-def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_id: str = "id",
-                x: str = "x", seed: int = 7, right_cols: tuple[str, ...] = ()) -> DataFrame:
-    """All right rows within ``radius`` of each left row (exact: only buckets overlapping
-    [t - r, t + r] are visited)."""
-    d = int(right.select(F.size(x).alias("d")).first()["d"])
-    u = _unit(d, seed)
-    R = right.select(F.col(right_id).alias("_rid"), F.col(x).alias("_rx"), *right_cols).withColumn("_t", _proj(F.col("_rx"), u))
-    splits = _buckets(R, R.count())
-    bk = Bucketizer(splits=splits, inputCol="_t", outputCol="_b", handleInvalid="keep")
-    R = bk.transform(R).withColumn("_b", F.col("_b").cast("int"))
-    L = left.select(F.col(left_id).alias("_lid"), F.col(x).alias("_lx")).withColumn("_t", _proj(F.col("_lx"), u))
-    lo = Bucketizer(splits=splits, inputCol="_tlo", outputCol="_blo", handleInvalid="keep")
-    hi = Bucketizer(splits=splits, inputCol="_thi", outputCol="_bhi", handleInvalid="keep")
-    L = L.withColumn("_tlo", F.col("_t") - radius).withColumn("_thi", F.col("_t") + radius)
-    L = hi.transform(lo.transform(L))
-    rep = L.withColumn("_b", F.explode(F.sequence(F.col("_blo").cast("int"), F.col("_bhi").cast("int"))))
-    pairs = rep.join(R.select("_b", "_rid", "_rx", *right_cols), "_b").withColumn("_d", _dist(F.col("_lx"), F.col("_rx")))
-    return pairs.filter(F.col("_d") <= radius).select(F.col("_lid").alias(f"left_{left_id}"),
-                                                      F.col("_rid").alias(f"right_{right_id}"),
-                                                      F.col("_d").alias("dist"), *right_cols)
+             x: str = "x", exclude_self: bool = False, seed: int = 7, right_cols: tuple[str, ...] = (),
+             stats: dict | None = None) -> DataFrame:
+    """Rows (left id, right id, dist, rank 1..k, right_cols...) for the k nearest right rows, ties to
+    the smaller right id.
+
+    ``x`` is an array<double> column on both sides; ids are unique and not null.  ``exclude_self`` drops
+    pairs with equal ids (a self-join leaving the row out).  ``stats`` receives pairs_compared."""
+    lefts, rights = _sides(left, right, left_id, right_id, x, right_cols)
+    cells, rows = _cells(rights, seed)
+    enough = k + (1 if exclude_self else 0)
+    schema = T.StructType([T.StructField("_lid", lefts.schema["_lid"].dataType), T.StructField("_rid", rights.schema["_rid"].dataType),
+                           T.StructField("_d", T.DoubleType()), *[rights.schema[c] for c in right_cols]])
+    fn = _nearest(k, exclude_self, right_cols)
+    place = Window.partitionBy("_lid").orderBy("_d", "_rid")
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+    first_visits = _visits(lefts, cells, lambda d, _: cells.first(d, enough))
+    found = staged(best(_meet(first_visits, rows, fn, schema)).drop("rank"), "nearest")
+    reach = found.groupBy("_lid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_reach"))
+    waiting = lefts.join(reach, "_lid", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
+    more_visits = _visits(waiting, cells, lambda d, part: cells.within(d, part["_reach"].to_numpy()) & ~cells.first(d, enough))
+    more = _meet(more_visits, rows, fn, schema)
+    if stats is not None:
+        sizes = np.ceil(cells.count / cells.blocks)
+        stats["pairs_compared"] = sum(r["n"] * float(sizes[r["_cell"]]) for v in (first_visits, more_visits)
+                                      for r in v.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    return best(found.unionByName(more)).select(
+        F.col("_lid").alias(f"left_{left_id}"), F.col("_rid").alias(f"right_{right_id}"), F.col("_d").alias("dist"), "rank", *right_cols)
+
+
+def radius_votes(left: DataFrame, right: DataFrame, radius: float, label: str, left_id: str = "id", right_id: str = "id",
+                 x: str = "x", seed: int = 7) -> DataFrame:
+    """(left id, label, n): how many right rows of each label lie within ``radius``.  Only cells that may
+    hold such rows are visited, and a block's votes are counted before the shuffle."""
+    lefts, rights = _sides(left, right, left_id, right_id, x, (label,))
+    cells, rows = _cells(rights, seed)
+
+    def votes(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(x):
+            qs, xs = _matrix(q["_lx"]), _matrix(x["_rx"])
+            names, codes = np.unique(x[label].to_numpy(), return_inverse=True)
+            one_hot = np.eye(len(names))[codes]
+            for at in range(0, len(q), 64):
+                d = np.sqrt(((qs[at:at + 64, None, :] - xs[None, :, :]) ** 2).sum(axis=2))
+                n = (d <= radius).astype(float) @ one_hot
+                row, col = np.nonzero(n)
+                out.append(pd.DataFrame({"_lid": q["_lid"].to_numpy()[at + row], label: names[col], "n": n[row, col].astype(int)}))
+        return pd.concat(out) if out else pd.DataFrame({"_lid": [], label: [], "n": []})
+
+    schema = T.StructType([T.StructField("_lid", lefts.schema["_lid"].dataType), rights.schema[label], T.StructField("n", T.LongType())])
+    visits = _visits(lefts, cells, lambda d, part: cells.within(d, np.full(len(part), radius)))
+    return (_meet(visits, rows, votes, schema).groupBy(F.col("_lid").alias(f"left_{left_id}"), label).agg(F.sum("n").alias("n")))
 
 
 class KnnFitted:
-    """Lazy model: the training rows themselves (as Spark ML's kNN-less world would keep them)."""
+    """Lazy model: the training rows themselves."""
 
     def __init__(self, train: DataFrame, k: int, n_neighbors: int = 5, radius: float | None = None):
-        self.train = train.select(F.monotonically_increasing_id().alias("_tid"),
-                                  vector_to_array(F.col("features")).alias("x"), F.col("label_idx").alias("_y")).cache()
+        # row numbers are written with the rows, so they do not change when something is recomputed
+        self.train = staged(train.select(F.monotonically_increasing_id().alias("_tid"),
+                                         vector_to_array(F.col("features")).alias("x"), F.col("label_idx").alias("_y")), "train")
         self.k, self.n, self.radius = k, n_neighbors, radius
         self.has_probability = True
         counts = self.train.groupBy("_y").count().orderBy(F.col("count").desc(), "_y").first()
         self.most_frequent = float(counts["_y"])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        q = df.drop("prediction", "probability").withColumn("_qid", F.monotonically_increasing_id())
+        q = staged(df.drop("prediction", "probability").withColumn("_qid", F.monotonically_increasing_id()), "asked")
         qx = q.select("_qid", vector_to_array(F.col("features")).alias("x"))
         if self.radius is None:
-            nn = knn_join(qx, self.train, self.n, "_qid", "_tid", right_cols=("_y",))
+            nn = knn_join(qx, self.train, self.n, "_qid", "_tid", right_cols=("_y",)).withColumn("n", F.lit(1))
         else:
-            nn = radius_join(qx, self.train, self.radius, "_qid", "_tid", right_cols=("_y",))
+            nn = radius_votes(qx, self.train, self.radius, "_y", "_qid", "_tid")
         votes = nn.groupBy("left__qid").agg(
-            *[F.count_if(F.col("_y") == float(c)).alias(f"v{c}") for c in range(self.k)],
-            F.count(F.lit(1)).alias("_n"))
+            *[F.sum(F.when(F.col("_y") == float(c), F.col("n")).otherwise(0)).alias(f"v{c}") for c in range(self.k)],
+            F.sum("n").alias("_n"))
         share = F.array(*[F.col(f"v{c}") / F.col("_n") for c in range(self.k)])
         votes = votes.select(F.col("left__qid").alias("_qid"), share.alias("probability"))
         out = q.join(votes, "_qid", "left")

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loupe.session import staged
+
 LABEL, PRED, PROB = "label_idx", "prediction", "probability"
 
 
@@ -109,14 +111,16 @@ def label_metrics(pred: DataFrame, labels: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ranking metrics
-def cumulative_below(df: DataFrame, group: list[str], score: str, counts: list[str], ranges: int = 64) -> DataFrame:
+def cumulative_below(df: DataFrame, group: list[str], score: str, counts: list[str]) -> DataFrame:
     """For each distinct (group, score): sums of ``counts`` over strictly smaller scores.
 
     ``df`` must already hold one row per distinct (group, score).  Range partitioning keeps
     equal scores together and balances the ranges; only per-range totals (ranges x groups
-    rows) meet in one window.
+    rows) meet in one window.  Range borders are sampled, so two evaluations need not agree on
+    them: the ranged rows are written once with their range number, and totals and running sums
+    both read that.
     """
-    ranged = df.repartitionByRange(ranges, *group, score).withColumn("_pid", F.spark_partition_id())
+    ranged = staged(df.repartitionByRange(*group, score).withColumn("_pid", F.spark_partition_id()), "ranges")
     tot = ranged.groupBy(*group, "_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*group, "_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, what: str = "stage") -> DataFrame:
+    """Write a table once to a new folder under the shared checkpoint folder and read it back: later
+    steps all see the same rows, and a lost executor costs no recomputation.  As with checkpoint
+    files, the folder's owner clears it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/loupe-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
