@@ -28,9 +28,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loupe.functions.split import hash_unit
 from loupe.session import cut_lineage
 
-FEATURES, LABEL, PRED, PROB, WEIGHT = "features", "label_idx", "prediction", "probability", "weight"
+FEATURES, LABEL, PRED, PROB, WEIGHT, KEY = "features", "label_idx", "prediction", "probability", "weight", "_key"
+# The reference library's defaults.  Trees grow without a depth limit there; 30 is the
+# deepest that Spark ML allows.
+TREE_DEPTH, BOOSTING_ROUNDS, EASY_ROUNDS, HIDDEN, HIDDEN_LIGHT = 30, 100, 50, (100,), (50,)
 _TAGS = itertools.count()  # unique scratch-column prefixes, so nested ensembles do not collide
 
 
@@ -131,9 +135,13 @@ class ScoreFitted(Fitted):
             out = out.withColumn(PROB, F.lit(None).cast("array<double>"))
         return out.drop("_scores")
 
+    def weighed(self, weights) -> "ScoreFitted":
+        """Keeps a weight for each feature (recursive elimination ranks by it)."""
+        self.feature_weights = np.asarray(weights, float)
+        return self
+
 
 DENSE_EXPR_MAX_DIM = 128  # up to this many features, scores are JVM column expressions
-COVARIANCE_MAX_DIM = 2048  # largest d for which a d x d covariance is formed on the driver
 
 
 def _dense_rows(feats) -> "np.ndarray":
@@ -158,18 +166,20 @@ def _dense_rows(feats) -> "np.ndarray":
 
 
 class LinearScoreFitted(Fitted):
-    """Scores b + X W1^T + (X*X) W2^T for sparse or dense vectors, evaluated on Arrow batches.
+    """Scores b + X W1^T for sparse or dense vectors, evaluated on Arrow batches; with W2 = (mu, w) also the
+    weighted squared distances sum w (x - mu)^2, of which b holds the part of an all-zero row.
 
-    W1/W2 are k x d (classes x features) and travel once per executor as a broadcast
+    W1 and W2 are k x d (classes x features) and travel once per executor as a broadcast
     variable; rows are never collected.  ``mode``: 'softmax' -> probabilities, 'none' -> no
     probabilities."""
 
     def __init__(self, spark, b, W1, W2=None, mode: str = "softmax"):
         self.k = len(b)
         self.bc = spark.sparkContext.broadcast((np.asarray(b, float), np.asarray(W1, float),
-                                                None if W2 is None else np.asarray(W2, float)))
+                                                None if W2 is None else tuple(np.asarray(w, float) for w in W2)))
         self.mode = mode
         self.has_probability = mode != "none"
+        self.feature_weights = np.abs(np.asarray(W1, float) - np.asarray(W1, float).mean(axis=0)).sum(axis=0)
 
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.sql import types as T
@@ -185,8 +195,9 @@ class LinearScoreFitted(Fitted):
                 S = np.tile(b, (n, 1))
                 for c in range(len(b)):
                     S[:, c] += np.bincount(rows, weights=val * W1[c, idx], minlength=n)
-                    if W2 is not None:
-                        S[:, c] += np.bincount(rows, weights=val * val * W2[c, idx], minlength=n)
+                    if W2 is not None:  # sum of W2 (x - mu)^2 = that of the zeros, corrected where x is not 0
+                        mu, w = W2[0][c], W2[1][c]
+                        S[:, c] += np.bincount(rows, weights=w[idx] * ((val - mu[idx]) ** 2 - mu[idx] ** 2), minlength=n)
                 pdf[PRED] = np.argmax(S, axis=1).astype(float)
                 if mode == "softmax":
                     E_ = np.exp(S - S.max(axis=1, keepdims=True))
@@ -224,9 +235,9 @@ def fit_gaussian_nb(train: DataFrame, k: int, var_smoothing: float = 1e-9, **_)
     var = var + eps
     prior = np.log(n / N)
     consts = [prior[c] - 0.5 * float(np.sum(np.log(2 * math.pi * var[c]))) for c in range(k)]
-    if mu.shape[1] > DENSE_EXPR_MAX_DIM:  # expand -(x - mu)^2 / 2var into x, x^2 and constant terms
+    if mu.shape[1] > DENSE_EXPR_MAX_DIM:
         b = np.array([consts[c] - float(np.sum(mu[c] ** 2 / (2 * var[c]))) for c in range(k)])
-        return LinearScoreFitted(train.sparkSession, b, mu / var, -1.0 / (2 * var))
+        return LinearScoreFitted(train.sparkSession, b, np.zeros_like(mu), (mu, -1.0 / (2 * var)))
     terms = [(lit_array(mu[c]), lit_array(1.0 / (2 * var[c])), consts[c]) for c in range(k)]
 
     def score(x):
@@ -262,28 +273,27 @@ def fit_count_nb(train: DataFrame, k: int, alpha: float = 1.0, complement: bool
     return LinearScoreFitted(spark, b, W)
 
 
-def _pooled_covariance(train: DataFrame, mu: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Within-class scatter / (n - k): one treeAggregate-backed Summarizer job on centred rows."""
-    from pyspark.ml.stat import Correlation  # noqa: F401  (keeps ml.stat imported)
-    centers = F.array(*[lit_array(m) for m in mu])
-    x = vector_to_array(F.col(FEATURES))
-    c = F.element_at(centers, F.col(LABEL).cast("int") + 1)
-    centred = train.select(F.zip_with(x, c, lambda a, b: a - b).alias("z"))
-    d = mu.shape[1]
-    # outer products summed in one aggregate: d*d doubles per task, bounded by the feature count
-    outer = centred.select(F.flatten(F.transform(F.col("z"), lambda a: F.transform(F.col("z"), lambda b: a * b))).alias("o"))
-    summed = outer.select(array_to_vector("o").alias("o")).select(Summarizer.sum(F.col("o")).alias("s")).first()["s"]
-    S = np.asarray(summed.toArray()).reshape(d, d)
-    return S / max(n.sum() - len(n), 1.0)
+def _scatters(train: DataFrame, mu: np.ndarray, pooled: bool) -> np.ndarray:
+    """Sum of (x - mu_c)(x - mu_c)^T over the rows, of all classes or of each (k x d x d).  One pass of
+    Arrow batches; a batch's partial is a d x d product, added up by Summarizer."""
+    from loupe.operators.reduce import sum_of_batches
+    k, d = mu.shape
+
+    def part(X, y):
+        out = np.zeros((1 if pooled else k, d, d))
+        Z = X - mu[y]
+        for c in ([None] if pooled else np.unique(y)):
+            z = Z if pooled else Z[y == c]
+            out[0 if pooled else c] += z.T @ z
+        return out
+    return sum_of_batches(train, part, (1 if pooled else k) * d * d).reshape(-1, d, d)
 
 
 def fit_lda(train: DataFrame, k: int, shrink: float = 1e-6, **_) -> Fitted:
-    """Shared covariance, linear discriminants solved on the driver (d x d)."""
+    """Shared covariance, linear discriminants solved on the driver, which holds a d x d matrix
+    (reduce the features of very wide data first)."""
     n, mu, _ = class_stats(train, k)
-    if mu.shape[1] > COVARIANCE_MAX_DIM:
-        raise ValueError(f"LDA needs a d x d covariance; {mu.shape[1]} features is above {COVARIANCE_MAX_DIM}: "
-                         "use a feature reduction first")
-    S = _pooled_covariance(train, mu, n)
+    S = _scatters(train, mu, True)[0] / max(n.sum() - len(n), 1.0)
     S = S + shrink * np.trace(S) / max(len(S), 1) * np.eye(len(S)) + 1e-12 * np.eye(len(S))
     W = np.linalg.solve(S, mu.T).T  # k x d
     prior = np.log(np.maximum(n, 1e-300) / n.sum())
@@ -291,25 +301,22 @@ def fit_lda(train: DataFrame, k: int, shrink: float = 1e-6, **_) -> Fitted:
     if W.shape[1] > DENSE_EXPR_MAX_DIM:
         return LinearScoreFitted(train.sparkSession, np.array(b), W)
     rows = [(lit_array(W[c]), b[c]) for c in range(k)]
-    return ScoreFitted(lambda x: F.array(*[dot(x, w) + F.lit(bb) for w, bb in rows]))
+    return ScoreFitted(lambda x: F.array(*[dot(x, w) + F.lit(bb) for w, bb in rows])).weighed(np.abs(W).sum(axis=0))
 
 
 def fit_qda(train: DataFrame, k: int, reg: float = 1e-6, **_) -> Fitted:
     """One covariance per class; score = log prior - 1/2 log|S_c| - 1/2 ||L_c (x - mu_c)||^2."""
     n, mu, _ = class_stats(train, k)
-    if mu.shape[1] > COVARIANCE_MAX_DIM // 8:
-        raise ValueError(f"QDA needs one d x d covariance per class; {mu.shape[1]} features is too many: "
-                         "use a feature reduction first")
+    scatters = _scatters(train, mu, False)
     parts = []
     for c in range(k):
-        sub = train.filter(F.col(LABEL) == float(c))
-        S = _pooled_covariance(sub.withColumn(LABEL, F.lit(0.0)), mu[c:c + 1], n[c:c + 1])
+        S = scatters[c] / max(n[c] - 1, 1.0)
         S = S + reg * (np.trace(S) / max(len(S), 1) + 1.0) * np.eye(len(S))
         inv = np.linalg.inv(S)
         L = np.linalg.cholesky(inv).T
         _, logdet = np.linalg.slogdet(S)
         parts.append((lit_array(mu[c]), F.array(*[lit_array(r) for r in L]),
-                      float(math.log(n[c] / n.sum()) - 0.5 * logdet)))
+                      float(math.log(max(n[c], 1e-300) / n.sum()) - 0.5 * logdet)))
 
     def score(x):
         out = []
@@ -330,10 +337,11 @@ def fit_ridge(train: DataFrame, k: int, alpha: float = 1.0, **_) -> Fitted:
         m = Rg.LinearRegression(featuresCol=FEATURES, labelCol="_y", regParam=alpha / max(n, 1), elasticNetParam=0.0,
                                 standardization=False).fit(train.withColumn("_y", y))
         models.append((lit_array(m.coefficients.toArray()), float(m.intercept)))
+        weights = np.abs(m.coefficients.toArray()) + (weights if c else 0)
     if k == 2:
         w, b = models[0]
-        return ScoreFitted(lambda x: F.array(-(dot(x, w) + F.lit(b)), dot(x, w) + F.lit(b)), probs=False)
-    return ScoreFitted(lambda x: F.array(*[dot(x, w) + F.lit(b) for w, b in models]), probs=False)
+        return ScoreFitted(lambda x: F.array(-(dot(x, w) + F.lit(b)), dot(x, w) + F.lit(b)), probs=False).weighed(weights)
+    return ScoreFitted(lambda x: F.array(*[dot(x, w) + F.lit(b) for w, b in models]), probs=False).weighed(weights)
 
 
 class OneVsRestProb(Fitted):
@@ -403,6 +411,14 @@ class Averaged(Fitted):
         return out.drop(self.tag + "avg", *[f"{self.tag}{i}" for i in range(len(self.members))])
 
 
+def _with_content_key(train: DataFrame) -> DataFrame:
+    """A row key for draws and folds: an earlier ``_key``, else the hash of the row's content (equal rows
+    share it, so they are drawn alike and never straddle folds)."""
+    if KEY in train.columns:
+        return train
+    return train.withColumn(KEY, F.md5(F.concat_ws("|", F.col(LABEL), F.to_json(vector_to_array(F.col(FEATURES))))))
+
+
 def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, undersample: bool = False, **_) -> Fitted:
     """A7 (SAMME with depth-1 trees) and A26 (random undersampling before each round).
 
@@ -410,7 +426,7 @@ def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, unde
     column update grows the plan, so lineage is cut with a reliable checkpoint every 10 rounds.
     """
     from loupe.operators.resample import random_undersample
-    df = train.select(FEATURES, LABEL).withColumn(WEIGHT, F.lit(1.0)).persist()
+    df = _with_content_key(train).select(KEY, FEATURES, LABEL).withColumn(WEIGHT, F.lit(1.0)).persist()
     members, alphas = [], []
     for r in range(rounds):
         fit_on = random_undersample(df, seed=seed + r) if undersample else df
@@ -439,6 +455,7 @@ def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, unde
 
     class Boosted(Fitted):
         has_probability = True
+        feature_weights = sum(a * m.model.featureImportances.toArray() for a, m in zip(alphas, members))
 
         tag = f"_b{next(_TAGS)}_"
 
@@ -462,26 +479,27 @@ def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, unde
 
 
 def fit_bagging(train: DataFrame, k: int, n_bags: int = 10, seed: int = 0, balanced: bool = False,
-                base: str = "tree", **_) -> Fitted:
+                base: str = "tree", max_depth: int = TREE_DEPTH, rounds: int = EASY_ROUNDS, **_) -> Fitted:
     """A8 bagging (Poisson(1) bootstrap weights), A25 balanced bagging (undersampled bags),
     A24 balanced random forest, A27 easy ensemble (AdaBoost on undersampled bags)."""
     from loupe.operators.resample import random_undersample
     members = []
+    train = _with_content_key(train)
     for b in range(n_bags):
         if balanced:
             bag = random_undersample(train, seed=seed + b)
             bag = bag.withColumn(WEIGHT, F.lit(1.0))
         else:
             # Poisson(1) bootstrap multiplicity as a weight: no row replication, no shuffle
-            bag = train.withColumn(WEIGHT, _poisson1(F.rand(seed + b)))
+            bag = train.withColumn(WEIGHT, _poisson1(hash_unit(seed + b, F.col(KEY), 0)))
         if base == "tree":
             m = SparkFitted(C.DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                                     maxDepth=10, seed=seed + b).fit(bag))
-        elif base == "forest":
-            m = SparkFitted(C.RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                                     numTrees=10, seed=seed + b).fit(bag))
+                                                     maxDepth=max_depth, seed=seed + b).fit(bag))
+        elif base == "forest":  # one tree of a forest per bag: each tree has a draw of its own
+            m = SparkFitted(C.RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=1,
+                                                     maxDepth=max_depth, seed=seed + b).fit(bag))
         else:  # adaboost
-            m = fit_adaboost(bag.drop(WEIGHT), k, rounds=10, seed=seed + 100 * b)
+            m = fit_adaboost(bag.drop(WEIGHT), k, rounds=rounds, seed=seed + 100 * b)
         members.append(m)
     return Averaged(members, k)
 
@@ -521,15 +539,14 @@ def fit_self_training(train: DataFrame, k: int, unlabelled: DataFrame | None = N
 
 def fit_stacking(train: DataFrame, k: int, base_codes: tuple[str, ...], folds: int = 5, seed: int = 1, **_) -> Fitted:
     """Out-of-fold base-model probabilities -> logistic regression."""
-    df = train.withColumn("_row", F.monotonically_increasing_id())
-    df = df.withColumn("_f", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(folds)))
+    df = _with_content_key(train).withColumn("_f", F.pmod(F.xxhash64(KEY, F.lit(seed)), F.lit(folds)))
     oof_parts = []
     for f in range(folds):
         tr, te = df.filter(F.col("_f") != f), df.filter(F.col("_f") == f)
         cols = []
         piece = te
         for j, code in enumerate(base_codes):
-            m = fit(code, tr.drop("_row", "_f"), k)
+            m = fit(code, tr.drop("_f"), k)
             piece = m.transform(piece).withColumnRenamed(PROB, f"_b{j}").drop(PRED)
             cols.append(f"_b{j}")
         oof_parts.append(piece)
@@ -566,11 +583,11 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
     if code in ("LRN", "SGDE_LOG"):
         return SparkFitted(C.LogisticRegression(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L).fit(train))
     if code == "DTC":
-        return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", 10), seed=seed, **L).fit(train))
+        return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
     if code == "RFCL":
-        return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=10, seed=seed, **L).fit(train))
+        return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
     if code in ("GBC", "HIST"):
-        return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", 20), maxDepth=3, seed=seed, **L), train, k)
+        return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=3, seed=seed, **L), train, k)
     if code in ("LSVC", "SVC", "SGDE"):
         return fit_ovr(lambda: C.LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L), train, k,
                        has_probability=False)
@@ -598,13 +615,14 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
 
         class Bern(Fitted):
             has_probability = True
+            feature_weights = np.abs(m.theta.toArray() - m.theta.toArray().mean(axis=0)).sum(axis=0)
 
             def transform(self, d):
                 return SparkFitted(m).transform(b.transform(d)).drop("_bin_features")
         return Bern()
     if code in ("MLPC", "MLP2", "PYNN", "KERA", "FLAX", "TORA", "TORS", "TOTA", "TOTS", "TOSA", "TOSS"):
         d = feature_dim(train)
-        hidden = kw.get("hidden", [min(100, max(8, d // 2))] if code != "MLP2" else [min(50, max(4, d // 4))])
+        hidden = kw.get("hidden", HIDDEN_LIGHT if code == "MLP2" else HIDDEN)
         return SparkFitted(C.MultilayerPerceptronClassifier(layers=[d, *hidden, k], maxIter=kw.get("epochs", 200),
                                                             seed=seed, **L).fit(train))
     raise KeyError(code)
@@ -667,7 +685,7 @@ def fit(code: str, train: DataFrame, k: int, **kw) -> Fitted:
         "RUBC": lambda t, kk, **a: fit_adaboost(t, kk, undersample=True, **a),
         "BGC": lambda t, kk, **a: fit_bagging(t, kk, **a),
         "BABC": lambda t, kk, **a: fit_bagging(t, kk, balanced=True, **a),
-        "BARF": lambda t, kk, **a: fit_bagging(t, kk, balanced=True, base="forest", **a),
+        "BARF": lambda t, kk, **a: fit_bagging(t, kk, balanced=True, base="forest", **({"n_bags": 100} | a)),
         "EAEC": lambda t, kk, **a: fit_bagging(t, kk, balanced=True, base="ada", **a),
         "STCL": fit_self_training,
         "SRF1": lambda t, kk, **a: fit_stacking(t, kk, ("RFCL", "BARF"), **a),

@@ -164,7 +164,11 @@ class TfIdfModel:
         return self.norm.transform(out).drop("_tf", "_tfidf")
 
 
-def fit_tf_idf(train: DataFrame, tokens_col: str, out_col: str = "text_features", vocab_size: int = 1 << 18,
+#: Every term has a place in the vector form; Spark's vectors have at most this many.
+VOCABULARY_MOST = 2**31 - 1
+
+
+def fit_tf_idf(train: DataFrame, tokens_col: str, out_col: str = "text_features", vocab_size: int = VOCABULARY_MOST,
                max_df: float = 1.0, use_idf: bool = True) -> TfIdfModel:
     """Vector-form X7+X8 fitted on training rows only.
 

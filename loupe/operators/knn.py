@@ -39,6 +39,15 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def _nothing(columns) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([None], dtype=object) for c in columns}).iloc[:0]
+
+
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as plain objects, which Arrow takes at any length."""
+    return frame.astype({c: object for c in frame.columns if not pd.api.types.is_numeric_dtype(frame[c])})
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances of two small sets of rows, by inner products (see ``_nearest`` for exact ones)."""
     d2 = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
@@ -103,8 +112,9 @@ def _visits(left: DataFrame, cells: Cells, choose) -> DataFrame:
                 n = blocks[cell]
                 block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row, cell = np.repeat(row, n), np.repeat(cell, n)
-                yield pd.DataFrame({"_lid": part["_lid"].to_numpy()[row], "_lx": part["_lx"].to_numpy()[row],
-                                    "_cell": cell.astype("int32"), "_block": block.astype("int32")})
+                if len(row):
+                    yield _plain(pd.DataFrame({"_lid": part["_lid"].to_numpy()[row], "_lx": part["_lx"].to_numpy()[row],
+                                               "_cell": cell.astype("int32"), "_block": block.astype("int32")}))
 
     return left.mapInPandas(visit, schema)
 
@@ -144,9 +154,10 @@ def _nearest(k: int, exclude_self: bool, right_cols: tuple[str, ...]):
                     out["_rid"].append(near[best])
                     out["_d"].append(exact[best])
             place = np.concatenate(out["_rid"])
-            return pd.DataFrame({"_lid": out["_lid"], "_rid": ids[place], "_d": np.concatenate(out["_d"]),
-                                 **{c: x[c].to_numpy()[place] for c in right_cols}})
-        return pd.DataFrame(out)
+        if out["_lid"]:
+            return _plain(pd.DataFrame({"_lid": out["_lid"], "_rid": ids[place], "_d": np.concatenate(out["_d"]),
+                                        **{c: x[c].to_numpy()[place] for c in right_cols}}))
+        return _nothing(out)
     return nearest
 
 
@@ -206,7 +217,7 @@ def radius_votes(left: DataFrame, right: DataFrame, radius: float, label: str, l
                 n = (d <= radius).astype(float) @ one_hot
                 row, col = np.nonzero(n)
                 out.append(pd.DataFrame({"_lid": q["_lid"].to_numpy()[at + row], label: names[col], "n": n[row, col].astype(int)}))
-        return pd.concat(out) if out else pd.DataFrame({"_lid": [], label: [], "n": []})
+        return _plain(pd.concat(out)) if out else _nothing(("_lid", label, "n"))
 
     schema = T.StructType([T.StructField("_lid", lefts.schema["_lid"].dataType), rights.schema[label], T.StructField("n", T.LongType())])
     visits = _visits(lefts, cells, lambda d, part: cells.within(d, np.full(len(part), radius)))

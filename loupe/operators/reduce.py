@@ -20,7 +20,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FEATURES = "features"
 VARIANCE_SHARE = 0.95  # fixed value
@@ -43,14 +42,8 @@ def _dim(df: DataFrame) -> int:
 
 
 def _matmul(df: DataFrame, M: np.ndarray, shift: np.ndarray | None = None) -> DataFrame:
-    """x -> (x - shift) @ M as a column expression (M is d x m, held as literal rows)."""
-    x = vector_to_array(F.col(FEATURES))
-    if shift is not None:
-        sh = F.array(*[F.lit(float(v)) for v in shift])
-        x = F.zip_with(x, sh, lambda a, b: a - b)
-    cols = [F.array(*[F.lit(float(v)) for v in M[:, j]]) for j in range(M.shape[1])]
-    out = F.array(*[F.aggregate(F.zip_with(x, c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in cols])
-    return df.withColumn(FEATURES, array_to_vector(out))
+    """x -> (x - shift) @ M on Arrow batches (M is d x m and travels with the function, not in the plan)."""
+    return batch_map(df, lambda X: (X if shift is None else X - shift) @ M)
 
 
 def batch_sums(df: DataFrame, fn, size: int) -> np.ndarray:
@@ -68,6 +61,19 @@ def batch_sums(df: DataFrame, fn, size: int) -> np.ndarray:
     return np.zeros(size) if r is None else r.toArray()
 
 
+def sum_of_batches(df: DataFrame, fn, size: int) -> np.ndarray:
+    """Like ``batch_sums`` for functions of the feature matrix and the integer labels."""
+    def part(batches):
+        import pandas as pd
+        for pdf in batches:
+            if len(pdf):
+                X = np.stack(pdf["x"].to_numpy()).astype(float)
+                yield pd.DataFrame({"p": [np.asarray(fn(X, pdf["y"].to_numpy().astype(int)), dtype=float).ravel().tolist()]})
+    rows = df.select(vector_to_array(F.col(FEATURES)).alias("x"), F.col("label_idx").alias("y"))
+    r = rows.mapInPandas(part, "p array<double>").select(Summarizer.sum(array_to_vector(F.col("p"))).alias("s")).first()["s"]
+    return np.zeros(size) if r is None else r.toArray()
+
+
 def batch_map(df: DataFrame, fn) -> DataFrame:
     """Replace ``features`` by ``fn(X)`` row-wise on Arrow batches (numpy inside the task)."""
     base = df.withColumn(FEATURES, vector_to_array(F.col(FEATURES)))
@@ -95,12 +101,22 @@ def fit_pca(train: DataFrame, n: int | None = None) -> FittedReduction:
     return FittedReduction(lambda df: _matmul(df, pc, mean), k)
 
 
+#: Fixed value: components that TSVD and Nystroem keep at least, if the data have them.
+COMPONENTS_LEAST = 100
+
+
+def components_floor(n: int, d: int) -> int:
+    """max(100, min(n, d)) components, but no more than there are (features for an exact projection)."""
+    return max(1, min(max(COMPONENTS_LEAST, min(n, d)), d))
+
+
 def fit_tsvd(train: DataFrame, n: int | None = None) -> FittedReduction:
     from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors as OldVectors
+    from pyspark.mllib.util import MLUtils
     d = _dim(train)
-    k = n or max(1, min(100, d - 1))
-    rm = RowMatrix(train.select(FEATURES).rdd.map(lambda r: OldVectors.fromML(r[0])))
+    k = n or components_floor(train.count(), d)
+    old = MLUtils.convertVectorColumnsFromML(train.select(FEATURES), FEATURES)
+    rm = RowMatrix(old)
     svd = rm.computeSVD(k, computeU=False)
     V = svd.V.toArray()
     return FittedReduction(lambda df: _matmul(df, V), V.shape[1])
@@ -121,7 +137,8 @@ def fit_grp(train: DataFrame, n: int | None = None, seed: int = 42) -> FittedRed
 def fit_nystroem(train: DataFrame, n: int | None = None, seed: int = 42, gamma: float | None = None) -> FittedReduction:
     """M landmarks chosen by the smallest seeded hash keys (a top-m, not a collect of rows)."""
     d = _dim(train)
-    m = n or min(100, max(1, train.count()))
+    rows = max(1, train.count())
+    m = n or min(max(COMPONENTS_LEAST, min(rows, d)), rows)
     land = (train.withColumn("_h", F.xxhash64(vector_to_array(F.col(FEATURES)).cast("string"), F.lit(seed)))
             .orderBy("_h").limit(m).select(vector_to_array(F.col(FEATURES)).alias("x")).collect())
     Z = np.array([r["x"] for r in land])
@@ -129,16 +146,13 @@ def fit_nystroem(train: DataFrame, n: int | None = None, seed: int = 42, gamma:
     K = np.exp(-g * ((Z[:, None, :] - Z[None, :, :]) ** 2).sum(-1))
     U, S, _ = np.linalg.svd(K)
     norm = U / np.sqrt(np.maximum(S, 1e-12))
-    Zl = [F.array(*[F.lit(float(v)) for v in z]) for z in Z]
+
+    def kernel(X):
+        d2 = (X * X).sum(axis=1)[:, None] + (Z * Z).sum(axis=1)[None, :] - 2 * X @ Z.T
+        return np.exp(-g * np.maximum(d2, 0)) @ norm
 
     def tr(df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(FEATURES))
-        kern = F.array(*[F.exp(-g * F.aggregate(F.zip_with(x, z, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                                                lambda s, v: s + v)) for z in Zl])
-        cols = [F.array(*[F.lit(float(v)) for v in norm[:, j]]) for j in range(norm.shape[1])]
-        out = F.array(*[F.aggregate(F.zip_with(F.col("_k"), c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-                        for c in cols])
-        return df.withColumn("_k", kern).withColumn(FEATURES, array_to_vector(out)).drop("_k")
+        return batch_map(df, kernel)
     return FittedReduction(tr, len(Z))
 
 
@@ -190,38 +204,47 @@ def fit_rfe(train: DataFrame, k: int, algorithm: str, labels_metric=None) -> Fit
     te = train.filter(F.col("fold") == 0)
     labels = [str(i) for i in range(k)]
 
-    def ranking() -> list[int]:
-        m = A.fit(algorithm, tr, k)
-        model = getattr(m, "model", None)
-        if model is not None and hasattr(model, "coefficientMatrix"):
-            w = np.abs(model.coefficientMatrix.toArray()).sum(axis=0)
-        elif model is not None and hasattr(model, "featureImportances"):
-            w = model.featureImportances.toArray()
-        else:
-            w = np.ones(d)
-        return list(np.argsort(-w, kind="stable"))
-
-    order = ranking()
+    def sliced(df: DataFrame, kept: list[int]) -> DataFrame:
+        sl = VectorSlicer(inputCol=FEATURES, outputCol="_s", indices=kept)
+        return sl.transform(df).drop(FEATURES).withColumnRenamed("_s", FEATURES)
 
-    def score(n: int) -> float:
-        sl = VectorSlicer(inputCol=FEATURES, outputCol="_s", indices=sorted(int(i) for i in order[:n]))
-        t1 = sl.transform(tr).drop(FEATURES).withColumnRenamed("_s", FEATURES)
-        t2 = sl.transform(te).drop(FEATURES).withColumnRenamed("_s", FEATURES)
-        return M.score_value(A.fit(algorithm, t1, k).transform(t2), labels, "accuracy")
+    def fit_on(kept: list[int]) -> tuple[float, list[int]]:
+        """Score on the held-out fold, and the kept features from the weightiest on."""
+        m = A.fit(algorithm, sliced(tr, kept), k)
+        order = np.argsort(-feature_weights(m), kind="stable")
+        return M.score_value(m.transform(sliced(te, kept)), labels, "accuracy"), [kept[i] for i in order]
 
-    lo, hi = 1, d
-    best = score(hi)
+    kept = list(range(d))
+    best, order = fit_on(kept)
+    lo, hi, ranked = 1, d, order
     nxt = math.ceil((lo + hi) / 2)
     while nxt != hi and hi - lo > 1:
-        s = score(nxt)
-        if s >= best:
-            hi, best = nxt, max(best, s)
+        s, again = fit_on(sorted(ranked[:nxt]))
+        if s >= best:  # go on from the features that the smaller model ranks
+            hi, best, ranked, kept = nxt, s, again, sorted(ranked[:nxt])
         else:
             lo = nxt
         nxt = math.ceil((lo + hi) / 2)
-    keep = sorted(int(i) for i in order[:hi])
-    sl = VectorSlicer(inputCol=FEATURES, outputCol="_s", indices=keep)
-    return FittedReduction(lambda df: sl.transform(df).drop(FEATURES).withColumnRenamed("_s", FEATURES), len(keep))
+    return FittedReduction(lambda df: sliced(df, kept), len(kept))
+
+
+def feature_weights(model) -> np.ndarray:
+    """Weight of each feature in a fitted model: absolute coefficients or importances, added up over the
+    members of an ensemble.  A model without any is refused."""
+    inner = getattr(model, "model", None)
+    for one in (inner, model):
+        if one is not None and hasattr(one, "coefficientMatrix"):
+            return np.abs(one.coefficientMatrix.toArray()).sum(axis=0)
+        if one is not None and hasattr(one, "featureImportances"):
+            return one.featureImportances.toArray()
+        if one is not None and hasattr(one, "coefficients"):
+            return np.abs(one.coefficients.toArray())
+    if hasattr(model, "feature_weights"):
+        return np.asarray(model.feature_weights, float)
+    members = getattr(model, "members", None) or getattr(model, "models", None)
+    if members:
+        return sum(feature_weights(m) for m in members)
+    raise ValueError("recursive elimination needs an estimator that weighs its features")
 
 
 def _nmf_project(X: np.ndarray, H: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -249,7 +272,7 @@ def fit_nmf(train: DataFrame, n: int | None = None, iters: int = 100, seed: int
 
     def fit_h(m):
         H = np.abs(np.random.default_rng(seed).normal(size=(m, d))) + 1e-3
-        for _ in range(max(1, iters // 10)):
+        for _ in range(iters):
             Hc = H
 
             def fn(X, Hc=Hc):

@@ -109,15 +109,16 @@ def prepare(df: DataFrame, spec: SpotCheckSpec, persist: bool = True) -> Prepare
     if cats:
         base, fitted = X.ordinal_encode(base, cats, fit_on=train_rows)
         conv["categories"] = fitted
+        conv["category_positions"] = list(range(len(feature_cols), len(feature_cols) + len(cats)))
         feature_cols += cats
 
     # text: one document per row -> terms -> TF-IDF fitted on training rows
     if text_cols:
-        tok = X.tokens_column(src, text_cols, "tokens", spec.ngram_range, lang if spec.stop_words else None,
-                              spec.encrypt_text).select(t.id, "tokens").persist(StorageLevel.MEMORY_AND_DISK)
-        tfidf = X.fit_tf_idf(tok.join(train_rows.select(t.id), t.id, "left_semi"), "tokens", "text_features",
-                             max_df=spec.max_df, vocab_size=spec.extra.get("vocab_size", 1 << 18))
-        base = base.join(tfidf.transform(tok).drop("tokens"), t.id, "left")
+        tok = X.tokens_column(base, text_cols, "tokens", spec.ngram_range, lang if spec.stop_words else None,
+                              spec.encrypt_text).drop(*text_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        tfidf = X.fit_tf_idf(tok.filter(F.col("split") == "train"), "tokens", "text_features",
+                             max_df=spec.max_df, vocab_size=spec.extra.get("vocab_size", X.VOCABULARY_MOST))
+        base = tfidf.transform(tok).drop("tokens")
         conv["tfidf"] = tfidf
         conv["language"] = lang
         feature_cols.append("text_features")

@@ -76,7 +76,7 @@ def _emb_train(spark, sf):
 SELECT vec_id, label FROM (SELECT hk.*, row_number() OVER (PARTITION BY label ORDER BY u, CAST(vec_id AS VARCHAR)) AS rk FROM hk)
 WHERE rk <= (SELECT min(n) FROM cnt)""")
 def q_u2(spark, sf):
-    return R.random_undersample(_emb_train(spark, sf), seed=0).select("vec_id", "label")
+    return R.random_undersample(_emb_train(spark, sf), seed=0, key="vec_id").select("vec_id", "label")
 
 
 @query("O2_random_oversample", _TRAIN_SQL + """,
@@ -85,7 +85,7 @@ rk AS (SELECT hk.*, row_number() OVER (PARTITION BY label ORDER BY u, CAST(vec_i
 SELECT rk.vec_id, rk.label, CAST((SELECT m FROM mx) // c.n + CASE WHEN rk.r <= (SELECT m FROM mx) % c.n THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM rk JOIN cnt c USING (label)""")
 def q_o2(spark, sf):
-    o = R.random_oversample(_emb_train(spark, sf), seed=0)
+    o = R.random_oversample(_emb_train(spark, sf), seed=0, key="vec_id")
     return o.groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -100,7 +100,7 @@ agree AS (SELECT l, bool_and(la = lb) AS ok FROM nn GROUP BY 1)
 SELECT t.vec_id, t.label FROM t JOIN agree a ON a.l = t.vec_id
 WHERE a.ok OR t.label = (SELECT label FROM minority)""")
 def q_u4(spark, sf):
-    return R.edited_nn(_emb_train(spark, sf), k=3).select("vec_id", "label")
+    return R.edited_nn(_emb_train(spark, sf), k=3, key="vec_id").select("vec_id", "label")
 
 
 # ---------------------------------------------------------------- E13 / S15-S17 prediction runs (GNB on embeddings)

@@ -3,8 +3,8 @@
 
 The driver loop only submits Spark jobs: every fit, transform and score is distributed.
 Candidates may run concurrently from a small thread pool (Spark schedules jobs from several
-threads), like ``CrossValidator(parallelism=...)``.  The modelling frame is persisted once and
-each scaler's output once, then reused by every algorithm.
+threads), like ``CrossValidator(parallelism=...)``.  The modelling frame is persisted once; all
+steps of a candidate, resampling and scaling included, are fitted inside each fold.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from loupe.operators import classifiers as A
 from loupe.operators import metrics as M
-from loupe.operators.reduce import fit_reduction, REDUCTIONS
+from loupe.operators.reduce import fit_reduction
+from loupe.operators.resample import oversample, undersample
 from loupe.operators.scalers import fit_scaler
 from loupe.plans.prepare import Prepared
 
@@ -35,6 +36,16 @@ class Candidate:
     algorithm: str
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """Over- and undersampler codes, seed, and the positions of category codes among the features."""
+
+    over: str = "NOG"
+    under: str = "NUG"
+    seed: int = 42
+    categorical: tuple[int, ...] | None = None
+
+
 @dataclass
 class Result:
     candidate: Candidate
@@ -47,21 +58,33 @@ class Result:
     fold_scores: list = field(default_factory=list)
 
 
-class UnstableModel(Exception):
-    pass
+def stable(r: Result) -> bool:
+    """The test score lies within two standard deviations of the mean CV score."""
+    return abs(r.mean_cv - r.test) <= 2.0 * r.std_cv
 
 
-def is_best_run_yet(cv: float, std: float, best_cv: float, best_std: float, test: float, best_test: float) -> bool:
-    """Unstable (|cv - test| > 2 std) raises; else the three 'better' rules."""
-    if abs(cv - test) > 2.0 * std:
-        raise UnstableModel("Performance metric difference for cross evaluation and final test exceeds 2*stdev")
-    if test > best_test and cv >= best_cv:
-        return True
-    if test >= best_test and cv >= best_cv and std < best_std:
-        return True
-    if test > best_test and abs(cv - test) <= 1.0 * std:
+def improves(r: Result, best: Result | None) -> bool:
+    """A stable result replaces the best one so far if it tests better without a lower CV mean, if it
+    ties or beats both with a smaller spread, or if it tests better within one standard deviation."""
+    if best is None:
         return True
-    return False
+    cv_holds = r.mean_cv >= best.mean_cv
+    return any((cv_holds and r.test > best.test,
+                cv_holds and r.test >= best.test and r.std_cv < best.std_cv,
+                r.test > best.test and abs(r.mean_cv - r.test) <= r.std_cv))
+
+
+def pick_best(results: list[Result]) -> Result | None:
+    """The best stable result, in run order; unstable ones are marked."""
+    best = None
+    for r in results:
+        if r.exception is not None or any(math.isnan(v) for v in (r.mean_cv, r.std_cv, r.test)):
+            continue
+        if not stable(r):
+            r.exception = f"unstable: CV {r.mean_cv:.4f} +- {r.std_cv:.4f}, test {r.test:.4f}"
+        elif improves(r, best):
+            best = r
+    return best
 
 
 def compatible(c: Candidate) -> bool:
@@ -72,33 +95,47 @@ def compatible(c: Candidate) -> bool:
     return True
 
 
-def cross_val_score(train: DataFrame, k: int, labels: list[str], algorithm: str, n_folds: int, metric: str,
-                    **fit_kw) -> list[float]:
-    """Fit on fold != f, predict fold == f, score every fold."""
+class FittedCandidate:
+    """Oversampling -> undersampling -> scaler -> reduction -> algorithm, all fitted on one frame (a fold's
+    training part, or a whole split); scoring applies the fitted steps only."""
+
+    def __init__(self, c: Candidate, train: DataFrame, k: int, key: str | None, sampling: Sampling = Sampling(), **fit_kw):
+        fit_on = undersample(sampling.under, oversample(sampling.over, train, sampling.seed, key, sampling.categorical), sampling.seed, key)
+        self.scaler = fit_scaler(c.scaler, fit_on)
+        scaled = self.scaler.transform(fit_on)
+        self.reduction = fit_reduction(c.reduction, scaled, k, algorithm=c.algorithm)
+        self.components = self.reduction.components
+        self.model = A.fit(c.algorithm, self.reduction.transform(scaled), k, **fit_kw)
+        self.has_probability = getattr(self.model, "has_probability", True)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.reduction.transform(self.scaler.transform(df)))
+
+
+def cross_val_score(train: DataFrame, k: int, labels: list[str], candidate: Candidate | str, n_folds: int, metric: str,
+                    key: str | None = None, sampling: Sampling = Sampling(), **fit_kw) -> list[float]:
+    """Every step is fitted on fold != f, fold == f is predicted and scored."""
+    c = Candidate("NOS", "NOR", candidate) if isinstance(candidate, str) else candidate
     scores = []
     for f in range(n_folds):
-        tr = train.filter(F.col("fold") != f)
-        te = train.filter(F.col("fold") == f)
-        m = A.fit(algorithm, tr, k, **fit_kw)
-        scores.append(M.score_value(m.transform(te), labels, metric))
+        m = FittedCandidate(c, train.filter(F.col("fold") != f), k, key, sampling, **fit_kw)
+        scores.append(M.score_value(m.transform(train.filter(F.col("fold") == f)), labels, metric))
     return scores
 
 
 def _run_candidate(p: Prepared, c: Candidate, train: DataFrame, test: DataFrame, metric: str, n_folds: int,
-                   fit_kw: dict) -> Result:
+                   sampling: Sampling, fit_kw: dict) -> Result:
     t0 = time.time()
     res = Result(c)
     k = len(p.labels)
     try:
-        red = fit_reduction(c.reduction, train, k, algorithm=c.algorithm)
-        tr, te = red.transform(train), red.transform(test)
-        res.components = red.components
-        scores = cross_val_score(tr, k, p.labels, c.algorithm, n_folds, metric, **fit_kw)
+        scores = cross_val_score(train, k, p.labels, c, n_folds, metric, p.id_col, sampling, **fit_kw)
         res.fold_scores = scores
         res.mean_cv = sum(scores) / len(scores)
         res.std_cv = math.sqrt(sum((s - res.mean_cv) ** 2 for s in scores) / len(scores))
-        model = A.fit(c.algorithm, tr, k, **fit_kw)
-        res.test = M.score_value(model.transform(te), p.labels, metric)
+        model = FittedCandidate(c, train, k, p.id_col, sampling, **fit_kw)
+        res.components = model.components
+        res.test = M.score_value(model.transform(test), p.labels, metric)
     except Exception as e:  # E6: a failing candidate is recorded, not fatal
         res.exception = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else traceback.format_exc(0)}"
     res.elapsed = time.time() - t0
@@ -106,36 +143,20 @@ def _run_candidate(p: Prepared, c: Candidate, train: DataFrame, test: DataFrame,
 
 
 def spot_check(p: Prepared, scalers, reductions, algorithms, metric: str = "accuracy", n_folds: int | None = None,
-               parallelism: int = 1, fit_kw: dict | None = None) -> tuple[list[Result], Result | None]:
-    """E2 (+E4-E6): run every compatible candidate; return all results and the best stable one."""
-    fit_kw = fit_kw or {}
+               parallelism: int = 1, fit_kw: dict | None = None, sampling: Sampling = Sampling()) -> tuple[list[Result], Result | None]:
+    """E2 (+E4-E6): run every compatible candidate; return all results and the best stable one.  If every
+    candidate fails, they are tried again, up to MAX_RETRIES rounds; the last round is returned."""
     n_folds = n_folds or p.n_folds
-    train_all, test_all = p.train(), p.test()
+    train, test = p.train().persist(StorageLevel.MEMORY_AND_DISK), p.test()
+    cands = [c for s in scalers for r in reductions for a in algorithms if compatible(c := Candidate(s, r, a))]
     results: list[Result] = []
-    for attempt in range(MAX_RETRIES):
-        for s in scalers:
-            sc = fit_scaler(s, train_all)
-            tr = sc.transform(train_all).persist(StorageLevel.MEMORY_AND_DISK)
-            te = sc.transform(test_all)
-            cands = [Candidate(s, r, a) for r in reductions for a in algorithms if compatible(Candidate(s, r, a))]
-            if parallelism > 1:
-                with ThreadPoolExecutor(parallelism) as ex:
-                    results += list(ex.map(lambda c: _run_candidate(p, c, tr, te, metric, n_folds, fit_kw), cands))
-            else:
-                results += [_run_candidate(p, c, tr, te, metric, n_folds, fit_kw) for c in cands]
-            tr.unpersist()
+    for _ in range(MAX_RETRIES):
+        with ThreadPoolExecutor(max(1, parallelism)) as ex:
+            results = list(ex.map(lambda c: _run_candidate(p, c, train, test, metric, n_folds, sampling, fit_kw or {}), cands))
         if any(r.exception is None for r in results):
             break
-    best, best_cv, best_std, best_test = None, -math.inf, math.inf, -math.inf
-    for r in results:  # sequential E4 fold over a few leaderboard rows, in run order
-        if r.exception is not None or any(math.isnan(v) for v in (r.mean_cv, r.std_cv, r.test)):
-            continue
-        try:
-            if is_best_run_yet(r.mean_cv, r.std_cv, best_cv, best_std, r.test, best_test):
-                best, best_cv, best_std, best_test = r, r.mean_cv, r.std_cv, r.test
-        except UnstableModel as e:
-            r.exception = r.exception or f"unstable: {e}"
-    return results, best
+    train.unpersist()
+    return results, pick_best(results)
 
 
 def leaderboard(spark, results: list[Result]) -> DataFrame:
@@ -150,19 +171,16 @@ def leaderboard(spark, results: list[Result]) -> DataFrame:
                       F.col("`Stdev.`").asc_nulls_last())
 
 
-def grid_search(train: DataFrame, k: int, labels: list[str], algorithm: str, grid: list[dict], n_folds: int,
-                metric: str = "accuracy") -> tuple[dict, float]:
-    """The grid point with the best mean CV score (falls back to defaults on failure)."""
+def grid_search(train: DataFrame, k: int, labels: list[str], algorithm: Candidate | str, grid: list[dict], n_folds: int,
+                metric: str = "accuracy", key: str | None = None, sampling: Sampling = Sampling()) -> tuple[dict, float]:
+    """The grid point with the best mean CV score (the defaults if all fail)."""
     best, best_score = {}, -math.inf
     for params in grid:
         try:
-            scores = cross_val_score(train, k, labels, algorithm, n_folds, metric, **params)
-        except Exception:  # noqa: BLE001 - a failing grid point is skipped, as the reference does
+            scores = cross_val_score(train, k, labels, algorithm, n_folds, metric, key, sampling, **params)
+        except Exception:  # noqa: BLE001 - a failing grid point is skipped
             continue
         s = sum(scores) / len(scores)
         if s > best_score:
             best, best_score = params, s
     return best, best_score
-
-
-__all__ = ["spot_check", "leaderboard", "grid_search", "is_best_run_yet", "cross_val_score", "REDUCTIONS"]

@@ -12,7 +12,7 @@ from loupe.operators import resample as R
 from loupe.operators.knn import knn_join
 from loupe.operators.reduce import fit_reduction
 from loupe.plans.queries_model import EMB_LABELS, emb_frame
-from loupe.plans.spotcheck import is_best_run_yet, UnstableModel
+from loupe.plans.spotcheck import Candidate, Result, improves, pick_best, stable
 
 K = len(EMB_LABELS)
 
@@ -81,24 +81,24 @@ def test_count_nb_matches_closed_form(spark):
 
 
 def test_resampled_class_counts(frame):
-    train = frame.filter("split = 'train'").select("label_idx", "features")
+    train = frame.filter("split = 'train'").select("vec_id", "label_idx", "features")
     sizes = R.class_sizes(train)
     n_min, n_max = min(sizes.values()), max(sizes.values())
-    under = R.class_sizes(R.undersample("RND", train))
+    under = R.class_sizes(R.undersample("RND", train, key="vec_id"))
     assert set(under.values()) == {n_min}
-    over = R.class_sizes(R.oversample("RND", train))
+    over = R.class_sizes(R.oversample("RND", train, key="vec_id"))
     assert set(over.values()) == {n_max}
-    sm = R.class_sizes(R.oversample("SME", train))
+    sm = R.class_sizes(R.oversample("SME", train, key="vec_id"))
     assert set(sm.values()) == {n_max}
-    cc = R.class_sizes(R.undersample("CCS", train))
+    cc = R.class_sizes(R.undersample("CCS", train, key="vec_id"))
     assert max(cc.values()) <= n_min
 
 
 def test_cleaning_undersamplers_only_remove_rows(frame):
-    train = frame.filter("split = 'train'").select("label_idx", "features")
+    train = frame.filter("split = 'train'").select("vec_id", "label_idx", "features")
     n = train.count()
     for code in ("ENN", "TKL", "NMS"):
-        assert R.undersample(code, train).count() <= n
+        assert R.undersample(code, train, key="vec_id").count() <= n
 
 
 def test_reductions_shapes(frame):
@@ -119,11 +119,17 @@ def test_models_beat_dummy(frame):
     assert best >= base - 0.05
 
 
-def test_is_best_run_yet_rules():
-    assert is_best_run_yet(0.9, 0.05, 0.8, 0.05, 0.9, 0.8)
-    assert not is_best_run_yet(0.7, 0.05, 0.8, 0.05, 0.7, 0.8)
-    with pytest.raises(UnstableModel):
-        is_best_run_yet(0.9, 0.01, 0.0, 1.0, 0.5, 0.0)
+def _result(cv, std, test):
+    return Result(Candidate("NOS", "NOR", "GNB"), cv, std, test)
+
+
+def test_best_result_rules():
+    best = _result(0.8, 0.05, 0.8)
+    assert improves(_result(0.9, 0.05, 0.9), best) and not improves(_result(0.7, 0.05, 0.7), best)
+    assert improves(_result(0.8, 0.01, 0.8), best) and improves(_result(0.79, 0.05, 0.82), best)
+    assert not stable(_result(0.9, 0.01, 0.5))
+    runs = [_result(0.9, 0.01, 0.5), _result(0.7, 0.1, 0.7), _result(0.8, 0.1, 0.8), _result(0.6, 0.1, 0.6)]
+    assert pick_best(runs) is runs[2] and runs[0].exception.startswith("unstable")
 
 
 def test_min_sample_size():
