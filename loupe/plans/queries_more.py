@@ -3,7 +3,8 @@ runs (S15-S17), result rows (E10-E13, E16, E17), combined models (N9, N14) and C
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import uuid
+
 from pyspark.sql import functions as F
 
 from loupe.functions import split
@@ -12,6 +13,8 @@ from loupe.operators import dark as N
 from loupe.operators import evaluate as E
 from loupe.operators import metrics as M
 from loupe.operators import resample as R
+from loupe.session import checkpoint_dir
+from loupe.sources.reports import write_report_csv
 from loupe.operators.knn import knn_join
 from loupe.plans.queries_model import EMB_LABELS, EMB_SQL, emb_frame, emb_predictions, r6
 from loupe.plans.registry import query
@@ -121,6 +124,31 @@ def q_e13(spark, sf):
     return r.select("unique_key", "class_result", r6("class_rate").alias("class_rate"), "class_probabilities")
 
 
+@query("S15_write_run", _RUN_SQL + """
+SELECT 1 AS run_id, unique_key, class_result, round(class_rate, 6) AS class_rate, 'GNB' AS class_algorithm,
+       (SELECT count(*) FROM res) AS row_count FROM res""")
+def q_s15(spark, sf):
+    """Write a run to new tables in the shared folder and read it back from there."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/loupe-runs-{uuid.uuid4().hex}"
+    header = PR.header_frame(spark, PR.next_run_id(spark, f"{base}/header"), "embeddings", ["embedding"], "I", EMB_LABELS, "GNB")
+    done = PR.write_run(header, PR.rows_frame(_gnb_results(spark, sf), 1), base)
+    rows = spark.read.parquet(f"{base}/rows").join(spark.read.parquet(f"{base}/header"), "run_id")
+    return rows.select("run_id", "unique_key", "class_result", r6("class_rate").alias("class_rate"), "class_algorithm",
+                       F.lit(done["row_count"]).cast("bigint").alias("row_count"))
+
+
+@query("S20_report_csv", """
+SELECT c_mktsegment AS segment, replace(printf('%.2f', sum(c_acctbal)), '.', ',') AS balance,
+       CASE WHEN max(c_custkey) > 0 THEN 'N/A' END AS missing FROM customer GROUP BY 1""")
+def q_s20(spark, sf):
+    """Write a report (decimal comma, N/A for missing) to the shared folder and read its text back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/loupe-report-{uuid.uuid4().hex}"
+    c = S.load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("balance")).withColumn("missing", F.lit(None).cast("double"))
+    write_report_csv(c, path)
+    return spark.read.option("sep", ";").option("header", True).schema("segment string, balance string, missing string").csv(path)
+
+
 @query("S16_check_predictions", """
 SELECT 'bad_rate' AS check_name, CAST(0 AS BIGINT) AS n_violations UNION ALL SELECT 'bad_rate_type', 0
 UNION ALL SELECT 'duplicate_keys', 0 UNION ALL SELECT 'orphan_runs', 0""")
@@ -249,5 +277,3 @@ def q_e1(spark, sf):
         oof = oof.unionByName(p)
     return M.fold_scores(oof, EMB_LABELS, "accuracy").select("fold", r6("score").alias("score"))
 
-
-__all__ = ["vector_to_array"]
