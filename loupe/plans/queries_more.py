@@ -18,6 +18,7 @@ from loupe.sources.reports import write_report_csv
 from loupe.operators.knn import knn_join
 from loupe.plans.queries_model import EMB_LABELS, EMB_SQL, emb_frame, emb_predictions, r6
 from loupe.plans.registry import query
+from loupe.plans.spotcheck import Candidate, FittedCandidate
 from loupe.sources import predictions as PR
 from loupe.sources import tables as S
 
@@ -277,3 +278,23 @@ def q_e1(spark, sf):
         oof = oof.unionByName(p)
     return M.fold_scores(oof, EMB_LABELS, "accuracy").select("fold", r6("score").alias("score"))
 
+
+@query("E1_cross_val_scaled", f"""WITH {EMB_SQL},
+f AS (SELECT vec_id, CAST({split.sql_hash_bits(1, 'vec_id', 1)} % 5 AS INTEGER) AS fold FROM e WHERE split = 'train'),
+d2 AS (SELECT dims.*, f.fold FROM dims JOIN f USING (vec_id)),
+folds AS (SELECT DISTINCT fold FROM f),
+sd AS (SELECT fo.fold AS held, d.j, stddev_pop(d.v) AS s FROM d2 d JOIN folds fo ON d.fold <> fo.fold GROUP BY 1, 2),
+cent AS (SELECT fo.fold AS held, d.label, d.j, avg(d.v) AS mu FROM d2 d JOIN folds fo ON d.fold <> fo.fold GROUP BY 1, 2, 3),
+dist AS (SELECT d.vec_id, d.fold, c.label AS cls, sum((d.v - c.mu) * (d.v - c.mu) / CASE WHEN sd.s > 0 THEN sd.s * sd.s ELSE 1 END) AS dd
+         FROM d2 d JOIN cent c ON c.held = d.fold AND c.j = d.j JOIN sd ON sd.held = d.fold AND sd.j = d.j GROUP BY 1, 2, 3),
+pred AS (SELECT vec_id, fold, arg_min(cls, dd) AS predicted FROM dist GROUP BY 1, 2)
+SELECT p.fold, round(avg(CAST(p.predicted = e.label AS DOUBLE)), 6) AS score FROM pred p JOIN e USING (vec_id) GROUP BY 1""")
+def q_e1_scaled(spark, sf):
+    """Standard scaling and nearest centroid, both fitted on the other folds."""
+    f = emb_frame(spark, sf).filter("split = 'train'")
+    oof = None
+    for fold in range(5):
+        m = FittedCandidate(Candidate("STA", "NOR", "NCT"), f.filter(F.col("fold") != fold), 10, "vec_id")
+        part = m.transform(f.filter(F.col("fold") == fold))
+        oof = part if oof is None else oof.unionByName(part)
+    return M.fold_scores(oof, EMB_LABELS, "accuracy").select("fold", r6("score").alias("score"))
