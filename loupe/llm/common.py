@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.session import checkpoint_dir
+from loupe.session import checkpoint_dir, staged  # noqa: F401  (the operators take both from here)
 
 #: White space and words as the result contracts define them.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,14 +37,6 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/loupe-{what}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write a table to the shared folder once and read it back: its lineage is cut there, and a
-    lost executor costs no recomputation.  Like checkpoint files, the folder's owner clears it."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: str | Column) -> Column:
     """Number of words of a text; 0 for null."""
     c = F.col(text) if isinstance(text, str) else text

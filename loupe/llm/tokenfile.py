@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +39,11 @@ MAGIC = b"LOUPETK1"
 HEAD = "<8sIQBBI"
 SAMPLE = 64
 END_ID = 1
-#: A segment is closed once it holds so many ids (8 MB of 2-byte ids), a file after so many segments.
-SEGMENT_IDS = 1 << 22
-FILE_SEGMENTS = 8
-#: Entries of a worker's memo of encoded chunks; it is emptied when full.
-MEMO_MOST = 1 << 20
+#: A segment is closed once it holds so many ids (2 MB of 2-byte ids), a file after so many segments.
+SEGMENT_IDS = 1 << 20
+FILE_SEGMENTS = 32
+#: Entries of a worker's memos of encoded chunks and pieces, in each of two generations.
+CHUNKS_MOST, PIECES_MOST = 1 << 18, 1 << 18
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -142,42 +142,60 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Memo:
+    """A bounded dict: when the young generation is full it becomes the old one, and what is found in
+    the old one moves to the young, so what is used often stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def older(self, key):
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Encodes texts chunk by chunk (chunks stand between ASCII white space, which the tokenizer
     drops) and remembers chunks; the result equals encoding the whole text."""
 
-    def __init__(self, path: str, width: int, memo: dict, pieces: dict):
+    def __init__(self, path: str, width: int, memos: tuple[Memo, Memo] | None = None):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.type, self.memo, self.pieces = f"<u{width}", memo, pieces
+        self.model, self.letters, self.type = self.tokenizer.model, _byte_letters(), f"<u{width}"
+        self.chunks, self.pieces = memos or (Memo(CHUNKS_MOST), Memo(PIECES_MOST))
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.pieces.young.get(piece) or self.pieces.older(piece)
         if found is None:
             name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.model.tokenize(name)], self.type).tobytes()
-            if len(self.pieces) >= MEMO_MOST:
-                self.pieces.clear()
             if len(piece) <= 64:
-                self.pieces[piece] = found
+                self.pieces.put(piece, found)
         return found
 
     def _chunk(self, chunk: bytes) -> bytes:
+        found = self.chunks.older(chunk)
+        if found is not None:
+            return found
         text = chunk.decode()
         if SIMPLE.fullmatch(text):
             found = b"".join(map(self._piece, PIECE.findall(text.lower())))
         else:
             found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        if len(self.memo) >= MEMO_MOST:
-            self.memo.clear()
         if len(chunk) <= 64:
-            self.memo[chunk] = found
+            self.chunks.put(chunk, found)
         return found
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as bytes."""
-        get, chunk, words = self.memo.get, self._chunk, (text or "").encode().split()
+        get, chunk, words = self.chunks.young.get, self._chunk, (text or "").encode().split()
         found = [get(w) for w in words]
         if None in found:
             found = [chunk(w) if f is None else f for w, f in zip(words, found)]
@@ -200,22 +218,23 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     small_batches(docs.sparkSession)
     tail = np.array([end_id], f"<u{width}").tobytes()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if by_chunks:
-            memo = worker_store().setdefault(("tokens", tokenizer_path, width), ({}, {}))
-            one = Encoder(tokenizer_path, width, *memo).encode
+            key = ("tokens", tokenizer_path, width)  # a worker's tasks share the memos
+            memos = worker_store().setdefault(key, (Memo(CHUNKS_MOST), Memo(PIECES_MOST)))
+            one = Encoder(tokenizer_path, width, memos).encode
         else:
             one = whole_encoder(tokenizer_path, width)
         names, sizes, parts, held = [], [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             data = pack_segment(names, np.cumsum(sizes), b"".join(parts), width)
-            return pd.DataFrame({"value": [data]})
+            return pa.RecordBatch.from_pydict({"value": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for name, null, text in zip(batch["id"], batch["no_id"], batch["text"]):
+            for name, null, text in zip(*(batch.column(c).to_pylist() for c in ("id", "no_id", "text"))):
                 ids = one(text) + tail
-                names.append(None if null else int(name))
+                names.append(None if null else name)
                 sizes.append(len(ids) // width)
                 parts.append(ids)
                 held += sizes[-1]
@@ -226,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
             yield close()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    (rows.repartitionByRange("id").sortWithinPartitions("id", F.desc("no_id")).mapInPandas(encode, "value binary")
+    (rows.repartitionByRange("id").sortWithinPartitions("id", F.desc("no_id")).mapInArrow(encode, "value binary")
      .select(F.col("value").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", FILE_SEGMENTS).option("lineSep", "\n").text(path))
 
@@ -235,22 +254,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of the files under ``path``; start counts
     the ids of all documents before it.  A file is one task's work; per document only its numbers leave it."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["file"], batch["content"]):
+            for name, content in zip(batch.column("file").to_pylist(), batch.column("content")):
                 before = 0
-                for names, ef, ids in unpack_segments(data):
+                for names, ef, ids in unpack_segments(content.as_buffer()):
                     ends = ef.all()
                     starts = np.concatenate([[0], ends[:-1]])
                     wide = ids.astype("<u4")
-                    yield pd.DataFrame({
-                        "file": name, "doc_id": pd.array(names, "Int64"), "local": starts + before, "n_tokens": ends - starts,
-                        "ids_crc32": [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]})
+                    checks = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_pydict({
+                        "file": pa.array([name] * len(names), pa.string()), "doc_id": pa.array(names, pa.int64()), "local": pa.array(starts + before),
+                        "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(checks, pa.int64())})
                     before += len(ids)
 
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
              .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
-    found = staged(files.mapInPandas(decode, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-starts")
+    found = staged(files.mapInArrow(decode, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-starts")
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     piece = F.regexp_extract("file", r"-c(\d+)", 1).cast("long")
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("ids"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from loupe.llm import tokenfile
 from loupe.llm.queries import QUERIES
-from loupe.llm.tokenfile import EliasFano, Encoder, default_tokenizer, pack_segment, token_files, unpack_segments, whole_encoder
+from loupe.llm.tokenfile import EliasFano, Encoder, Memo, default_tokenizer, pack_segment, token_files, unpack_segments, whole_encoder
 
 WHOLE = whole_encoder(default_tokenizer(), 2)
-CHUNKS = Encoder(default_tokenizer(), 2, {}, {})
+CHUNKS = Encoder(default_tokenizer(), 2, (Memo(7), Memo(5)))
 
 
 @settings(max_examples=60, deadline=None)
