@@ -62,8 +62,8 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         (F.col(date_col) if date_col else _default_date(F.col(id_col).cast("long"))).alias("date"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("digest"))
-    groups = staged(named.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-                    .withColumnRenamed("payload_bytes", "group_bytes"), "payloads")
+    groups = (named.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+              .withColumnRenamed("payload_bytes", "group_bytes"))
     return attach(named, groups, "digest", "n", pages.count()).where("payload_bytes = group_bytes").drop("group_bytes", "n")
 
 
