@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.common import small_batches, worker_store
@@ -375,8 +375,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.md5(F.concat(F.lit("toxic:"), F.col(id_col).cast("string"))).alias("key"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    chosen = known.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))).where(
-        F.col("rank") <= F.when(F.col("label") == 1, FIT_TOXIC).otherwise(FIT_CLEAN))
+    # the smallest keys of each class, by a bounded top-n of every task
+    chosen = None
+    for label, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
+        part = known.where(F.col("label") == label).orderBy("key", "id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
     words = F.slice(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", FIT_WORDS + 1), 1, FIT_WORDS)
     rows = (docs.select(F.col(id_col).alias("id"), words.alias("words")).join(F.broadcast(chosen.select("id", "label", "key")), "id")
             .select("key", "label", F.array_join("words", " ").alias("text")).toPandas().sort_values(["key", "text"]))
