@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm.common import keep_once, load, staged
-from loupe.llm.exactdedup import exact_dedup
+from loupe.llm.exactdedup import exact_dedup, normalised
 from loupe.llm.mixing import in_training_order, mix
 from loupe.llm.packing import pack
-from loupe.llm.simhash import near_duplicates
+from loupe.llm.simhash import near_groups, text_digest
 from loupe.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 #: As in the near-dedup query: three-word shingles, at most three differing bits.
@@ -27,14 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
-    return keep_once(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    """Of equal texts, the document with the smallest id stays; one without id if none has an id."""
+    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
+    return keep_once(docs, kept, F.sha2(normalised("text"), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays; one without id stays."""
-    found = near_duplicates(docs, SHINGLE, MAX_BITS)
-    return keep_once(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Of each group of near copies, the document with the smallest id stays; one without id if none
+    has an id.  Of several texts with that id in the group, the one with the smallest digest stays."""
+    found = near_groups(docs, SHINGLE, MAX_BITS)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group_fp", "doc_id").agg(F.min("text_sha256").alias("text_sha256"))
+    return keep_once(docs, kept, text_digest("text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,14 +59,16 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
     return spread.unionByName(rest)
 
 
-def keep_once(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept``, one row for each id (null is an id too); all columns
-    stay.  Of repeated rows of one id, the one with the smallest hash of all columns stays."""
-    from pyspark.sql import Window
-    ids = kept.select(F.col(id_col).alias("__kept")).distinct()
-    joined = docs.join(ids, docs[id_col].eqNullSafe(ids["__kept"]), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return joined.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+def keep_once(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "doc_id", digest_col: str = "text_sha256") -> DataFrame:
+    """Rows of ``docs`` whose pair of id and ``digest`` (of their text) is in ``kept`` (``id_col``,
+    ``digest_col``), one row for each pair; all columns stay.  A null id is an id: its rows differ by
+    digest.  Of rows of one pair, the one with the smallest hash of all columns stays; they are
+    combined before the shuffle, so a pair that many rows share is no large group."""
+    pair = lambda c: F.concat_ws(":", F.col(id_col).cast("string"), c).alias("__pair")  # noqa: E731  (without id: the digest alone)
+    row = F.struct(F.xxhash64(*docs.columns).alias("__hash"), *docs.columns)
+    once = docs.groupBy(pair(digest)).agg(F.min(row).alias("__row"))
+    return (once.join(kept.select(pair(F.col(digest_col))), "__pair", "left_semi")
+            .select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def worker_store() -> dict:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loupe.llm.common import attach, small_batches, staged
@@ -226,6 +226,11 @@ def links(distinct: DataFrame, budget: int) -> DataFrame:
     return dealt.groupBy("pair").applyInPandas(join, "u long, v long")
 
 
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of the text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fp (64 bits as a long), component_id (smallest id of the
@@ -235,8 +240,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col
     members but never name a component; one of such rows only has a null component_id.  Repeated
     rows are repeated in the result, an empty table gives an empty one, and other columns of
     ``docs`` are not read.  Whole texts are hashed, whatever their length."""
-    small_batches(docs.sparkSession)
-    prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp")), "prints")
+    prints = docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col, shingle).alias("fp"))
+    return _grouped(prints, max_bits).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_duplicates, with text_sha256 (``text_digest``) and group_fp, a fingerprint that names the
+    component also where ids are null or repeated."""
+    prints = docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("text_sha256"), fingerprint_column(text_col, shingle).alias("fp"))
+    return _grouped(prints, max_bits).select(F.col("id").alias(id_col), "fp", "component_id", "text_sha256", "group_fp")
+
+
+def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+    """The rows of ``prints`` (id, fp and others) with component_id and group_fp of their component."""
+    small_batches(prints.sparkSession)
+    prints = staged(prints, "prints")
     n_rows = prints.count()
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("size")), "classes")
     stars = staged(components(links(classes.select("fp"), max_bits)), "stars")
@@ -244,7 +262,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 3, id_col
     members = staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
                      .join(classes.select(F.col("fp").alias("node"), "least_id"), "node"), "members")
     tops = staged(members.groupBy("root").agg(F.min("least_id").alias("top_id"), F.count(F.lit(1)).alias("members")), "tops")
-    named = attach(members.select("node", "root"), tops, "root", "members", n_rows).select(F.col("node").alias("fp"), "top_id", F.lit(True).alias("linked"))
+    named = attach(members.select("node", "root"), tops, "root", "members", n_rows).select(F.col("node").alias("fp"), "top_id", "root", F.lit(True).alias("linked"))
     classes = staged(classes.join(named, "fp", "left")
-                     .select("fp", "size", F.when(F.col("linked"), F.col("top_id")).otherwise(F.col("least_id")).alias("component_id")), "classes")
-    return attach(prints, classes, "fp", "size", n_rows).select(F.col("id").alias(id_col), "fp", "component_id")
+                     .select("fp", "size", F.when(F.col("linked"), F.col("top_id")).otherwise(F.col("least_id")).alias("component_id"),
+                             F.coalesce("root", "fp").alias("group_fp")), "classes")
+    return attach(prints, classes, "fp", "size", n_rows)

@@ -57,3 +57,26 @@ def test_keep_once_and_odd_rows(spark, sf):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_null_and_repeated_ids_with_different_texts(spark, sf):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "copper", "window")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(d, t, "en", "s", 1) for d, t in [(3, texts[0]), (7, texts[0]), (7, texts[1]), (None, texts[1]), (None, texts[2]),
+                                              (None, texts[2].replace(" ", "  ")), (None, "alone"), (None, None), (None, "")]]
+    docs = staged(spark.createDataFrame(rows, schema).repartition(3))
+    out = staged(P.drop_exact_copies(spark, docs, sf))
+    want = {(3, texts[0]), (7, texts[1]), (None, texts[2]), (None, "alone"), (None, "")}
+    got = [(r.doc_id, norm(r.text)) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    out = P.drop_near_copies(spark, out, sf)
+    assert sorted(norm(r.text) for r in out.collect()) == sorted(t for _, t in want)
+
+    # near copies: of one id, of no id, and one id in two groups
+    bits = lambda a, b: (plain_fingerprint(a, 3) ^ plain_fingerprint(b, 3)).bit_count()
+    upper = [t.upper() for t in texts]
+    assert all(bits(a, b) == 0 for a, b in zip(texts, upper)) and min(bits(a, b) for a in texts for b in texts if a != b) > 3
+    rows = [(d, t, "en", "s", 1) for d, t in [(7, texts[0]), (7, upper[0]), (7, texts[1]), (9, upper[1]), (None, texts[2]), (None, upper[2])]]
+    out = P.drop_near_copies(spark, staged(spark.createDataFrame(rows, schema)), sf)
+    got = [(r.doc_id, r.text.lower()) for r in out.collect()]
+    assert len(got) == 3 and set(got) == {(7, texts[0]), (7, texts[1]), (None, texts[2])}
