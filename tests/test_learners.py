@@ -146,3 +146,26 @@ def test_dark_numbers_base_formula(spark):
     d = {(r["type"], r["target"]): r["dark_number"] for r in N.dark_numbers(pred, ["a", "b"]).collect()}
     # target b: TN=1, FP=1 -> TNr 0.5; TP=2, FN=0 -> TPr 1
     assert abs(d[("base", "b")] - (1 - 0.5) * (2 - 1.0)) < 1e-9
+
+
+def test_registered_learners_take_the_library_settings(spark, sf, monkeypatch):
+    from loupe.operators.reduce import FittedReduction
+    from loupe.plans import queries_learners as Q
+    from loupe.plans import registry
+    registry.load_all()
+    fits, reductions = [], []
+
+    def fit(code, train, k, **settings):
+        fits.append((code, settings))
+        return real_fit("DUMY", train, k)
+
+    def reduce(code, train, k, algorithm=None, n=None):
+        reductions.append((code, n))
+        return FittedReduction(lambda df: df, None)
+    real_fit = A.fit
+    monkeypatch.setattr(Q.A, "fit", fit)
+    monkeypatch.setattr(Q, "fit_reduction", reduce)
+    for name in ("A5_gradient_boosting", "A6_hist_gradient_boosting", "A24_balanced_random_forest", "A27_easy_ensemble", "D8_nmf", "D9_n_components_used"):
+        registry.QUERIES[name](spark, sf)
+    assert fits == [(code, {}) for code in ("GBC", "HIST", "BARF", "EAEC")]
+    assert len(reductions) == 9 and all(n is None for _, n in reductions)
