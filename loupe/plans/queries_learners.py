@@ -149,17 +149,37 @@ def q_e7(spark, sf):
 
 
 # ---------------------------------------------------------------- N10-N13: correction factor
-@query("N10_N13_correction_factor")
+def _factor(f, positive, sample_size=1.0):
+    """Flip 20 % of a class's labels, refit Gaussian NB on every split x repeat."""
+    return N.correction_factor(f, "GNB", K, positive=positive, flip_fraction=0.2, n_splits=5, n_repeats=2,
+                               sample_size=sample_size, key="vec_id")
+
+
+@query("N10_correction_factors")
 def q_n10(spark, sf):
-    """Flip 20 % of class 0's labels, refit Gaussian NB on every split x repeat, report the factor per
-    sample share and its extrapolation to the whole table."""
+    """The correction factor of every class, measured on the whole table: one row a class."""
+    f = emb_frame(spark, sf).select("vec_id", "label_idx", "features")
+    rows = []
+    for i, label in enumerate(EMB_LABELS):
+        r = _factor(f, i)
+        rows.append((label, float(r["factor"]), r["skipped"], r["n_rows"]))
+    out = spark.createDataFrame(rows, "label string, factor double, skipped boolean, n_rows long")
+    return out.select("label", r6("factor").alias("factor"), "skipped", "n_rows")
+
+
+@query("N10_N13_correction_factor")
+def q_n13(spark, sf):
+    """For every class, the factor per sample share and its extrapolation to the whole table."""
     f = emb_frame(spark, sf).select("vec_id", "label_idx", "features")
-    points = []
-    for share in (0.5, 0.75, 0.9):
-        r = N.correction_factor(f, "GNB", K, positive=0, flip_fraction=0.2, n_splits=5, n_repeats=2,
-                                sample_size=share, key="vec_id")
-        points.append((share, r["factor"], r["skipped"]))
-    measured = spark.createDataFrame([(f"sample_{s}", float(v), sk) for s, v, sk in points],
-                                     "model string, factor double, skipped boolean")
-    ext = N.extrapolated_factor(spark, [(s, v) for s, v, sk in points if not sk]).withColumn("skipped", F.lit(False))
-    return measured.unionByName(ext).select("model", r6("factor").alias("factor"), "skipped")
+    out = None
+    for i, label in enumerate(EMB_LABELS):
+        points = []
+        for share in (0.5, 0.75, 0.9):
+            r = _factor(f, i, share)
+            points.append((share, r["factor"], r["skipped"]))
+        measured = spark.createDataFrame([(f"sample_{s}", float(v), sk) for s, v, sk in points],
+                                         "model string, factor double, skipped boolean")
+        ext = N.extrapolated_factor(spark, [(s, v) for s, v, sk in points if not sk]).withColumn("skipped", F.lit(False))
+        part = measured.unionByName(ext).select(F.lit(label).alias("label"), "model", r6("factor").alias("factor"), "skipped")
+        out = part if out is None else out.unionByName(part)
+    return out
