@@ -154,3 +154,31 @@ def op12_fill_in_middle(spark, sf_dir):
     made = restore(fill_in_middle(load(spark, sf_dir, "documents")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op11_phrase_collocations", r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT doc, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pno FROM d),
+s AS (SELECT doc, lang, pno, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+o AS (SELECT doc, lang, pno, unnest(words) AS w1, generate_subscripts(words, 1) AS pos FROM s),
+x AS (SELECT lang, w1, lead(w1, 1) OVER w AS w2, lead(w1, 2) OVER w AS w3 FROM o WINDOW w AS (PARTITION BY doc, pno ORDER BY pos)),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+f1 AS (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS f FROM x GROUP BY ALL HAVING count(*) >= 10),
+f2 AS (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS f FROM x WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM x WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c2 AS (SELECT f2.lang, w1 || ' ' || w2 AS phrase, f2.f AS a, l.f AS l, r.f AS r, 1000000 * f2.f * f2.f // (l.f * r.f) AS score
+       FROM f2 JOIN f1 l USING (lang, w1) JOIN f1 r ON r.lang = f2.lang AND r.w1 = w2
+       WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+         AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)),
+g AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+             1000000 * f3.f * f3.f // (l1.f * r1.f) AS s1, 1000000 * f3.f * f3.f // (l2.f * r2.f) AS s2
+      FROM f3 JOIN f1 l1 ON l1.lang = f3.lang AND l1.w1 = f3.w1 JOIN f2 r1 ON r1.lang = f3.lang AND r1.w1 = f3.w2 AND r1.w2 = f3.w3
+              JOIN f2 l2 ON l2.lang = f3.lang AND l2.w1 = f3.w1 AND l2.w2 = f3.w2 JOIN f1 r2 ON r2.lang = f3.lang AND r2.w1 = f3.w3),
+c AS (SELECT * FROM c2 UNION ALL SELECT lang, phrase, a, if(s1 <= s2, l1, l2), if(s1 <= s2, r1, r2), least(s1, s2) FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM k JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_phrase_collocations(spark, sf_dir):
+    from loupe.llm.collocations import collocations
+    return collocations(load(spark, sf_dir, "documents"))
