@@ -20,6 +20,7 @@ HOT_LEAST = 1000
 
 #: Rows of an Arrow batch sent to Python; whole texts travel in them, so it is kept small.
 BATCH_ROWS = 1000
+BATCH_BYTES = "16m"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as a batch is held in memory whole."""
+    """Bound the rows and bytes of an Arrow batch, as a batch is held in memory whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -182,3 +182,9 @@ FROM k JOIN n USING (lang) WHERE rank <= 2000""")
 def op11_phrase_collocations(spark, sf_dir):
     from loupe.llm.collocations import collocations
     return collocations(load(spark, sf_dir, "documents"))
+
+
+@query("op13_jaccard_join")
+def op13_jaccard_join(spark, sf_dir):
+    from loupe.llm.jaccard import jaccard_components
+    return jaccard_components(load(spark, sf_dir, "documents"), shingle=3, percent=90)
