@@ -242,9 +242,9 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
 def _order(prints: DataFrame) -> np.ndarray:
     """Counts of shingles by the upper bits of their hash; 2**SKETCH_BITS of them, whatever the input."""
     found = (prints.where("bucket is not null").select(F.explode(F.arrays_zip("bucket", "seen")).alias("x"))
-             .groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.seen").alias("seen")).toPandas())
+             .groupBy(F.col("x.bucket").alias("bucket")).agg(F.sum("x.seen").alias("seen")).toArrow())
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[found["bucket"].to_numpy(np.int64)] = found["seen"].to_numpy(np.int64)
+    out[found["bucket"].to_numpy()] = found["seen"].to_numpy()
     return out
 
 
@@ -273,11 +273,14 @@ def _postings(docs: DataFrame, shingle: int, order: np.ndarray, rule: Rule) -> D
 
 
 def _bit_set(rows: DataFrame, key: str) -> np.ndarray:
-    """2**FILTER_BITS bits (of fixed size) in which all values of ``key`` are marked, and others may be."""
-    found = rows.select(F.expr(f"{key} & {(1 << FILTER_BITS) - 1}").cast("int").alias("bit")).distinct().toPandas()
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[found["bit"].to_numpy(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+    """2**FILTER_BITS bits (of fixed size) in which all values of ``key`` are marked, and others may be.
+    The driver gets them in words of 64."""
+    at = F.expr(f"{key} & {(1 << FILTER_BITS) - 1}")
+    words = rows.select(at.alias("at")).groupBy(F.expr("cast(shiftright(at, 6) as int)").alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _in_bit_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
