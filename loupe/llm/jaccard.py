@@ -378,10 +378,12 @@ def _grouped(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.withColumn("grp", F.pmod(F.xxhash64(*LISTS), F.lit(n_rows // GROUP_ROWS + n_items // GROUP_ITEMS + 1)).cast("int"))
 
 
-def _sized(members: DataFrame, heavy_from: int) -> DataFrame:
-    """Members (token, short, n) with the size of their list; lists without a pair to compare go."""
+def _sized(members: DataFrame, rule: Rule, heavy_from: int) -> DataFrame:
+    """Members (token, short, n) with the size of their list; lists without a pair to compare go, as do
+    lists of two sets whose sizes do not fit (most of those that meet by chance)."""
     n_rows = members.count()
-    lists = staged(members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("top")).where(f"size > 1 and top >= {heavy_from}").drop("top"), "lists")
+    lists = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("top"))
+    lists = staged(lists.where(f"top >= {heavy_from} and (size > 2 or size = 2 and 100 * low >= {rule.percent} * top)").select("token", "size"), "lists")
     return attach(members, lists, "token", "size", n_rows)
 
 
@@ -402,7 +404,7 @@ def _candidates(members: DataFrame, classes: DataFrame, rule: Rule, heavy_from:
             met[a] = met[b] = True
         return pdf.loc[met, ["token", "short", "n"]]
 
-    rows = _blocks(_sized(members, heavy_from)).join(classes.select("short", "n", "coarse"), "short")
+    rows = _blocks(_sized(members, rule, heavy_from)).join(classes.select("short", "n", "coarse"), "short")
     return _grouped(rows, members).groupBy("grp").applyInPandas(run, "token long, short long, n long").distinct()
 
 
@@ -423,7 +425,7 @@ def _verified(edges: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _heavy_links(members: DataFrame, sets: DataFrame, rule: Rule, heavy_from: int) -> list[DataFrame]:
     """Links (u, v) that connect all linked heavy pairs of ``members`` (token, short, n)."""
-    rows = _grouped(_blocks(_sized(members, heavy_from)).join(sets.select("short", "digest", "n", "fine"), "short"), members)
+    rows = _grouped(_blocks(_sized(members, rule, heavy_from)).join(sets.select("short", "digest", "n", "fine"), "short"), members)
     spark = members.sparkSession
     tried = spark.createDataFrame([], "grp int, token long, i int, j int, u string, v string, linked boolean")
     links, turn = [], 0
