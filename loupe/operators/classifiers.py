@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml import regression as Rg
 from pyspark.ml.feature import Binarizer, VectorSlicer
@@ -27,8 +28,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
-from loupe.functions.split import hash_unit
+from loupe.operators import trees as T
 from loupe.session import cut_lineage
 
 FEATURES, LABEL, PRED, PROB, WEIGHT, KEY = "features", "label_idx", "prediction", "probability", "weight", "_key"
@@ -182,10 +184,9 @@ class LinearScoreFitted(Fitted):
         self.feature_weights = np.abs(np.asarray(W1, float) - np.asarray(W1, float).mean(axis=0)).sum(axis=0)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.sql import types as T
         base = df.drop(PRED, PROB)
-        schema = T.StructType(base.schema.fields + [T.StructField(PRED, T.DoubleType()),
-                                                    T.StructField(PROB, T.ArrayType(T.DoubleType()))])
+        schema = types.StructType(base.schema.fields + [types.StructField(PRED, types.DoubleType()),
+                                                        types.StructField(PROB, types.ArrayType(types.DoubleType()))])
         bc, mode = self.bc, self.mode
 
         def score(batches):
@@ -419,103 +420,70 @@ def _with_content_key(train: DataFrame) -> DataFrame:
     return train.withColumn(KEY, F.md5(F.concat_ws("|", F.col(LABEL), F.to_json(vector_to_array(F.col(FEATURES))))))
 
 
-def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, undersample: bool = False, **_) -> Fitted:
-    """A7 (SAMME with depth-1 trees) and A26 (random undersampling before each round).
-
-    Each round is one weighted tree fit + one aggregate for the weighted error; the weight
-    column update grows the plan, so lineage is cut with a reliable checkpoint every 10 rounds.
-    """
-    from loupe.operators.resample import random_undersample
-    df = _with_content_key(train).select(KEY, FEATURES, LABEL).withColumn(WEIGHT, F.lit(1.0)).persist()
-    members, alphas = [], []
-    for r in range(rounds):
-        fit_on = random_undersample(df, seed=seed + r) if undersample else df
-        m = C.DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxDepth=1,
-                                     seed=seed + r).fit(fit_on)
-        scored = m.transform(df)
-        err_row = scored.agg(F.sum(F.when(F.col(PRED) != F.col(LABEL), F.col(WEIGHT)).otherwise(0.0)).alias("e"),
-                             F.sum(WEIGHT).alias("w")).first()
-        err = err_row["e"] / err_row["w"] if err_row["w"] else 1.0
-        if err >= 1.0 - 1.0 / k:
-            break
-        alpha = math.log(max(1.0 - err, 1e-12) / max(err, 1e-12)) + math.log(k - 1)
-        members.append(SparkFitted(m, has_probability=False))
-        alphas.append(alpha)
-        if err <= 0:
-            break
-        prev = df
-        df = scored.withColumn(WEIGHT, F.when(F.col(PRED) != F.col(LABEL), F.col(WEIGHT) * math.exp(alpha))
-                               .otherwise(F.col(WEIGHT))).drop(PRED, PROB, "rawPrediction")
-        # each round's weights are read by several passes of the next fit: keep them cached,
-        # and cut the lineage reliably every 10 rounds so a lost executor replays little
-        df = cut_lineage(df) if (r + 1) % 10 == 0 else df.persist()
-        prev.unpersist()
-    if not members:
-        return fit_dummy(train, k)
+class ForestFitted(Fitted):
+    """Scores from one table of nodes (``trees.FlatForest``), in one pass of Arrow batches; the plan does not
+    depend on the number of trees.  ``softmax_from``: scores to start from, of which the softmax is taken."""
 
-    class Boosted(Fitted):
-        has_probability = True
-        feature_weights = sum(a * m.model.featureImportances.toArray() for a, m in zip(alphas, members))
+    has_probability = True
 
-        tag = f"_b{next(_TAGS)}_"
+    def __init__(self, spark, forest: T.FlatForest, softmax_from=None):
+        self.forest, self.start = forest, softmax_from
+        self.bc = spark.sparkContext.broadcast(forest)
+        self.feature_weights = forest.gains
 
-        def transform(self, d: DataFrame) -> DataFrame:
-            tag = self.tag
-            # hard votes weighted by alpha, then softmax-free normalisation into a probability
-            out = d.drop(PRED, PROB)
-            for i, mm in enumerate(members):
-                t = mm.transform(out)
-                one_hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                                      lambda j: F.when(j == F.col(PRED).cast("int"), F.lit(alphas[i])).otherwise(0.0))
-                out = t.withColumn(f"{tag}{i}", one_hot).drop(PRED, PROB)
-            acc = F.col(f"{tag}0")
-            for i in range(1, len(members)):
-                acc = F.zip_with(acc, F.col(f"{tag}{i}"), lambda a, b: a + b)
-            tot = float(sum(alphas))
-            out = out.withColumn(tag + "s", F.transform(acc, lambda v: v / F.lit(tot)))
-            return (out.withColumn(PRED, argmax(F.col(tag + "s"))).withColumn(PROB, F.col(tag + "s"))
-                    .drop(tag + "s", *[f"{tag}{i}" for i in range(len(members))]))
-    return Boosted()
+    def transform(self, df: DataFrame) -> DataFrame:
+        bc, start = self.bc, self.start
+
+        @F.pandas_udf("array<double>")
+        def scores(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            out = bc.value.scores(np.stack(x.to_numpy()))
+            if start is not None:
+                out = T._softmax(out + start)
+            return pd.Series(list(out))
+
+        name = f"_f{next(_TAGS)}"
+        out = df.drop(PRED, PROB).withColumn(name, scores(vector_to_array(F.col(FEATURES))))
+        return out.withColumn(PRED, argmax(F.col(name))).withColumn(PROB, F.col(name)).drop(name)
+
+
+def _binned(train: DataFrame, k: int, bins: int = T.BINS) -> T.Binned:
+    return T.bin_rows(_with_content_key(train), k, KEY, FEATURES, LABEL, bins)
+
+
+def fit_adaboost(train: DataFrame, k: int, rounds: int = 50, seed: int = 0, undersample: bool = False) -> Fitted:
+    """A7 (SAMME on stumps) and A26 (each round fitted on a balanced draw): one aggregate a round."""
+    data = _binned(train, k)
+    redraw = T.Bags(T.even_rates(data.counts, True), True, seed) if undersample else None
+    stumps = T.boost_stumps(data, 1, rounds, redraw=redraw)
+    if not len(stumps.bag):
+        return fit_dummy(train, k)
+    return ForestFitted(train.sparkSession, T.stump_forest(data, stumps))
 
 
 def fit_bagging(train: DataFrame, k: int, n_bags: int = 10, seed: int = 0, balanced: bool = False,
-                base: str = "tree", max_depth: int = TREE_DEPTH, rounds: int = EASY_ROUNDS, **_) -> Fitted:
-    """A8 bagging (Poisson(1) bootstrap weights), A25 balanced bagging (undersampled bags),
-    A24 balanced random forest, A27 easy ensemble (AdaBoost on undersampled bags)."""
-    from loupe.operators.resample import random_undersample
-    members = []
-    train = _with_content_key(train)
-    for b in range(n_bags):
-        if balanced:
-            bag = random_undersample(train, seed=seed + b)
-            bag = bag.withColumn(WEIGHT, F.lit(1.0))
-        else:
-            # Poisson(1) bootstrap multiplicity as a weight: no row replication, no shuffle
-            bag = train.withColumn(WEIGHT, _poisson1(hash_unit(seed + b, F.col(KEY), 0)))
-        if base == "tree":
-            m = SparkFitted(C.DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                                     maxDepth=max_depth, seed=seed + b).fit(bag))
-        elif base == "forest":  # one tree of a forest per bag: each tree has a draw of its own
-            m = SparkFitted(C.RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=1,
-                                                     maxDepth=max_depth, seed=seed + b).fit(bag))
-        else:  # adaboost
-            m = fit_adaboost(bag.drop(WEIGHT), k, rounds=rounds, seed=seed + 100 * b)
-        members.append(m)
-    return Averaged(members, k)
-
-
-def _poisson1(u: Column) -> Column:
-    """Poisson(1) draw from one uniform by inverting the CDF (k <= 7 covers 1 - 1e-5)."""
-    cdf, p, expr = 0.0, math.exp(-1.0), None
-    branches = []
-    for kk in range(8):
-        cdf += p
-        branches.append((cdf, kk))
-        p = p / (kk + 1)
-    expr = F.lit(8.0)
-    for cdf_v, kk in reversed(branches):
-        expr = F.when(u < cdf_v, F.lit(float(kk))).otherwise(expr)
-    return expr
+                base: str = "tree", max_depth: int = TREE_DEPTH, rounds: int = EASY_ROUNDS) -> Fitted:
+    """A8 bagging and A25 balanced bagging (trees on bootstrap draws, balanced by class or not), A24 balanced
+    random forest (a draw of the features at each node too), A27 easy ensemble (AdaBoost on balanced draws)."""
+    data = _binned(train, k)
+    rates = T.even_rates(data.counts, balanced)
+    if base == "ada":
+        stumps = T.boost_stumps(data, n_bags, rounds, bags=T.Bags(rates, True, seed))
+        if not len(stumps.bag):
+            return fit_dummy(train, k)
+        return ForestFitted(train.sparkSession, T.stump_forest(data, stumps))
+    share = max(1, math.isqrt(data.d)) if base == "forest" else None
+    return ForestFitted(train.sparkSession, T.grow_forest(data, n_bags, T.Bags(rates, False, seed), share, max_depth, seed))
+
+
+def fit_hist_boosting(train: DataFrame, k: int, rounds: int = T.HIST_ROUNDS, learning_rate: float = T.LEARNING_RATE,
+                      max_leaves: int = T.LEAVES, min_rows: int = T.LEAST_ROWS) -> Fitted:
+    """Second-order boosting of k trees a round on the softmax loss."""
+    forest, start, losses = T.boost_histograms(_binned(train, k, T.HIST_BINS), rounds, learning_rate, max_leaves, min_rows)
+    out = ForestFitted(train.sparkSession, forest, start)
+    out.losses = losses
+    return out
 
 
 def fit_self_training(train: DataFrame, k: int, unlabelled: DataFrame | None = None, threshold: float = 0.75,
@@ -586,7 +554,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
         return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
     if code == "RFCL":
         return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
-    if code in ("GBC", "HIST"):
+    if code == "GBC":
         return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=3, seed=seed, **L), train, k)
     if code in ("LSVC", "SVC", "SGDE"):
         return fit_ovr(lambda: C.LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L), train, k,
@@ -681,6 +649,7 @@ def fit(code: str, train: DataFrame, k: int, **kw) -> Fitted:
     composed = {
         "DUMY": fit_dummy, "NCT": fit_nearest_centroid, "GNB": fit_gaussian_nb, "LDA": fit_lda, "QDA": fit_qda,
         "REC": fit_ridge,
+        "HIST": fit_hist_boosting,
         "ABC": lambda t, kk, **a: fit_adaboost(t, kk, **a),
         "RUBC": lambda t, kk, **a: fit_adaboost(t, kk, undersample=True, **a),
         "BGC": lambda t, kk, **a: fit_bagging(t, kk, **a),
