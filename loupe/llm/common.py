@@ -61,16 +61,29 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
     return spread.unionByName(rest)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct whose field names cannot clash with others (c0, c1, ...)."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def row_hash(doc: str) -> Column:
+    """A hash of a whole row, maps included (a tie means equal rows but for chance)."""
+    return F.xxhash64(F.to_json(F.col(doc)))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the column doc (``whole_row``)."""
+    return rows.select(*[F.col("doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+
+
 def keep_once(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "doc_id", digest_col: str = "text_sha256") -> DataFrame:
     """Rows of ``docs`` whose pair of id and ``digest`` (of their text) is in ``kept`` (``id_col``,
-    ``digest_col``), one row for each pair; all columns stay.  A null id is an id: its rows differ by
-    digest.  Of rows of one pair, the one with the smallest hash of all columns stays; they are
-    combined before the shuffle, so a pair that many rows share is no large group."""
-    pair = lambda c: F.concat_ws(":", F.col(id_col).cast("string"), c).alias("__pair")  # noqa: E731  (without id: the digest alone)
-    row = F.struct(F.xxhash64(*docs.columns).alias("__hash"), *docs.columns)
-    once = docs.groupBy(pair(digest)).agg(F.min(row).alias("__row"))
-    return (once.join(kept.select(pair(F.col(digest_col))), "__pair", "left_semi")
-            .select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    ``digest_col``), one row for each pair; all columns stay, of any type and name.  A null id is an id:
+    its rows differ by digest.  Of rows of one pair, the one with the smallest hash of all columns stays;
+    they are combined before the shuffle, so a pair that many rows share is no large group."""
+    pair = lambda c: F.concat_ws(":", F.col(id_col).cast("string"), c).alias("pair")  # noqa: E731  (without id: the digest alone)
+    once = docs.select(pair(digest), whole_row(docs).alias("doc")).groupBy("pair").agg(F.min_by("doc", row_hash("doc")).alias("doc"))
+    return unpacked(once.join(kept.select(pair(F.col(digest_col))), "pair", "left_semi"), docs)
 
 
 def worker_store() -> dict:

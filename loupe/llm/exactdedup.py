@@ -34,28 +34,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives an empty result; other columns of ``docs`` are not read."""
     n_rows = docs.count()
     limit = hot_limit(n_rows)
-    texts = (docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-             .select("id", "norm", F.xxhash64("norm").alias("hash")))
+    # a row's place in the read table, so that slices also part rows without id or with one id
+    texts = (docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"), F.monotonically_increasing_id().alias("position"))
+             .select("id", "norm", "position", F.xxhash64("norm").alias("hash")))
     hot = (texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
            .select("hash", F.ceil(F.col("n") / limit).alias("slices")))
     keyed = (texts.join(F.broadcast(hot), "hash", "left")
              .select("id", "norm", "hash", F.substring("norm", 1, HEAD_CHARS).alias("head"),
                      F.col("slices").isNotNull().alias("hot"),
-                     F.coalesce(F.pmod(F.xxhash64("id"), F.col("slices")), F.lit(0).cast("long")).alias("slice")))
+                     F.coalesce(F.pmod(F.xxhash64("position"), F.col("slices")), F.lit(0).cast("long")).alias("slice")))
     neighbours = Window.partitionBy("head", "hash", "slice", "norm").orderBy(F.col("id").asc_nulls_last())
     whole = neighbours.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = staged(
         keyed.repartitionByRange("head", "hash", "slice")
-        .select("id", "hot", "norm",
+        .select("id", "hot", "slice", "norm",
                 F.first("id").over(whole).alias("run_keep"),
                 F.count(F.lit(1)).over(whole).alias("run_size"),
                 F.row_number().over(neighbours).alias("place"))
-        .select("id", "hot", "run_keep", "run_size", "place", F.sha2("norm", 256).alias("text_sha256")),
+        .select("id", "hot", "slice", "run_keep", "run_size", "place", F.sha2("norm", 256).alias("text_sha256")),
         "content-sort")
-    merged = (runs.where("hot").groupBy("text_sha256")
-              .agg(F.min("run_keep").alias("all_keep"), F.count(F.lit(1)).alias("all_size")))
-    keep = F.when(F.col("hot"), F.col("all_keep")).otherwise(F.col("run_keep"))
+    # of the slices that hold the smallest id (null last), the first keeps it
+    first = F.min(F.struct(F.col("run_keep").isNull().alias("none"), "run_keep", "slice")).alias("first")
+    merged = runs.where("hot").groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("all_size"))
+    keep = F.when(F.col("hot"), F.col("first.run_keep")).otherwise(F.col("run_keep"))
+    here = ~F.col("hot") | (F.col("slice") == F.col("first.slice"))
     return (runs.join(F.broadcast(merged), "text_sha256", "left")
             .select(F.col("id").alias(id_col), keep.alias("keep_id"),
                     F.coalesce("all_size", "run_size").alias("group_size"),
-                    ((F.col("place") == 1) & F.col("id").eqNullSafe(keep)).alias("kept"), "text_sha256"))
+                    ((F.col("place") == 1) & F.col("id").eqNullSafe(keep) & here).alias("kept"), "text_sha256"))

@@ -67,12 +67,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     sources are one source.  A text without words (null, empty) has one piece of no words and no bin
     (null).  Repeated rows and null ids are packed like other rows; repeated rows are of one cluster, so
     never in one bin.  An empty table gives an empty result; other columns are not read.  The same
-    rows give the same bins, however they are partitioned."""
+    rows give the same bins, however they are partitioned; rows without id are dealt by their place in the
+    written table of sizes, so theirs depend on the partitioning."""
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.hex(F.xxhash64(normalised(text_col)))
     rows = staged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-                              cluster.alias("cluster"), word_count(text_col).alias("size")), "sizes")
+                              cluster.alias("cluster"), word_count(text_col).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
     n_shards = max(1, -(-rows.count() // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64("id", "size", F.lit("shard")), F.lit(n_shards))
+    shard = F.pmod(F.xxhash64(F.coalesce("id", "row"), "size", "cluster", F.lit("shard")), F.lit(n_shards))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(pdf["shard"].iloc[0]) << 32

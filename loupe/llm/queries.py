@@ -48,7 +48,7 @@ def op3_license_scan(spark, sf_dir):
 
 @query("op9_mix_sources", r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap, ((rank - 1) % 3 - 1) * 0.5::DOUBLE AS slope FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank) AS ord, sum(source_size) OVER () AS words FROM w),

@@ -43,7 +43,9 @@ END_ID = 1
 SEGMENT_IDS = 1 << 20
 FILE_SEGMENTS = 32
 #: Entries of a worker's memos of encoded chunks and pieces, in each of two generations.
-CHUNKS_MOST, PIECES_MOST = 1 << 18, 1 << 18
+CHUNKS_MOST, PIECES_MOST = 1 << 16, 1 << 18
+#: Characters of a text that are cut into pieces at once.
+STRETCH = 1 << 20
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -132,7 +134,10 @@ def unpack_segments(data: bytes) -> Iterator[tuple[list[int | None], EliasFano,
 #: A chunk that the library's normaliser only lower-cases: printable ASCII and precomposed Latin
 #: letters, no special token.  Its pieces follow the tokenizer's split pattern.
 SIMPLE = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-į]+", re.S)
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-z0-9ß-öø-į]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-į]+|[0-9]|[^a-z0-9ß-öø-į\x20\x09-\x0D]+")
+#: A text of such chunks and ASCII white space is cut into pieces as a whole.
+SIMPLE_TEXT = re.compile(r"[!-~À-ÖØ-öø-į\x20\x09-\x0D]*")
+SPACE_AT = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -162,8 +167,9 @@ class Memo:
 
 
 class Encoder:
-    """Encodes texts chunk by chunk (chunks stand between ASCII white space, which the tokenizer
-    drops) and remembers chunks; the result equals encoding the whole text."""
+    """Encodes texts of simple chunks piece by piece, others chunk by chunk (chunks stand between ASCII
+    white space, which the tokenizer drops), and remembers pieces and chunks; the result equals encoding
+    the whole text."""
 
     def __init__(self, path: str, width: int, memos: tuple[Memo, Memo] | None = None):
         from tokenizers import Tokenizer
@@ -193,9 +199,28 @@ class Encoder:
             self.chunks.put(chunk, found)
         return found
 
+    @staticmethod
+    def _stretches(text: str) -> Iterator[str]:
+        """The text, cut at white space where it is long."""
+        at = 0
+        while len(text) - at > STRETCH and (cut := SPACE_AT.search(text, at + STRETCH)):
+            yield text[at:cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def _simple(self, text: str) -> bytes:
+        pieces = PIECE.findall(text.lower())
+        found = list(map(self.pieces.young.get, pieces))
+        if None in found:
+            found = [self._piece(p) if f is None else f for p, f in zip(pieces, found)]
+        return b"".join(found)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as bytes."""
-        get, chunk, words = self.chunks.young.get, self._chunk, (text or "").encode().split()
+        text = text or ""
+        if "<|" not in text and SIMPLE_TEXT.fullmatch(text):
+            return b"".join(map(self._simple, self._stretches(text)))
+        get, chunk, words = self.chunks.young.get, self._chunk, text.encode().split()
         found = [get(w) for w in words]
         if None in found:
             found = [chunk(w) if f is None else f for w, f in zip(words, found)]
@@ -212,7 +237,7 @@ def whole_encoder(path: str, width: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text",
                       end_id: int = END_ID, width: int = 2, by_chunks: bool = True) -> None:
     """Encode every whole text (null counts as empty), append ``end_id``, and write the files in
-    ascending id order (null ids first; rows of equal ids stand together).  ``by_chunks``: for the
+    ascending id order (null ids first; rows of equal ids in the order of their texts' hashes).  ``by_chunks``: for the
     lower-casing word BPE tokenizer; other tokenizers encode whole texts.  ``tokenizer_path`` is read
     on the executors, which have the tokenizer's package.  An empty table writes no segment."""
     small_batches(docs.sparkSession)
@@ -245,7 +270,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
             yield close()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    (rows.repartitionByRange("id").sortWithinPartitions("id", F.desc("no_id")).mapInArrow(encode, "value binary")
+    order = [F.col("id"), F.desc("no_id"), F.xxhash64("text")]  # the hash parts rows that share an id, or have none
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, "value binary")
      .select(F.col("value").cast("string").alias("value"))
      .write.option("maxRecordsPerFile", FILE_SEGMENTS).option("lineSep", "\n").text(path))
 

@@ -7,7 +7,7 @@ states of both into one vector, and a linear layer gives the window's logit.  A
 from its highest window by a logistic calibration, so one toxic passage marks a long text.
 
 The network is fitted on the driver on a bounded sample of labelled rows (FIT_TOXIC and FIT_CLEAN
-rows, of each at most FIT_WORDS words, chosen by hash).  Labels are of whole texts, so a first round takes all
+rows of whole texts, chosen by hash).  Labels are of whole texts, so a first round takes all
 sampled windows at their text's label, and a second one the highest windows of each text.  Scoring
 covers every window of every whole text; workers remember the input projection of words seen.
 """
@@ -24,11 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.common import small_batches, worker_store
+from loupe.llm.common import small_batches, word_count, worker_store
 
-#: Bounds of the training sample: toxic and clean rows, words of a row, windows of a row in round one.
+#: Bounds of the training sample: toxic and clean rows, words of a row (longer texts are not sampled; those
+#: that are, are taught whole), and windows that a row lends to round one, drawn over the whole text.
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
-FIT_WORDS = 4096
+FIT_LONGEST = 1 << 16
 FIT_WINDOWS = 8
 #: Gradient steps of each round at least, for small samples.
 LEAST_STEPS = (80, 150)
@@ -214,10 +215,10 @@ def window_starts(n_words: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A fitted network, the calibration (weights of the highest logit, of log windows, and a constant)."""
+    """A fitted network, the calibration (weight of the highest logit, and a constant)."""
 
     network: Network | None
-    calibration: tuple[float, float, float]
+    calibration: tuple[float, float]
 
     def window_logits(self, group: list[list[str]], memo: dict) -> tuple[np.ndarray, np.ndarray]:
         """(logits of all windows of the texts' words, number of windows of each text)."""
@@ -258,41 +259,40 @@ class Model:
                     logits[pick] = net.run(memo["table"], flat[np.minimum(index, len(flat) - 1)], mask)
         return logits, n
 
-    def highest(self, texts: list[str | None], memo: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(highest logit, number of windows) of each text, over all windows of the whole text; as many
-        texts at a time as make up a few rounds of windows."""
-        best, counts, group, held = [], [], [], 0
+    def highest(self, texts: list[str | None], memo: dict) -> np.ndarray:
+        """The highest logit of each text, over all windows of the whole text; as many texts at a time as
+        make up a few rounds of windows."""
+        best, group, held = [], [], 0
         for k, text in enumerate(texts):
             group.append(words_of(text))
             held += len(group[-1])
             if held >= 16 * AT_ONCE * STRIDE or k == len(texts) - 1:
                 logits, n = self.window_logits(group, memo)
                 best.append(np.maximum.reduceat(logits, np.cumsum(n) - n))
-                counts.append(n)
                 group, held = [], 0
-        return np.concatenate(best or [np.empty(0)]), np.concatenate(counts or [np.empty(0)])
+        return np.concatenate(best or [np.empty(0)])
 
     def score(self, texts: list[str | None], memo: dict | None = None) -> np.ndarray:
-        a, b, c = self.calibration
+        a, c = self.calibration
         if self.network is None:
             return np.full(len(texts), sigmoid(c))
-        best, n = self.highest(texts, {} if memo is None else memo)
-        return np.clip(sigmoid(a * best + b * np.log(n) + c), 0.0, 1.0)
+        return np.clip(sigmoid(a * self.highest(texts, {} if memo is None else memo) + c), 0.0, 1.0)
 
 
 # ---------------------------------------------------------------- training
 
-def _calibrate(best: np.ndarray, n: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
-    """Weighted logistic regression by Newton steps with a small ridge; the score does not fall with the logit."""
-    x = np.stack([best, np.log(n), np.ones_like(best)], axis=1)
-    beta = np.zeros(3)
+def _calibrate(best: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression on the highest logit of whole texts, by Newton steps with a small ridge;
+    the score does not fall with the logit, and a text's length plays no other part."""
+    x = np.stack([best, np.ones_like(best)], axis=1)
+    beta, ridge = np.zeros(2), np.array([0.1, 0.01])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weights * (q - labels)) + np.array([0.1, 1.0, 0.01]) * beta
-        hess = (x * (weights * q * (1 - q))[:, None]).T @ x + np.diag([0.1, 1.0, 0.01])
+        grad = x.T @ (weights * (q - labels)) + ridge * beta
+        hess = (x * (weights * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         beta -= np.clip(step, -2, 2)
-    return max(float(beta[0]), 0.0), float(beta[1]), float(beta[2])
+    return max(float(beta[0]), 0.0), float(beta[1])
 
 
 def train(texts: list[list[str]], labels: list[int], toxic_share: float, seed: int = 7, rounds: tuple[int, int] = (2, 5)) -> Model:
@@ -301,7 +301,7 @@ def train(texts: list[list[str]], labels: list[int], toxic_share: float, seed: i
     y = np.array(labels)
     if len(set(labels)) < 2:
         share = min(max(toxic_share, 1e-3), 1 - 1e-3)
-        return Model(None, (0.0, 0.0, float(np.log(share / (1 - share)))))
+        return Model(None, (0.0, float(np.log(share / (1 - share)))))
     rng = np.random.default_rng(seed)
     fit = np.ones(len(y), bool)
     for kind in (0, 1):
@@ -351,7 +351,7 @@ def train(texts: list[list[str]], labels: list[int], toxic_share: float, seed: i
         done += 1
         # the highest windows of each text stand for it, and a few others of clean texts
         windows = []
-        logits, n = Model(net, (1.0, 0.0, 0.0)).window_logits([bare_texts[i] for i in all_windows], {})
+        logits, n = Model(net, (1.0, 0.0)).window_logits([bare_texts[i] for i in all_windows], {})
         for (i, starts), own in zip(all_windows.items(), np.split(logits, np.cumsum(n)[:-1])):
             top = starts[np.argsort(-own, kind="stable")[:3 if y[i] == 0 else 1]]
             windows += [(i, int(s)) for s in top]
@@ -359,10 +359,10 @@ def train(texts: list[list[str]], labels: list[int], toxic_share: float, seed: i
                 windows += [(i, int(s)) for s in rng.permutation(starts)[:2]]
         epoch(windows, np.array([y[i] for i, _ in windows], np.float32), 0.005)
     rest = np.flatnonzero(~fit) if len(set(y[~fit])) == 2 else np.arange(len(y))
-    best, n = Model(net, (1.0, 0.0, 0.0)).highest([" ".join(texts[i]) for i in rest], {})
+    best = Model(net, (1.0, 0.0)).highest([" ".join(texts[i]) for i in rest], {})
     share = min(max(toxic_share, 1e-3), 1 - 1e-3)
     weights = np.where(y[rest] == 1, share / y[rest].mean(), (1 - share) / (1 - y[rest]).mean())
-    return Model(net, _calibrate(best, n, y[rest], weights))
+    return Model(net, _calibrate(best, y[rest], weights))
 
 
 def held_out(id_col: str) -> Column:
@@ -371,7 +371,7 @@ def held_out(id_col: str) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows that are not held out: FIT_TOXIC and FIT_CLEAN rows at most, those of the
-    smallest md5 of their id.  Without rows of both classes the model scores every text with the labels' share."""
+    smallest md5 of their id; their texts whole, but for those of over FIT_LONGEST words, which are left out.  Without rows of both classes the model scores every text with the labels' share."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.md5(F.concat(F.lit("toxic:"), F.col(id_col).cast("string"))).alias("key"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -380,9 +380,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for label, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
         part = known.where(F.col("label") == label).orderBy("key", "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    words = F.slice(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+", FIT_WORDS + 1), 1, FIT_WORDS)
-    rows = (docs.select(F.col(id_col).alias("id"), words.alias("words")).join(F.broadcast(chosen.select("id", "label", "key")), "id")
-            .select("key", "label", F.array_join("words", " ").alias("text")).toPandas().sort_values(["key", "text"]))
+    # one text for each id (that of the smallest digest, where ids repeat), so the driver gets no more rows than chosen
+    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen.select("id", "label", "key")), "id")
+            .where(word_count("text") <= FIT_LONGEST).groupBy("key", "label").agg(F.min_by("text", F.md5("text")).alias("text")).toPandas().sort_values(["key", "label"]))
     return train([words_of(t) for t in rows["text"]], rows["label"].tolist(), n_toxic / max(1, n))
 
 

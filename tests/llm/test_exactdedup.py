@@ -41,3 +41,11 @@ def test_a_text_of_a_third_of_all_rows_is_sliced_and_merged(spark, monkeypatch):
     docs = [(i, "the same text") for i in range(400, 0, -1)] + [(1000 + i, f"text {i}") for i in range(500)] + [(2000 + i, f"text {i % 7}") for i in range(100)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     same(exact_dedup(df), docs)
+
+
+def test_hot_texts_of_rows_without_id_or_of_one_id_are_sliced_and_keep_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    docs = [(None, "no id at all")] * 300 + [(7, "one id")] * 200 + [(9, "one id")] * 50 + [(i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    same(exact_dedup(df), docs)
+    assert exact_dedup(df).where("kept").groupBy("text_sha256").count().where("count > 1").count() == 0

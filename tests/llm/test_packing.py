@@ -83,3 +83,16 @@ def test_hot_source_copies_nulls_long_repeated_and_clashing_columns(spark, monke
     rows = pack(odd, capacity=50).collect()
     assert len(rows) == 4 and len({r.bin for r in rows if r.doc_id == 7}) == 2 and sum(r.n_words for r in rows) == 8
     assert pack(df.limit(0)).collect() == []
+
+
+def test_rows_without_id_are_spread_over_the_shards(spark, monkeypatch):
+    """A third of all rows have neither id nor text: no shard holds much more than its share."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 100)
+    largest = []
+    real = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, what: largest.append(real(df, what)) or largest[-1])
+    docs = [(None, None, None)] * 1000 + [(i, f"text {i}", f"s{i % 50}") for i in range(2000)]
+    rows = pack(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4), capacity=50).collect()
+    assert len(rows) == 3000 and sum(r.n_words for r in rows) == 4000
+    shard = F.pmod(F.xxhash64(F.coalesce("id", "row"), "size", "cluster", F.lit("shard")), F.lit(30))
+    assert largest[0].groupBy(shard).count().agg(F.max("count")).first()[0] < 200

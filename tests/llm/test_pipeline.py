@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from loupe.llm.common import staged
 from loupe.llm.packing import CAPACITY
@@ -80,3 +82,14 @@ def test_null_and_repeated_ids_with_different_texts(spark, sf):
     out = P.drop_near_copies(spark, staged(spark.createDataFrame(rows, schema)), sf)
     got = [(r.doc_id, r.text.lower()) for r in out.collect()]
     assert len(got) == 3 and set(got) == {(7, texts[0]), (7, texts[1]), (None, texts[2])}
+
+
+def test_stages_keep_maps_and_clashing_columns(spark, sf):
+    """Columns of types without an order, and named like those that the stages use inside."""
+    rows = [(i, f"text {'a' if i < 6 else i} of document", "en", "s", 3, {"k": i % 2}, "x", 5) for i in range(1, 12)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, doc map<string,int>, hash string, position int")
+    docs = staged(docs.withColumns({"__hash": F.lit(1), "pair": F.lit("p"), "__pair": F.lit("q"), "c0": F.lit(2), "a.b": F.lit(3)}))
+    exact = staged(P.drop_exact_copies(spark, docs, sf))
+    assert exact.columns == docs.columns and sorted(r.doc_id for r in exact.collect()) == [1, *range(6, 12)]
+    mixed = P.mix_sources(spark, staged(P.drop_near_copies(spark, exact, sf)), sf)
+    assert mixed.columns == docs.columns and {r["a.b"] for r in mixed.collect()} == {3}

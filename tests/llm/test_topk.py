@@ -12,10 +12,9 @@ def brute(rows, k, every, scale=1024):
     good = {(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows
             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
-    for q, a in good:
-        if q % every == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    for q in {q for q, _ in good if q % every == 0}:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for name, a in good if name == q for i, b in good if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
@@ -47,3 +46,23 @@ def test_fewer_rows_than_k_and_empty(spark):
     assert rows(exact_top_k(df, k=10, every=1)) == brute(data, 10, 1)
     assert exact_top_k(df.limit(0)).collect() == []
     assert exact_top_k(df.where("vec_id = 0")).collect() == []
+
+
+def test_an_id_with_several_vectors_is_several_candidates_and_queries(spark):
+    rng = random.Random(2)
+    data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    data += [(7, [5.0] * 4), (7, [6.0] * 4), (7, [5.0] * 4), (20, [-3.0, 1.0, 0.0, 2.0]), (20, [1.0] * 4)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = rows(exact_top_k(df, k=5, every=20))
+    assert got == brute(data, 5, 20) and [r[2] for r in got if r[0] == 0][:2].count(7) in (0, 2)
+
+
+def test_the_norm_bound_keeps_phase_three_small(spark, monkeypatch):
+    """Vectors whose strength lies in one list: without the bound nearly all of them would be sent."""
+    rng = random.Random(3)
+    data = [(i, [rng.gauss(0, 3) for _ in range(8)] + [rng.gauss(0, 0.01) for _ in range(8)]) for i in range(400)]
+    sent = []
+    real = topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df, what: (sent.append(out.count()) if what == "sent" else None, out)[1] if (out := real(df, what)) is not None else None)
+    assert rows(exact_top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=5, every=100)) == brute(data, 5, 100)
+    assert sent[0] < 4 * 400 / 4
