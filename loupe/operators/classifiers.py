@@ -211,14 +211,14 @@ class LinearScoreFitted(Fitted):
 
 
 # ------------------------------------------------------------------ composed estimators
-def fit_dummy(train: DataFrame, k: int, **_) -> Fitted:
+def fit_dummy(train: DataFrame, k: int) -> Fitted:
     """A1: most frequent class; probabilities are the class shares (ties -> smallest label)."""
     n = class_counts(train, k)
     prior = n / n.sum()
     return ScoreFitted(lambda x: lit_array(prior), is_prob=True)
 
 
-def fit_nearest_centroid(train: DataFrame, k: int, **_) -> Fitted:
+def fit_nearest_centroid(train: DataFrame, k: int) -> Fitted:
     """Class means; predict the nearest (no probabilities, as the reference's model)."""
     _, mu, _ = class_stats(train, k)
     if mu.shape[1] > DENSE_EXPR_MAX_DIM:  # argmax_c 2 x.mu_c - |mu_c|^2
@@ -227,7 +227,7 @@ def fit_nearest_centroid(train: DataFrame, k: int, **_) -> Fitted:
     return ScoreFitted(lambda x: F.array(*[-sq_dist(x, c) for c in cents]), probs=False)
 
 
-def fit_gaussian_nb(train: DataFrame, k: int, var_smoothing: float = 1e-9, **_) -> Fitted:
+def fit_gaussian_nb(train: DataFrame, k: int, var_smoothing: float = 1e-9) -> Fitted:
     """Per-class mean/population variance + epsilon * largest feature variance."""
     n, mu, var = class_stats(train, k)
     total = train.select(Summarizer.variance(F.col(FEATURES)).alias("v")).first()["v"].toArray()
@@ -247,7 +247,7 @@ def fit_gaussian_nb(train: DataFrame, k: int, var_smoothing: float = 1e-9, **_)
     return ScoreFitted(score)
 
 
-def fit_count_nb(train: DataFrame, k: int, alpha: float = 1.0, complement: bool = False, **_) -> Fitted:
+def fit_count_nb(train: DataFrame, k: int, alpha: float = 1.0, complement: bool = False) -> Fitted:
     """A15 multinomial / A17 complement naive Bayes from per-class feature sums (one grouped
     aggregate).  Scores are linear in x, so rows with negative values (e.g. test rows below
     the training minimum after min-max scaling) are scored, not rejected; training rows must
@@ -290,7 +290,7 @@ def _scatters(train: DataFrame, mu: np.ndarray, pooled: bool) -> np.ndarray:
     return sum_of_batches(train, part, (1 if pooled else k) * d * d).reshape(-1, d, d)
 
 
-def fit_lda(train: DataFrame, k: int, shrink: float = 1e-6, **_) -> Fitted:
+def fit_lda(train: DataFrame, k: int, shrink: float = 1e-6) -> Fitted:
     """Shared covariance, linear discriminants solved on the driver, which holds a d x d matrix
     (reduce the features of very wide data first)."""
     n, mu, _ = class_stats(train, k)
@@ -305,7 +305,7 @@ def fit_lda(train: DataFrame, k: int, shrink: float = 1e-6, **_) -> Fitted:
     return ScoreFitted(lambda x: F.array(*[dot(x, w) + F.lit(bb) for w, bb in rows])).weighed(np.abs(W).sum(axis=0))
 
 
-def fit_qda(train: DataFrame, k: int, reg: float = 1e-6, **_) -> Fitted:
+def fit_qda(train: DataFrame, k: int, reg: float = 1e-6) -> Fitted:
     """One covariance per class; score = log prior - 1/2 log|S_c| - 1/2 ||L_c (x - mu_c)||^2."""
     n, mu, _ = class_stats(train, k)
     scatters = _scatters(train, mu, False)
@@ -329,7 +329,7 @@ def fit_qda(train: DataFrame, k: int, reg: float = 1e-6, **_) -> Fitted:
     return ScoreFitted(score)
 
 
-def fit_ridge(train: DataFrame, k: int, alpha: float = 1.0, **_) -> Fitted:
+def fit_ridge(train: DataFrame, k: int, alpha: float = 1.0) -> Fitted:
     """One-vs-rest least squares on +-1 targets (L2), predict argmax; no probabilities."""
     n = train.count()
     models = []
@@ -487,7 +487,7 @@ def fit_hist_boosting(train: DataFrame, k: int, rounds: int = T.HIST_ROUNDS, lea
 
 
 def fit_self_training(train: DataFrame, k: int, unlabelled: DataFrame | None = None, threshold: float = 0.75,
-                      max_iter: int = 10, **_) -> Fitted:
+                      max_iter: int = 10) -> Fitted:
     """Fit, pseudo-label unlabelled rows with probability > threshold, refit (base: A2)."""
     model = fit_spark("LRN", train, k)
     if unlabelled is None:
@@ -505,7 +505,7 @@ def fit_self_training(train: DataFrame, k: int, unlabelled: DataFrame | None = N
     return model
 
 
-def fit_stacking(train: DataFrame, k: int, base_codes: tuple[str, ...], folds: int = 5, seed: int = 1, **_) -> Fitted:
+def fit_stacking(train: DataFrame, k: int, base_codes: tuple[str, ...], folds: int = 5, seed: int = 1) -> Fitted:
     """Out-of-fold base-model probabilities -> logistic regression."""
     df = _with_content_key(train).withColumn("_f", F.pmod(F.xxhash64(KEY, F.lit(seed)), F.lit(folds)))
     oof_parts = []
@@ -546,18 +546,50 @@ def _n_rows(train: DataFrame) -> int:
     return max(train.count(), 1)
 
 
+#: Settings that each algorithm of ``fit_spark`` takes; another one is an error.
+SETTINGS: dict[str, set[str]] = {
+    "LRN": {"max_iter", "seed", "C", "tol", "class_weight"}, "DTC": {"seed", "max_depth", "criterion"}, "RFCL": {"seed", "max_depth", "trees", "criterion"},
+    "GBC": {"seed", "rounds", "max_depth", "learning_rate"}, "LSVC": {"max_iter", "seed", "C", "tol", "class_weight"}, "SLSV": {"max_iter", "seed"},
+    "MNB": {"seed", "alpha"}, "CNB": {"seed", "alpha"}, "BNB": {"seed", "alpha"}, "MLPC": {"seed", "hidden", "epochs"}}
+SETTINGS |= {"SVC": SETTINGS["LSVC"], "SGDE": SETTINGS["LSVC"]} | dict.fromkeys(
+    ("MLP2", "PYNN", "KERA", "FLAX", "TORA", "TORS", "TOTA", "TOTS", "TOSA", "TOSS"), SETTINGS["MLPC"])
+
+
+def balanced_weights(train: DataFrame, k: int) -> DataFrame:
+    """With a weight that gives every class the same total."""
+    n = class_counts(train, k)
+    each = F.lit(0.0)
+    for c in range(k):
+        if n[c]:
+            each = F.when(F.col(LABEL) == float(c), F.lit(float(n.sum() / (np.count_nonzero(n) * n[c])))).otherwise(each)
+    return train.withColumn(WEIGHT, each)
+
+
 def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: int = 42, **kw) -> Fitted:
+    """An estimator of Spark ML with the settings of ``SETTINGS``.  ``C``: inverse strength of the L2 penalty on
+    the summed loss; ``class_weight``: 'balanced' or None."""
+    given = set(kw) | ({"max_iter"} if max_iter != 100 else set())
+    if unknown := given - SETTINGS.get(code, given):
+        raise ValueError(f"{code} takes no setting {', '.join(sorted(unknown))}")
+    if kw.get("class_weight") not in (None, "balanced"):
+        raise ValueError("class_weight is 'balanced' or None")
     L = dict(featuresCol=FEATURES, labelCol=LABEL)
-    if code in ("LRN", "SGDE_LOG"):
-        return SparkFitted(C.LogisticRegression(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L).fit(train))
+    linear = L | {"maxIter": max_iter, "tol": kw.get("tol", 1e-4)}
+    if code in ("LRN", "LSVC", "SVC", "SGDE"):
+        linear["regParam"] = 1.0 / (kw.get("C", 1.0) * _n_rows(train))
+        if kw.get("class_weight"):
+            train = balanced_weights(train, k)
+            linear["weightCol"] = WEIGHT
+    if code == "LRN":
+        return SparkFitted(C.LogisticRegression(**linear).fit(train))
     if code == "DTC":
-        return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
+        return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", TREE_DEPTH), impurity=kw.get("criterion", "gini"), seed=seed, **L).fit(train))
     if code == "RFCL":
-        return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), seed=seed, **L).fit(train))
+        return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), impurity=kw.get("criterion", "gini"), seed=seed, **L).fit(train))
     if code == "GBC":
-        return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=3, seed=seed, **L), train, k)
+        return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=kw.get("max_depth", 3), stepSize=kw.get("learning_rate", 0.1), seed=seed, **L), train, k)
     if code in ("LSVC", "SVC", "SGDE"):
-        return fit_ovr(lambda: C.LinearSVC(maxIter=max_iter, tol=1e-4, regParam=1.0 / _n_rows(train), **L), train, k,
+        return fit_ovr(lambda: C.LinearSVC(**linear), train, k,
                        has_probability=False)
     if code == "SLSV":
         l1 = C.LogisticRegression(maxIter=max_iter, regParam=0.01, elasticNetParam=1.0, **L).fit(train)
@@ -575,10 +607,10 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
                 return inner.transform(slicer.transform(d)).drop("_sliced")
         return Sliced()
     if code in ("MNB", "CNB"):
-        return fit_count_nb(train, k, complement=(code == "CNB"))
+        return fit_count_nb(train, k, kw.get("alpha", 1.0), complement=(code == "CNB"))
     if code == "BNB":
         b = Binarizer(threshold=0.0, inputCol=FEATURES, outputCol="_bin_features")
-        m = C.NaiveBayes(modelType="bernoulli", smoothing=1.0, featuresCol="_bin_features", labelCol=LABEL).fit(
+        m = C.NaiveBayes(modelType="bernoulli", smoothing=kw.get("alpha", 1.0), featuresCol="_bin_features", labelCol=LABEL).fit(
             b.transform(train))
 
         class Bern(Fitted):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import time
 import traceback
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -173,14 +174,20 @@ def leaderboard(spark, results: list[Result]) -> DataFrame:
 
 def grid_search(train: DataFrame, k: int, labels: list[str], algorithm: Candidate | str, grid: list[dict], n_folds: int,
                 metric: str = "accuracy", key: str | None = None, sampling: Sampling = Sampling()) -> tuple[dict, float]:
-    """The grid point with the best mean CV score (the defaults if all fail)."""
-    best, best_score = {}, -math.inf
+    """The grid point with the best mean CV score.  A point that fails is reported as a warning; if all
+    fail, that is an error, which names what each point met."""
+    best, best_score, failed = {}, -math.inf, []
     for params in grid:
         try:
             scores = cross_val_score(train, k, labels, algorithm, n_folds, metric, key, sampling, **params)
-        except Exception:  # noqa: BLE001 - a failing grid point is skipped
+        except Exception as e:  # noqa: BLE001 - reported below
+            failed.append(f"{params}: {type(e).__name__}: {(str(e).splitlines() or [''])[0][:200]}")
             continue
         s = sum(scores) / len(scores)
         if s > best_score:
             best, best_score = params, s
+    if grid and len(failed) == len(grid):
+        raise RuntimeError("every grid point failed: " + "; ".join(failed))
+    for what in failed:
+        warnings.warn(f"grid point failed: {what}", stacklevel=2)
     return best, best_score

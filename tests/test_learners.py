@@ -189,3 +189,28 @@ def test_correction_factors_of_every_class_on_the_whole_table(spark, sf, monkeyp
     rows = registry.QUERIES["N10_N13_correction_factor"](spark, sf).collect()
     assert asked == [(i, s) for i in range(K) for s in (0.5, 0.75, 0.9)]
     assert {(r.label, r.factor) for r in rows if r.model == "linear"} == {(label, 2.0 + i) for i, label in enumerate(EMB_LABELS)}
+
+
+def test_settings_reach_the_learner_and_unknown_ones_are_errors(spark, frame):
+    from loupe.plans.spotcheck import cross_val_score, grid_search
+    train = frame.filter("split = 'train'").withColumn("fold", F.pmod("vec_id", F.lit(2)))
+    weights = [A.fit("LRN", train, K, C=c).model.coefficientMatrix.toArray() for c in (100.0, 1.0, 0.001)]
+    sizes = [float(np.abs(w).sum()) for w in weights]
+    assert sizes[0] > sizes[1] > sizes[2]
+    scores = [sum(cross_val_score(train, K, EMB_LABELS, "LRN", 2, "f1_macro", C=c)) for c in (100.0, 1e-6)]
+    assert scores[0] != scores[1]
+    for code, bad in (("LRN", {"regularisation": 1.0}), ("GNB", {"alpha": 1.0}), ("MNB", {"C": 1.0}), ("ABC", {"depth": 2})):
+        with pytest.raises((TypeError, ValueError)):
+            A.fit(code, train, K, **bad)
+    with pytest.raises(RuntimeError, match="every grid point failed"):
+        grid_search(train, K, EMB_LABELS, "GNB", [{"nonsense": 1}, {"other": 2}], 2)
+    with pytest.warns(UserWarning, match="nonsense"):
+        best, score = grid_search(train, K, EMB_LABELS, "GNB", [{"nonsense": 1}, {"var_smoothing": 1e-3}], 2)
+    assert best == {"var_smoothing": 1e-3} and score >= 0
+
+
+def test_balanced_weights_give_every_class_the_same_total(spark):
+    rows = [(float(i % 3 == 0) + float(i % 6 == 0),) for i in range(60)]
+    df = A.balanced_weights(spark.createDataFrame(rows, "label_idx double"), 3)
+    totals = [r[1] for r in df.groupBy("label_idx").agg(F.sum("weight")).collect()]
+    assert max(totals) - min(totals) < 1e-9 and abs(sum(totals) - 60) < 1e-9
