@@ -62,12 +62,9 @@ def without_empty_columns(df: DataFrame, spec: SpotCheckSpec) -> tuple[DataFrame
 def correction_factors(p: Prepared, algorithm: str, n_repeats: int = 2, flip_fraction: float = 0.2, n_splits: int = 10,
                        seed: int = 42) -> dict[str, float]:
     """N10 for every class: 1 where the table is too small to measure (N12) or nothing comes back."""
-    out = {}
     frame = p.train().select(p.id_col, "label_idx", "features")
-    for i, label in enumerate(p.labels):
-        r = N.correction_factor(frame, algorithm, len(p.labels), i, flip_fraction, n_splits, n_repeats, seed=seed, key=p.id_col)
-        out[label] = r["factor"] if math.isfinite(r["factor"]) else 1.0
-    return out
+    found = N.correction_factors(frame, algorithm, len(p.labels), flip_fraction, n_splits, n_repeats, seed=seed, key=p.id_col)
+    return {label: f if math.isfinite(f := found[i]["factor"]) else 1.0 for i, label in enumerate(p.labels)}
 
 
 def run(df: DataFrame, spec: SpotCheckSpec, spot: bool = True, parallelism: int = 1, grid: list[dict] | None = None,

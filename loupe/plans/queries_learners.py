@@ -149,37 +149,39 @@ def q_e7(spark, sf):
 
 
 # ---------------------------------------------------------------- N10-N13: correction factor
-def _factor(f, positive, sample_size=1.0):
-    """Flip 20 % of a class's labels, refit Gaussian NB on every split x repeat."""
-    return N.correction_factor(f, "GNB", K, positive=positive, flip_fraction=0.2, n_splits=5, n_repeats=2,
-                               sample_size=sample_size, key="vec_id")
+def _factors(f, sample_size=1.0, predict_mode="predict"):
+    """Flip 20 % of each class's labels; Gaussian NB of every class x split x repeat."""
+    return N.correction_factors(f, "GNB", K, sample_size=sample_size, predict_mode=predict_mode, key="vec_id")
 
 
-@query("N10_correction_factors")
-def q_n10(spark, sf):
-    """The correction factor of every class, measured on the whole table: one row a class."""
+def _factor_table(spark, sf, predict_mode):
     f = emb_frame(spark, sf).select("vec_id", "label_idx", "features")
-    rows = []
-    for i, label in enumerate(EMB_LABELS):
-        r = _factor(f, i)
-        rows.append((label, float(r["factor"]), r["skipped"], r["n_rows"]))
+    rows = [(EMB_LABELS[c], float(r["factor"]), r["skipped"], r["n_rows"]) for c, r in _factors(f, 1.0, predict_mode).items()]
     out = spark.createDataFrame(rows, "label string, factor double, skipped boolean, n_rows long")
     return out.select("label", r6("factor").alias("factor"), "skipped", "n_rows")
 
 
+@query("N10_correction_factors")
+def q_n10(spark, sf):
+    """The correction factor of every class, measured on the whole table: one row a class."""
+    return _factor_table(spark, sf, "predict")
+
+
+@query("N11_correction_factors_probability")
+def q_n11(spark, sf):
+    """The same by the mean probability that the flipped rows get for their class."""
+    return _factor_table(spark, sf, "predict_proba")
+
+
 @query("N10_N13_correction_factor")
 def q_n13(spark, sf):
     """For every class, the factor per sample share and its extrapolation to the whole table."""
     f = emb_frame(spark, sf).select("vec_id", "label_idx", "features")
-    out = None
+    found = {share: _factors(f, share) for share in (0.5, 0.75, 0.9)}
+    rows = []
     for i, label in enumerate(EMB_LABELS):
-        points = []
-        for share in (0.5, 0.75, 0.9):
-            r = _factor(f, i, share)
-            points.append((share, r["factor"], r["skipped"]))
-        measured = spark.createDataFrame([(f"sample_{s}", float(v), sk) for s, v, sk in points],
-                                         "model string, factor double, skipped boolean")
-        ext = N.extrapolated_factor(spark, [(s, v) for s, v, sk in points if not sk]).withColumn("skipped", F.lit(False))
-        part = measured.unionByName(ext).select(F.lit(label).alias("label"), "model", r6("factor").alias("factor"), "skipped")
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows += [(label, f"sample_{share}", float(r[i]["factor"]), r[i]["skipped"]) for share, r in found.items()]
+        points = [(share, r[i]["factor"]) for share, r in found.items() if not r[i]["skipped"]]
+        rows += [(label, model, v, v is None) for model, v in N.extrapolations(points).items()]
+    out = spark.createDataFrame(rows, "label string, model string, factor double, skipped boolean")
+    return out.select("label", "model", r6("factor").alias("factor"), "skipped")

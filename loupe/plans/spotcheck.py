@@ -20,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loupe.operators import additive as S
 from loupe.operators import classifiers as A
 from loupe.operators import metrics as M
 from loupe.operators.reduce import fit_reduction
@@ -113,10 +114,26 @@ class FittedCandidate:
         return self.model.transform(self.reduction.transform(self.scaler.transform(df)))
 
 
+def fold_sums(train: DataFrame, k: int) -> S.PartSums | None:
+    """The sums of every fold, from which closed-form candidates are fitted; None for too many features."""
+    dim = A.feature_dim(train)
+    return S.PartSums(train, k, "fold") if dim <= S.MAX_DIM else None
+
+
 def cross_val_score(train: DataFrame, k: int, labels: list[str], candidate: Candidate | str, n_folds: int, metric: str,
-                    key: str | None = None, sampling: Sampling = Sampling(), **fit_kw) -> list[float]:
-    """Every step is fitted on fold != f, fold == f is predicted and scored."""
+                    key: str | None = None, sampling: Sampling = Sampling(), sums: S.PartSums | None = None, **fit_kw) -> list[float]:
+    """Every step is fitted on fold != f, fold == f is predicted and scored.  With ``sums``, a candidate without
+    reduction and resampling whose learner needs only sums is fitted from them and scored in one pass."""
     c = Candidate("NOS", "NOR", candidate) if isinstance(candidate, str) else candidate
+    if sums and not fit_kw and (sampling.over, sampling.under, c.reduction) == ("NOG", "NUG", "NOR") and S.supported(c.algorithm, c.scaler, sums.dim):
+        oof = S.out_of_fold(sums, c.algorithm, c.scaler).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if metric == "accuracy":
+                by_fold = {r["fold"]: r["score"] for r in M.fold_scores(oof, labels, metric).collect()}
+                return [by_fold[f] for f in range(n_folds)]
+            return [M.score_value(oof.filter(F.col("fold") == f), labels, metric) for f in range(n_folds)]
+        finally:
+            oof.unpersist()
     scores = []
     for f in range(n_folds):
         m = FittedCandidate(c, train.filter(F.col("fold") != f), k, key, sampling, **fit_kw)
@@ -125,12 +142,12 @@ def cross_val_score(train: DataFrame, k: int, labels: list[str], candidate: Cand
 
 
 def _run_candidate(p: Prepared, c: Candidate, train: DataFrame, test: DataFrame, metric: str, n_folds: int,
-                   sampling: Sampling, fit_kw: dict) -> Result:
+                   sampling: Sampling, fit_kw: dict, sums: S.PartSums | None = None) -> Result:
     t0 = time.time()
     res = Result(c)
     k = len(p.labels)
     try:
-        scores = cross_val_score(train, k, p.labels, c, n_folds, metric, p.id_col, sampling, **fit_kw)
+        scores = cross_val_score(train, k, p.labels, c, n_folds, metric, p.id_col, sampling, sums, **fit_kw)
         res.fold_scores = scores
         res.mean_cv = sum(scores) / len(scores)
         res.std_cv = math.sqrt(sum((s - res.mean_cv) ** 2 for s in scores) / len(scores))
@@ -151,9 +168,14 @@ def spot_check(p: Prepared, scalers, reductions, algorithms, metric: str = "accu
     train, test = p.train().persist(StorageLevel.MEMORY_AND_DISK), p.test()
     cands = [c for s in scalers for r in reductions for a in algorithms if compatible(c := Candidate(s, r, a))]
     results: list[Result] = []
+    sums = None
+    if any(c.reduction == "NOR" and S.supported(c.algorithm, c.scaler) for c in cands):
+        sums = fold_sums(train, len(p.labels))
+        if sums and any(c.algorithm == "LDA" for c in cands):
+            sums.with_scatter()
     for _ in range(MAX_RETRIES):
         with ThreadPoolExecutor(max(1, parallelism)) as ex:
-            results = list(ex.map(lambda c: _run_candidate(p, c, train, test, metric, n_folds, sampling, fit_kw or {}), cands))
+            results = list(ex.map(lambda c: _run_candidate(p, c, train, test, metric, n_folds, sampling, fit_kw or {}, sums), cands))
         if any(r.exception is None for r in results):
             break
     train.unpersist()

@@ -171,26 +171,6 @@ def test_registered_learners_take_the_library_settings(spark, sf, monkeypatch):
     assert len(reductions) == 9 and all(n is None for _, n in reductions)
 
 
-def test_correction_factors_of_every_class_on_the_whole_table(spark, sf, monkeypatch):
-    from loupe.plans import queries_learners as Q
-    from loupe.plans import registry
-    registry.load_all()
-    asked = []
-
-    def factor(frame, algorithm, k, positive, sample_size=1.0, **_):
-        asked.append((positive, sample_size))
-        return {"factor": 1.0 + positive + sample_size, "skipped": False, "n_rows": frame.count() if sample_size == 1.0 else 0}
-    monkeypatch.setattr(Q.N, "correction_factor", factor)
-    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
-    rows = registry.QUERIES["N10_correction_factors"](spark, sf).collect()
-    assert asked == [(i, 1.0) for i in range(K)]
-    assert [tuple(r) for r in rows] == [(label, 2.0 + i, False, n) for i, label in enumerate(EMB_LABELS)]
-    asked.clear()
-    rows = registry.QUERIES["N10_N13_correction_factor"](spark, sf).collect()
-    assert asked == [(i, s) for i in range(K) for s in (0.5, 0.75, 0.9)]
-    assert {(r.label, r.factor) for r in rows if r.model == "linear"} == {(label, 2.0 + i) for i, label in enumerate(EMB_LABELS)}
-
-
 def test_settings_reach_the_learner_and_unknown_ones_are_errors(spark, frame):
     from loupe.plans.spotcheck import cross_val_score, grid_search
     train = frame.filter("split = 'train'").withColumn("fold", F.pmod("vec_id", F.lit(2)))
