@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,9 @@ from loupe.functions.text import words
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+_DESCRIBED = "column_name string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
@@ -48,26 +51,112 @@ def datatypes(df: DataFrame) -> DataFrame:
         [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column_name string, data_type string")
 
 
+SELECTION_BINS, SELECTION_ROWS = 1024, 100_000  # ranges a pass, and rows of a range that are ranked at once
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], bins: int = SELECTION_BINS,
+                     most: int = SELECTION_ROWS) -> dict[tuple[str, int], float]:
+    """The values at 0-based ``ranks`` of each column's sorted non-null values (as doubles, NaN largest).
+
+    A pass counts the values in equal ranges and keeps, for each rank, the range that holds it, cut to the values
+    that it really holds.  That repeats, on the rows of these ranges alone, until a range holds one value or at
+    most ``most`` rows, which are then ranked.  A pass shuffles ranges, never rows, and narrows a range at least
+    ``bins`` times, so values over many decades take more passes; a rank outside the column is an error."""
+    cols = [c for c, r in ranks.items() if r]
+    value = {i: F.col(f"`{c}`").cast("double") for i, c in enumerate(cols)}
+    found: dict[tuple[str, int], float] = {}
+    # (column, low, high) -> [(rank inside the range, rank in the column)]; None: not cut yet
+    ranges: dict[tuple[int, float | None, float | None], list[tuple[int, int]]] = {
+        (i, None, None): [(r, r) for r in sorted(set(ranks[c]))] for i, c in enumerate(cols)}
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != math.inf)
+    if ranges:
+        ends = df.agg(*[f(F.when(finite(x), x)).alias(f"{n}{i}") for i, x in value.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        ranges = {(i, ends[f"lo{i}"], ends[f"hi{i}"]): held for (i, _, _), held in ranges.items()}
+    first, small = True, {}
+    while ranges:
+        cells = []
+        for j, (i, lo, hi) in enumerate(ranges):
+            x = value[i]
+            if lo is None or lo == hi:
+                place = F.lit(0)
+            else:  # halves: the difference of the ends may be more than a double holds
+                place = F.least(F.floor((x * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5) * bins), F.lit(bins - 1)).cast("int")
+            if first:
+                place = F.when(F.isnan(x), bins + 1).when(x == math.inf, bins).when(x == -math.inf, -1).otherwise(place)
+                inside = x.isNotNull()
+            else:
+                inside = (x >= lo) & (x <= hi)
+            cells.append(F.when(inside, F.struct(F.lit(j).alias("j"), place.alias("b"), x.alias("x"))))
+        hist = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*").groupBy("j", "b")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("j", "b").collect())
+        after: dict = {}
+        for j, ((i, _, _), held) in enumerate(ranges.items()):
+            before, mine = 0, [r for r in hist if r["j"] == j]
+            if held[0][0] < 0 or held[-1][0] >= sum(r["n"] for r in mine):
+                raise ValueError(f"column {cols[i]}: rank outside its {sum(r['n'] for r in mine)} values")
+            for r in mine:
+                inner = [(at - before, rank) for at, rank in held if before <= at < before + r["n"]]
+                before += r["n"]
+                if not inner:
+                    continue
+                if r["lo"] == r["hi"] or math.isnan(r["hi"]):
+                    found |= {(cols[i], rank): r["hi"] for _, rank in inner}
+                else:
+                    (small if r["n"] <= most else after)[i, r["lo"], r["hi"]] = inner
+        ranges, first = after, False
+    if small:
+        cells = [F.when((value[i] >= lo) & (value[i] <= hi), F.struct(F.lit(j).alias("j"), value[i].alias("x")))
+                 for j, (i, lo, hi) in enumerate(small)]
+        counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*").groupBy("j", "x").agg(F.count(F.lit(1)).alias("n"))
+        asked = df.sparkSession.createDataFrame([(j, at, rank) for j, held in enumerate(small.values()) for at, rank in held],
+                                                "j int, at long, rank long")
+        upto = Window.partitionBy("j").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        hits = (counts.withColumn("c", F.sum("n").over(upto)).join(F.broadcast(asked), "j")
+                .filter("at < c and at >= c - n").select("j", "rank", "x").collect())
+        names = [cols[i] for i, _, _ in small]
+        found |= {(names[r["j"]], r["rank"]): r["x"] for r in hits}
+    return found
+
+
+def quantiles(df: DataFrame, columns: list[str], counts: dict[str, int], shares=(0.25, 0.5, 0.75)) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation of columns that have ``counts`` non-null values; None for none."""
+    places = {c: [q * (counts[c] - 1) for q in shares] if counts[c] else [] for c in columns}
+    values = order_statistics(df, {c: [r for p in ps for r in (math.floor(p), math.ceil(p))] for c, ps in places.items()})
+    out: dict[str, list[float | None]] = {}
+    for c, ps in places.items():
+        out[c] = [None] * len(shares)
+        for k, p in enumerate(ps):
+            lo, hi = values[c, math.floor(p)], values[c, math.ceil(p)]
+            out[c][k] = lo if lo == hi else lo + (hi - lo) * (p - math.floor(p))
+    return out
+
+
 def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max — one aggregate.
+    """count, mean, sample std, min, quartiles (linear interpolation), max of every numeric column.
 
-    ``exact`` uses ``percentile`` (collects values per column); at scale pass ``exact=False``
-    for the mergeable ``percentile_approx`` sketch.
-    """
+    ``exact`` finds the quartiles by distributed selection (``order_statistics``); ``exact=False`` reads them
+    from the mergeable ``percentile_approx`` sketch in the one aggregate of the rest."""
     cols = columns or numeric_columns(df)
+    out_names = ["column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
+        x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], _DESCRIBED)
     wide = df.agg(*aggs)
+    if exact:
+        row = wide.first()
+        q = quantiles(df, cols, {c: row[f"n{i}"] for i, c in enumerate(cols)})
+        return df.sparkSession.createDataFrame(
+            [(c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], *q[c], row[f"hi{i}"]) for i, c in enumerate(cols)], _DESCRIBED)
     for i in range(len(cols)):
         wide = (wide.withColumn(f"a{i}", F.col(f"q{i}")[0]).withColumn(f"b{i}", F.col(f"q{i}")[1])
                 .withColumn(f"c{i}", F.col(f"q{i}")[2]))
-    return _stack(wide, cols, ["n", "m", "s", "lo", "a", "b", "c", "hi"],
-                  ["column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    return _stack(wide, cols, ["n", "m", "s", "lo", "a", "b", "c", "hi"], out_names)
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,38 +99,47 @@ def class_column_valid(df: DataFrame, label: str, limit: int = CATEGORY_LIMIT) -
     return agg.select(n.alias("n_classes"), (n <= limit).alias("valid"))
 
 
+def _value_key(field: T.StructField) -> Column:
+    """Text that is equal exactly for equal values of a column (null stays null); long ones by SHA-256, so that
+    what is shuffled stays short.  As in Spark's grouping, -0.0 equals 0.0 and NaN equals NaN."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        c = (c + F.lit(0.0).cast(field.dataType)).cast("string")
+    elif isinstance(field.dataType, T.BinaryType):
+        c = F.base64(c)
+    elif isinstance(field.dataType, (T.ArrayType, T.StructType)):
+        c = F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+    else:
+        c = c.cast("string")
+    return F.when(F.length(c) <= 64, F.concat(F.lit("="), c)).otherwise(F.concat(F.lit("#"), F.sha2(c, 256)))
+
+
 def column_uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Total, non-null and distinct count of every column in one aggregate, unpivoted."""
+    """Total, non-null and distinct count of every column, exact, in one shuffle.
+
+    Rows become (column number, value key), counted map-side, so a value that holds a third of the rows costs
+    one row a task; only each task's distinct keys are shuffled, not the rows once a column.  Of a table without
+    rows all counts are 0.  Maps cannot be compared and are an error."""
     cols = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"_nn{i}"), F.count_distinct(F.col(c)).alias(f"_nd{i}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', _nn{i}, _nd{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, n_nonnull, n_distinct)",
-                           "_total AS n_total").select(
-        "column_name", F.col("n_total").cast("bigint").alias("n_total"),
-        F.col("n_nonnull").cast("bigint").alias("n_nonnull"),
-        F.col("n_distinct").cast("bigint").alias("n_distinct"))
+    fields = [df.schema[c] for c in cols]
+    if bad := [f.name for f in fields if isinstance(f.dataType, T.MapType)]:
+        raise ValueError(f"map columns have no distinct values: {', '.join(bad)}")
+    cells = df.select(F.posexplode(F.array(*[_value_key(f) for f in fields])).alias("_i", "_v"))
+    seen = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n")).groupBy("_i").agg(
+        F.sum("_n").alias("t"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("nn"), F.count("_v").alias("d"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "_i int, column_name string")
+    zero = F.lit(0).cast("bigint")
+    return names.join(F.broadcast(seen), "_i", "left").select(
+        "column_name", F.coalesce("t", zero).alias("n_total"), F.coalesce("nn", zero).alias("n_nonnull"),
+        F.coalesce("d", zero).alias("n_distinct"))
 
 
 def unique_int_keys(df: DataFrame) -> DataFrame:
-    """Integer columns with total = non-null = distinct.
-
-    At scale the exact distinct count is run only for columns that survive a cheap
-    HyperLogLog screen (approx distinct within 5 % of the non-null count).
-    """
+    """Integer columns with total = non-null = distinct, by exact counts."""
     int_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, INT_TYPES)]
     if not int_cols:
         return df.sparkSession.createDataFrame([], "column_name string")
-    screen = df.agg(F.count(F.lit(1)).alias("_t"),
-                    *[F.count(c).alias(f"_n{i}") for i, c in enumerate(int_cols)],
-                    *[F.approx_count_distinct(c, 0.01).alias(f"_a{i}") for i, c in enumerate(int_cols)]).first()
-    cand = [c for i, c in enumerate(int_cols)
-            if screen[f"_n{i}"] == screen["_t"] and screen[f"_a{i}"] >= 0.95 * screen["_t"]]
-    if not cand:
-        return df.sparkSession.createDataFrame([], "column_name string")
-    u = column_uniqueness(df, cand)
+    u = column_uniqueness(df.select(*[F.col(f"`{c}`") for c in int_cols]), int_cols)
     return u.filter((F.col("n_total") == F.col("n_nonnull")) & (F.col("n_nonnull") == F.col("n_distinct"))) \
             .select("column_name")
 
