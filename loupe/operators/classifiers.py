@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from loupe.operators import trees as T
+from loupe.operators.networks import NETWORKS, fit_network, fit_sgd
 from loupe.session import cut_lineage
 
 FEATURES, LABEL, PRED, PROB, WEIGHT, KEY = "features", "label_idx", "prediction", "probability", "weight", "_key"
@@ -551,8 +552,7 @@ SETTINGS: dict[str, set[str]] = {
     "LRN": {"max_iter", "seed", "C", "tol", "class_weight"}, "DTC": {"seed", "max_depth", "criterion"}, "RFCL": {"seed", "max_depth", "trees", "criterion"},
     "GBC": {"seed", "rounds", "max_depth", "learning_rate"}, "LSVC": {"max_iter", "seed", "C", "tol", "class_weight"}, "SLSV": {"max_iter", "seed"},
     "MNB": {"seed", "alpha"}, "CNB": {"seed", "alpha"}, "BNB": {"seed", "alpha"}, "MLPC": {"seed", "hidden", "epochs"}}
-SETTINGS |= {"SVC": SETTINGS["LSVC"], "SGDE": SETTINGS["LSVC"]} | dict.fromkeys(
-    ("MLP2", "PYNN", "KERA", "FLAX", "TORA", "TORS", "TOTA", "TOTS", "TOSA", "TOSS"), SETTINGS["MLPC"])
+SETTINGS |= {"SVC": SETTINGS["LSVC"], "MLP2": SETTINGS["MLPC"]}
 
 
 def balanced_weights(train: DataFrame, k: int) -> DataFrame:
@@ -575,7 +575,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
         raise ValueError("class_weight is 'balanced' or None")
     L = dict(featuresCol=FEATURES, labelCol=LABEL)
     linear = L | {"maxIter": max_iter, "tol": kw.get("tol", 1e-4)}
-    if code in ("LRN", "LSVC", "SVC", "SGDE"):
+    if code in ("LRN", "LSVC", "SVC"):
         linear["regParam"] = 1.0 / (kw.get("C", 1.0) * _n_rows(train))
         if kw.get("class_weight"):
             train = balanced_weights(train, k)
@@ -588,7 +588,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
         return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), impurity=kw.get("criterion", "gini"), seed=seed, **L).fit(train))
     if code == "GBC":
         return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=kw.get("max_depth", 3), stepSize=kw.get("learning_rate", 0.1), seed=seed, **L), train, k)
-    if code in ("LSVC", "SVC", "SGDE"):
+    if code in ("LSVC", "SVC"):
         return fit_ovr(lambda: C.LinearSVC(**linear), train, k,
                        has_probability=False)
     if code == "SLSV":
@@ -620,7 +620,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
             def transform(self, d):
                 return SparkFitted(m).transform(b.transform(d)).drop("_bin_features")
         return Bern()
-    if code in ("MLPC", "MLP2", "PYNN", "KERA", "FLAX", "TORA", "TORS", "TOTA", "TOTS", "TOSA", "TOSS"):
+    if code in ("MLPC", "MLP2"):
         d = feature_dim(train)
         hidden = kw.get("hidden", HIDDEN_LIGHT if code == "MLP2" else HIDDEN)
         return SparkFitted(C.MultilayerPerceptronClassifier(layers=[d, *hidden, k], maxIter=kw.get("epochs", 200),
@@ -681,7 +681,7 @@ def fit(code: str, train: DataFrame, k: int, **kw) -> Fitted:
     composed = {
         "DUMY": fit_dummy, "NCT": fit_nearest_centroid, "GNB": fit_gaussian_nb, "LDA": fit_lda, "QDA": fit_qda,
         "REC": fit_ridge,
-        "HIST": fit_hist_boosting,
+        "HIST": fit_hist_boosting, "SGDE": fit_sgd,
         "ABC": lambda t, kk, **a: fit_adaboost(t, kk, **a),
         "RUBC": lambda t, kk, **a: fit_adaboost(t, kk, undersample=True, **a),
         "BGC": lambda t, kk, **a: fit_bagging(t, kk, **a),
@@ -697,6 +697,8 @@ def fit(code: str, train: DataFrame, k: int, **kw) -> Fitted:
     if code in ("KNN", "RADN"):
         from loupe.operators.knn import fit_knn_classifier
         return fit_knn_classifier(train, k, radius=(code == "RADN"), **kw)
+    if code in NETWORKS:
+        return fit_network(train, k, **NETWORKS[code] | kw)
     if code in composed:
         return composed[code](train, k, **kw)
     return fit_spark(code, train, k, **kw)
