@@ -249,3 +249,26 @@ def out_of_fold(sums: PartSums, algorithm: str, scaler: str = "NOS", **settings)
     sent = sums.df.sparkSession.sparkContext.broadcast(models)
     return scored(sums.df.filter(F.col(LABEL).isNotNull() & F.col(sums.part).isNotNull()), lambda i: sent.value[i], sums.part,
                   algorithm != "NCT")
+
+
+class ClosedForm:
+    """A fitted closed-form learner with its scaler folded in: arrays only, so it can be stored as rows."""
+
+    def __init__(self, algorithm: str, arrays: dict[str, np.ndarray]):
+        self.algorithm, self.arrays = algorithm, arrays
+        self.has_probability = algorithm != "NCT"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        a = self.arrays
+        sent = df.sparkSession.sparkContext.broadcast((a["b"], a["W"], (a["mu"], a["w"]) if "w" in a else None))
+        rows = df.drop(PRED, PROB).withColumn("_features", F.col(FEATURES)).withColumn("_model", F.lit(0))
+        return scored(rows, lambda _: sent.value, "_model", self.has_probability).drop("_model").withColumnRenamed("_features", FEATURES)
+
+
+def fit_closed_form(algorithm: str, train: DataFrame, k: int, scaler: str = "NOS", **settings) -> ClosedForm:
+    """Scaler and learner fitted on all labelled rows, from one aggregate (LDA: and one scatter)."""
+    if not supported(algorithm, scaler):
+        raise ValueError(f"{algorithm} after {scaler} is not fitted from sums")
+    sums = PartSums(train.withColumn("_part", F.lit(0)), k, "_part", algorithm == "LDA")
+    b, W, quadratic = closed_form(algorithm, sums.without(None), scaler, **settings)
+    return ClosedForm(algorithm, {"b": b, "W": W} | ({"mu": quadratic[0], "w": quadratic[1]} if quadratic else {}))

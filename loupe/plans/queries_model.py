@@ -7,6 +7,8 @@ table itself with a hash split, so both engines see the same training and test r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -16,9 +18,12 @@ from loupe.operators import dark as N
 from loupe.operators import evaluate as E
 from loupe.operators import features as X
 from loupe.operators import metrics as M
+from loupe.operators.additive import fit_closed_form
 from loupe.operators.scalers import fit_scaler
 from loupe.plans.registry import query
+from loupe.session import checkpoint_dir
 from loupe.sources import tables as S
+from loupe.sources.models import load_closed_form, save_closed_form
 
 EMB_LABELS = [str(i) for i in range(10)]
 TEST_SIZE = 0.2
@@ -258,6 +263,16 @@ def q_a14(spark, sf):
     return p.select("vec_id", "label", E.idx_to_label(EMB_LABELS, "prediction").alias("predicted"), r6("rate").alias("rate"))
 
 
+@query("S21_saved_model_scores", GNB_SQL + "SELECT vec_id, label, predicted, round(rate, 6) AS rate FROM scored")
+def q_s21(spark, sf):
+    """Gaussian NB, saved as a table and scored after it is read back."""
+    f = emb_frame(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/loupe-models-{uuid.uuid4().hex}"
+    save_closed_form(spark, path, "gnb", fit_closed_form("GNB", f.filter("split = 'train'"), len(EMB_LABELS)))
+    p = E.with_rate(load_closed_form(spark, path, "gnb").transform(f.filter("split = 'test'")))
+    return p.select("vec_id", "label", E.idx_to_label(EMB_LABELS, "prediction").alias("predicted"), r6("rate").alias("rate"))
+
+
 # ---------------------------------------------------------------- E / M: evaluation
 _NCT_LONG = NCT_SQL + """, cm AS (SELECT e.label AS actual, p.predicted FROM e JOIN pred p USING (vec_id)),
 grid AS (SELECT a.l AS actual, b.l AS predicted FROM (SELECT DISTINCT label AS l FROM e) a, (SELECT DISTINCT label AS l FROM e) b),

@@ -10,9 +10,13 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.operators.additive import ClosedForm
+
+STATE = "kind string, name string, shape array<int>, values array<double>"
 METADATA = "metadata.json"
 
 
@@ -39,6 +43,23 @@ def load_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
+def save_closed_form(spark: SparkSession, path: str, name: str, model: ClosedForm) -> None:
+    """A closed-form learner (A1, A14, A15, A17-A19, with its scaler) as a table of typed rows
+    (kind, name, shape, values): one row an array, class- and feature-sized."""
+    rows = [(model.algorithm, n, list(a.shape), a.ravel().tolist()) for n, a in sorted(model.arrays.items())]
+    spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, name))
+
+
+def load_closed_form(spark: SparkSession, path: str, name: str) -> ClosedForm:
+    """The learner that ``save_closed_form`` wrote.  An incomplete or mixed table is an error."""
+    rows = spark.read.schema(STATE).parquet(os.path.join(path, name)).collect()
+    kinds = {r["kind"] for r in rows}
+    arrays = {r["name"]: np.array(r["values"], float).reshape(r["shape"]) for r in rows}
+    if len(kinds) != 1 or set(arrays) not in ({"b", "W"}, {"b", "W", "mu", "w"}):
+        raise ValueError(f"{os.path.join(path, name)} holds no learner: kinds {sorted(kinds)}, arrays {sorted(arrays)}")
+    return ClosedForm(kinds.pop(), arrays)
+
+
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
     """Bundles under a folder (directories holding a metadata file)."""
     jvm = spark.sparkContext._jvm
@@ -52,4 +73,4 @@ def list_models(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "model_name string, path string, modified_ms long").orderBy("model_name")
 
 
-__all__ = ["save_model", "load_metadata", "list_models", "F"]
+__all__ = ["save_model", "load_metadata", "save_closed_form", "load_closed_form", "list_models", "F"]

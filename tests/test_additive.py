@@ -116,3 +116,24 @@ def test_registered_factor_queries(spark, sf):
         assert all(r["factor"] >= 1 for r in rows)
     rows = registry.QUERIES["N10_N13_correction_factor"](spark, sf).collect()
     assert len(rows) == len(EMB_LABELS) * 7
+
+
+@pytest.mark.parametrize("code,scaler", [("LDA", "STA"), ("GNB", "MIX"), ("NCT", "NOS")])
+def test_saved_learners_score_as_before(frame, spark, tmp_path, code, scaler):
+    from loupe.sources.models import load_closed_form, save_closed_form
+    m = S.fit_closed_form(code, frame, K, scaler)
+    save_closed_form(spark, str(tmp_path), "learner", m)
+    again = load_closed_form(spark, str(tmp_path), "learner")
+    assert again.algorithm == code and again.has_probability == m.has_probability
+    s = fit_scaler(scaler, frame)
+    want = {r["id"]: r for r in A.fit(code, s.transform(frame), K).transform(s.transform(frame)).collect()}
+    rows = again.transform(frame).collect()
+    assert len(rows) == 240 and all(r["prediction"] == want[r["id"]]["prediction"] for r in rows)
+    assert set(frame.columns) < set(again.transform(frame).columns)
+
+
+def test_a_table_without_a_learner_is_an_error(spark, tmp_path):
+    from loupe.sources.models import STATE, load_closed_form
+    spark.createDataFrame([("GNB", "b", [1], [0.0])], STATE).write.parquet(str(tmp_path / "half"))
+    with pytest.raises(ValueError, match="holds no learner"):
+        load_closed_form(spark, str(tmp_path), "half")
