@@ -137,3 +137,10 @@ def test_a_table_without_a_learner_is_an_error(spark, tmp_path):
     spark.createDataFrame([("GNB", "b", [1], [0.0])], STATE).write.parquet(str(tmp_path / "half"))
     with pytest.raises(ValueError, match="holds no learner"):
         load_closed_form(spark, str(tmp_path), "half")
+
+
+def test_factors_of_a_prepared_table_are_finite(spark, sf):
+    from loupe.plans.flagship import correction_factors
+    from loupe.plans.prepare import Prepared
+    got = correction_factors(Prepared(emb_frame(spark, sf), EMB_LABELS, 5, "vec_id"), "GNB", n_repeats=1, n_splits=3)
+    assert list(got) == EMB_LABELS and all(math.isfinite(v) and v >= 1 for v in got.values())
