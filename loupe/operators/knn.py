@@ -9,11 +9,14 @@ the distance from any left row to all rows of a cell.
 2. It then meets the other cells whose lower bound does not exceed that; no other cell can hold a
    neighbour.  The result is exact.
 
-Cells are split into blocks by hash, and the left rows that visit a block into blocks too, so a cell
-that holds a third of all rows is many groups of work.  A group compares two blocks in numpy and
-returns each left row's k best; they are merged with a grouped limit before the shuffle.  How many
-cells step 2 saves depends on the data: clustered rows need few, rows without structure in many
-dimensions need nearly all of them (``pairs_compared`` tells).
+Neighbouring cells make regions of about ``BLOCK_ROWS`` rows.  A left row is sent once to each region
+where it visits a cell, so its vector is copied for every ``BLOCK_ROWS`` right rows at most, however
+many cells there are.  A cell above that size is a region of several blocks by hash, and the left rows
+that visit a block are split into parts too, so a cell that holds a third of all rows is many groups of
+work.  A group compares a block and a part in numpy and returns each left row's k best; they are merged
+with a grouped limit before the shuffle.  How many cells step 2 saves depends on the data: clustered
+rows need few, rows without structure in many dimensions need nearly all of them (``pairs_compared``
+tells), so the time can still grow with the square of the rows; the memory of a group does not grow.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from pyspark.sql import types as T
 from loupe.session import staged
 
 #: Rows of a block; pivots at most (the driver and each task hold them).
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 PIVOTS_MOST = 1024
+#: Left rows compared at once, visits of an Arrow batch, and pairs whose distances are summed at once.
+LEFT_ROWS, VISITS, PAIRS = 256, 4096, 1 << 16
 
 
 def _matrix(column) -> np.ndarray:
@@ -49,35 +54,86 @@ def _plain(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances of two small sets of rows, by inner products (see ``_nearest`` for exact ones)."""
-    d2 = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(d2, 0))
+    """All distances of two small sets of rows, by inner products (see ``_exact`` for exact ones)."""
+    return np.sqrt(_squares(a, b))
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d2 = a @ (-2 * b.T)
+    d2 += (a * a).sum(axis=1)[:, None]
+    d2 += (b * b).sum(axis=1)[None, :]
+    return np.maximum(d2, 0, out=d2)
+
+
+def _rounding(a: np.ndarray, b: np.ndarray) -> float:
+    """More than the error of ``_squares``."""
+    return 1e-9 * (1 + float((a * a).sum(axis=1).max(initial=0)) + float((b * b).sum(axis=1).max(initial=0)))
+
+
+def _exact(a: np.ndarray, row: np.ndarray, b: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (a[row], b[col])."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), PAIRS):
+        piece = slice(at, at + PAIRS)
+        out[piece] = np.sqrt(((b[col[piece]] - a[row[piece]]) ** 2).sum(axis=1))
+    return out
+
+
+def _regions(pivots: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """A number for each cell; cells of one number are neighbours and hold at most ``most`` rows, or are one
+    cell.  Halves by rows along the widest coordinate."""
+    out, open_, made = np.zeros(len(pivots), int), [np.arange(len(pivots))], 0
+    while open_:
+        cells = open_.pop()
+        if len(cells) == 1 or count[cells].sum() <= most:
+            out[cells], made = made, made + 1
+            continue
+        along = pivots[cells, np.ptp(pivots[cells], axis=0).argmax()]
+        cells = cells[np.argsort(along, kind="stable")]
+        held = np.cumsum(count[cells])
+        cut = min(max(1, int(np.searchsorted(held, held[-1] / 2))), len(cells) - 1)
+        open_ += [cells[:cut], cells[cut:]]
+    return out
 
 
 class Cells:
-    """Pivots and what is known of each cell's rows: count, least and largest distance to the pivot."""
+    """Pivots and what is known of each cell's rows: count, least and largest distance to the pivot.  Cells
+    belong to regions, and a region has blocks."""
 
     def __init__(self, pivots: np.ndarray, count: np.ndarray, near: np.ndarray, far: np.ndarray):
         self.pivots, self.count, self.near, self.far = pivots, count, near, far
-        self.blocks = np.maximum(1, -(-count // BLOCK_ROWS)).astype(int)
+        self.region = _regions(pivots, count, BLOCK_ROWS)
+        self.rows = np.bincount(self.region, weights=count).astype(int)
+        self.blocks = np.maximum(1, -(-self.rows // BLOCK_ROWS)).astype(int)
         self.slack = 1e-7 * (1 + float(np.abs(pivots).max(initial=0)) * math.sqrt(pivots.shape[1] or 1))
 
-    def first(self, d: np.ndarray, k: int) -> np.ndarray:
-        """Which cells step 1 visits: those of the nearest pivots until they hold k rows."""
+    def first(self, d: np.ndarray, k: int) -> list[np.ndarray]:
+        """The cells that step 1 visits for each row: those of the nearest pivots until they hold k rows."""
         order = np.argsort(d, axis=1, kind="stable")
         held = np.cumsum(self.count[order], axis=1)
-        out = np.zeros(d.shape, bool)
-        np.put_along_axis(out, order, held - self.count[order] < k, axis=1)
-        return out & (self.count > 0)
+        take = (held - self.count[order] < k) & (self.count[order] > 0)
+        return [cells[some].astype("int32") for cells, some in zip(order, take)]
 
-    def within(self, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    def within(self, d: np.ndarray, reach: np.ndarray, which=slice(None)) -> np.ndarray:
         """Which cells may hold a row within ``reach``."""
-        least = np.maximum(np.maximum(d - self.far, self.near - d), 0)
-        return (least <= reach[:, None] + self.slack) & (self.count > 0)
+        least = np.maximum(np.maximum(d - self.far[which], self.near[which] - d), 0)
+        return (least <= reach[:, None] + self.slack) & (self.count[which] > 0)
+
+    def mask(self, lists) -> np.ndarray:
+        """Rows x cells: which cells each row's list names."""
+        out = np.zeros((len(lists), len(self.pivots)), bool)
+        for i, some in enumerate(lists):
+            out[i, some] = True
+        return out
+
+
+def _by_number(values: np.ndarray, number: str):
+    """The value of a column that counts from 0."""
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col(number) + 1)
 
 
 def _cells(right: DataFrame, seed: int) -> tuple[Cells, DataFrame]:
-    """Cells of right(_rid, _rx, ...), and the rows with their cell and block."""
+    """Cells of right(_rid, _rx, ...), and the rows with their cell, region and block."""
     n = right.count()
     n_pivots = max(1, min(PIVOTS_MOST, math.isqrt(n)))
     chosen = right.select("_rx", F.xxhash64("_rid", F.lit(seed)).alias("h")).orderBy("h").limit(n_pivots).collect()
@@ -94,75 +150,109 @@ def _cells(right: DataFrame, seed: int) -> tuple[Cells, DataFrame]:
     for r in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_reach").alias("a"), F.max("_reach").alias("b")).collect():
         count[r["_cell"]], near[r["_cell"]], far[r["_cell"]] = r["n"], r["a"], r["b"]
     cells = Cells(pivots, count, near, far)
-    blocks = F.element_at(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("_cell") + 1)
-    return cells, rows.withColumn("_block", F.pmod(F.xxhash64("_rid", F.lit("block")), blocks).cast("int")).drop("_reach")
+    rows = rows.withColumn("_region", _by_number(cells.region, "_cell"))
+    return cells, rows.withColumn("_block", F.pmod(F.xxhash64("_rid", F.lit("block")), _by_number(cells.blocks, "_region")).cast("int")).drop("_reach")
 
 
-def _visits(left: DataFrame, cells: Cells, choose) -> DataFrame:
-    """left(_lid, _lx, ...) once for each (cell, block) that ``choose(distances to pivots, batch)`` picks."""
-    fields = [f for f in left.schema.fields if f.name in ("_lid", "_lx")]
-    schema = T.StructType([*fields, T.StructField("_cell", T.IntegerType()), T.StructField("_block", T.IntegerType())])
-    pivots, blocks = cells.pivots, cells.blocks
+def _visits(left: DataFrame, cells: Cells, choose, carried: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
+    """left(_lid, _lx, ``carried``) and its nearest cell, once for each (region, block) that holds a cell which
+    ``choose(distances to pivots, batch)`` picks, a bounded batch of visits at a time; and how many rows
+    visit each region."""
+    names = ("_lid", "_lx", *carried)
+    schema = T.StructType([*[left.schema[c] for c in names], *[T.StructField(c, T.IntegerType()) for c in ("_home", "_region", "_block")]])
+    blocks, n_regions = cells.blocks, len(cells.blocks)
+    member = np.zeros((len(cells.pivots), n_regions), np.float32)
+    member[np.arange(len(cells.pivots)), cells.region] = 1
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def picked(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at:at + 512]
-                row, cell = np.nonzero(choose(_distances(_matrix(part["_lx"]), pivots), part))
-                n = blocks[cell]
-                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row, cell = np.repeat(row, n), np.repeat(cell, n)
-                if len(row):
-                    yield _plain(pd.DataFrame({"_lid": part["_lid"].to_numpy()[row], "_lx": part["_lx"].to_numpy()[row],
-                                               "_cell": cell.astype("int32"), "_block": block.astype("int32")}))
+                d = _distances(_matrix(part["_lx"]), cells.pivots)
+                yield part, d.argmin(axis=1), (choose(d, part).astype(np.float32) @ member) > 0
 
-    return left.mapInPandas(visit, schema)
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((regions.sum(axis=0) for _, _, regions in picked(batches)), np.zeros(n_regions, int))
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"_region": some.astype("int32"), "n": total[some].astype(int)})
 
-
-def _meet(visits: DataFrame, rows: DataFrame, fn, schema) -> DataFrame:
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, home, regions in picked(batches):
+            row, region = np.nonzero(regions)
+            n = blocks[region]
+            block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, region = np.repeat(row, n), np.repeat(region, n)
+            for lo in range(0, len(row), VISITS):
+                some = row[lo:lo + VISITS]
+                yield _plain(pd.DataFrame({**{c: part[c].to_numpy()[some] for c in names}, "_home": home[some].astype("int32"),
+                                           "_region": region[lo:lo + VISITS].astype("int32"), "_block": block[lo:lo + VISITS].astype("int32")}))
+
+    visitors = np.zeros(n_regions, int)
+    for r in left.mapInPandas(tally, "_region int, n long").groupBy("_region").agg(F.sum("n").alias("n")).collect():
+        visitors[r["_region"]] = r["n"]
+    return left.mapInPandas(visit, schema), visitors
+
+
+def _meet(visits: tuple[DataFrame, np.ndarray], rows: DataFrame, fn, schema) -> DataFrame:
     """Group the visits of each block with its rows; many visits of one block are split by hash, and the
     block is repeated for each part."""
-    visits = staged(visits, "visits")
-    parts = (visits.groupBy("_cell", "_block").agg(F.count(F.lit(1)).alias("n"))
-             .select("_cell", "_block", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("_parts")))
-    asked = visits.join(F.broadcast(parts), ["_cell", "_block"]).withColumn(
-        "_part", F.pmod(F.xxhash64("_lid", F.lit("part")), F.col("_parts")).cast("int")).drop("_parts")
-    held = rows.join(F.broadcast(parts), ["_cell", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    key = ("_cell", "_block", "_part")
+    asked, visitors = visits
+    parts = np.maximum(1, -(-visitors // BLOCK_ROWS))
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64("_lid", F.lit("part")), _by_number(parts, "_region")).cast("int"))
+    held = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), _by_number(parts, "_region") - 1)))
+    key = ("_region", "_block", "_part")
     return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(fn, schema)
 
 
-def _nearest(k: int, exclude_self: bool, right_cols: tuple[str, ...]):
+def _nearest(k: int, exclude_self: bool, right_cols: tuple[str, ...], cells: Cells, later: bool):
     def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        """The k nearest rows of this block for each visitor, ties to the smaller id."""
-        out = {c: [] for c in ("_lid", "_rid", "_d", *right_cols)}
+        """The k nearest rows of this block for each visitor, ties to the smaller id: in the visitor's first
+        cells, or (``later``) in the others, as far as its reach."""
+        asked, place, dist = [], [], []
         if len(q) and len(x):
-            x = x.sort_values("_rid", kind="stable")
-            qs, xs, ids = _matrix(q["_lx"]), _matrix(x["_rx"]), x["_rid"].to_numpy()
-            scale = 1e-9 * (1 + float((xs * xs).sum(axis=1).max()) + float((qs * qs).sum(axis=1).max()))
-            most = min(len(x), k + 1)
-            for at in range(0, len(q), 256):
-                d2 = _distances(qs[at:at + 256], xs) ** 2
-                bound = np.partition(d2, most - 1, axis=1)[:, most - 1] + scale
-                for i, lid in enumerate(q["_lid"].to_numpy()[at:at + 256]):
-                    near = np.flatnonzero(d2[i] <= bound[i])
-                    if exclude_self:
-                        near = near[ids[near] != lid]
-                    exact = np.sqrt(((xs[near] - qs[at + i]) ** 2).sum(axis=1))
-                    best = np.argsort(exact, kind="stable")[:k]
-                    out["_lid"] += [lid] * len(best)
-                    out["_rid"].append(near[best])
-                    out["_d"].append(exact[best])
-            place = np.concatenate(out["_rid"])
-        if out["_lid"]:
-            return _plain(pd.DataFrame({"_lid": out["_lid"], "_rid": ids[place], "_d": np.concatenate(out["_d"]),
-                                        **{c: x[c].to_numpy()[place] for c in right_cols}}))
-        return _nothing(out)
+            x, q = x.sort_values("_rid", kind="stable"), q.sort_values("_home", kind="stable")
+            qs, xs, ids, lids = _matrix(q["_lx"]), _matrix(x["_rx"]), x["_rid"].to_numpy(), q["_lid"].to_numpy()
+            here, own = np.unique(x["_cell"].to_numpy(), return_inverse=True)
+            scale = _rounding(qs, xs)
+            for at in range(0, len(q), LEFT_ROWS):
+                mine = slice(at, at + LEFT_ROWS)
+                some = cells.mask(q["_first"].iloc[mine])[:, here]
+                worth = some
+                if later:
+                    reach, some = q["_reach"].to_numpy()[mine], ~some
+                    worth = some & cells.within(_distances(qs[mine], cells.pivots[here]), reach, here)
+                cols = np.flatnonzero(worth.any(axis=0)[own])
+                if not len(cols):
+                    continue
+                d2 = _squares(qs[mine], xs[cols])
+                d2[~some[:, own[cols]]] = np.inf
+                if later and np.isfinite(reach).all():
+                    bound = reach ** 2 + scale
+                else:
+                    most = min(len(cols), k + 1)
+                    bound = np.partition(d2, most - 1, axis=1)[:, most - 1] + scale
+                row, col = np.nonzero((d2 <= bound[:, None]) & (d2 < np.inf))
+                col = cols[col]
+                if exclude_self:
+                    other = ids[col] != lids[at + row]
+                    row, col = row[other], col[other]
+                exact = _exact(qs, at + row, xs, col)
+                order = np.lexsort((col, exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                asked.append(at + row[best])
+                place.append(col[best])
+                dist.append(exact[best])
+        if asked:
+            where = np.concatenate(place)
+            return _plain(pd.DataFrame({"_lid": lids[np.concatenate(asked)], "_rid": ids[where], "_d": np.concatenate(dist),
+                                        **{c: x[c].to_numpy()[where] for c in right_cols}}))
+        return _nothing(("_lid", "_rid", "_d", *right_cols))
     return nearest
 
 
 def _sides(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, right_cols=()) -> tuple[DataFrame, DataFrame]:
-    return (staged(left.select(F.col(left_id).alias("_lid"), F.col(x).alias("_lx")), "left"),
+    return (left.select(F.col(left_id).alias("_lid"), F.col(x).alias("_lx")),
             right.select(F.col(right_id).alias("_rid"), F.col(x).alias("_rx"), *right_cols))
 
 
@@ -173,28 +263,35 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     the smaller right id.
 
     ``x`` is an array<double> column on both sides; ids are unique and not null.  ``exclude_self`` drops
-    pairs with equal ids (a self-join leaving the row out).  ``stats`` receives pairs_compared."""
+    pairs with equal ids (a self-join leaving the row out).  ``stats`` receives pairs_compared
+    (at most) and rows_sent (copies of left rows)."""
     lefts, rights = _sides(left, right, left_id, right_id, x, right_cols)
     cells, rows = _cells(rights, seed)
     enough = k + (1 if exclude_self else 0)
     schema = T.StructType([T.StructField("_lid", lefts.schema["_lid"].dataType), T.StructField("_rid", rights.schema["_rid"].dataType),
                            T.StructField("_d", T.DoubleType()), *[rights.schema[c] for c in right_cols]])
-    fn = _nearest(k, exclude_self, right_cols)
     place = Window.partitionBy("_lid").orderBy("_d", "_rid")
 
     def best(df: DataFrame) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
-    first_visits = _visits(lefts, cells, lambda d, _: cells.first(d, enough))
-    found = staged(best(_meet(first_visits, rows, fn, schema)).drop("rank"), "nearest")
+    @F.pandas_udf("array<int>")
+    def first(x: pd.Series) -> pd.Series:
+        out = [c for at in range(0, len(x), 512) for c in cells.first(_distances(_matrix(x.iloc[at:at + 512]), cells.pivots), enough)]
+        return pd.Series(out, dtype=object)
+
+    # written with the rows: both steps go by the same cells, so no pair is met twice or left out
+    lefts = staged(lefts.withColumn("_first", first("_lx")), "left")
+    first_visits = _visits(lefts, cells, lambda _, part: cells.mask(part["_first"]), ("_first",))
+    found = staged(best(_meet(first_visits, rows, _nearest(k, exclude_self, right_cols, cells, False), schema)).drop("rank"), "nearest")
     reach = found.groupBy("_lid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_reach"))
-    waiting = lefts.join(reach, "_lid", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf"))))
-    more_visits = _visits(waiting, cells, lambda d, part: cells.within(d, part["_reach"].to_numpy()) & ~cells.first(d, enough))
-    more = _meet(more_visits, rows, fn, schema)
+    waiting = staged(lefts.join(reach, "_lid", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf")))), "left")
+    more_visits = _visits(waiting, cells, lambda d, part: cells.within(d, part["_reach"].to_numpy()) & ~cells.mask(part["_first"]), ("_first", "_reach"))
+    more = _meet(more_visits, rows, _nearest(k, exclude_self, right_cols, cells, True), schema)
     if stats is not None:
-        sizes = np.ceil(cells.count / cells.blocks)
-        stats["pairs_compared"] = sum(r["n"] * float(sizes[r["_cell"]]) for v in (first_visits, more_visits)
-                                      for r in v.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect())
+        sizes = np.ceil(cells.rows / cells.blocks) * cells.blocks
+        stats["pairs_compared"] = float((sizes * (first_visits[1] + more_visits[1])).sum())
+        stats["rows_sent"] = int((cells.blocks * (first_visits[1] + more_visits[1])).sum())
     return best(found.unionByName(more)).select(
         F.col("_lid").alias(f"left_{left_id}"), F.col("_rid").alias(f"right_{right_id}"), F.col("_d").alias("dist"), "rank", *right_cols)
 
@@ -204,6 +301,7 @@ def radius_votes(left: DataFrame, right: DataFrame, radius: float, label: str, l
     """(left id, label, n): how many right rows of each label lie within ``radius``.  Only cells that may
     hold such rows are visited, and a block's votes are counted before the shuffle."""
     lefts, rights = _sides(left, right, left_id, right_id, x, (label,))
+    lefts = staged(lefts, "left")
     cells, rows = _cells(rights, seed)
 
     def votes(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -211,12 +309,15 @@ def radius_votes(left: DataFrame, right: DataFrame, radius: float, label: str, l
         if len(q) and len(x):
             qs, xs = _matrix(q["_lx"]), _matrix(x["_rx"])
             names, codes = np.unique(x[label].to_numpy(), return_inverse=True)
-            one_hot = np.eye(len(names))[codes]
-            for at in range(0, len(q), 64):
-                d = np.sqrt(((qs[at:at + 64, None, :] - xs[None, :, :]) ** 2).sum(axis=2))
-                n = (d <= radius).astype(float) @ one_hot
+            one_hot, scale, lids = np.eye(len(names))[codes], _rounding(qs, xs), q["_lid"].to_numpy()
+            for at in range(0, len(q), LEFT_ROWS):
+                d2 = _squares(qs[at:at + LEFT_ROWS], xs)
+                near = d2 <= radius ** 2
+                row, col = np.nonzero(np.abs(d2 - radius ** 2) <= scale)
+                near[row, col] = _exact(qs, at + row, xs, col) <= radius
+                n = near.astype(float) @ one_hot
                 row, col = np.nonzero(n)
-                out.append(pd.DataFrame({"_lid": q["_lid"].to_numpy()[at + row], label: names[col], "n": n[row, col].astype(int)}))
+                out.append(pd.DataFrame({"_lid": lids[at + row], label: names[col], "n": n[row, col].astype(int)}))
         return _plain(pd.concat(out)) if out else _nothing(("_lid", label, "n"))
 
     schema = T.StructType([T.StructField("_lid", lefts.schema["_lid"].dataType), rights.schema[label], T.StructField("n", T.LongType())])

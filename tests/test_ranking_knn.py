@@ -61,6 +61,33 @@ def test_knn_join_on_clusters_is_exact_and_saves_pairs(spark, monkeypatch):
     assert stats["pairs_compared"] < 0.6 * len(X) ** 2
 
 
+def test_knn_join_sends_a_row_once_to_many_cells(spark):
+    """Rows without structure need nearly all cells, but their vectors are copied by region."""
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1500, 24))
+    X[700:800] = X[0]  # ties that fill more than the k best
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, x array<double>")
+    stats, got = {}, {}
+    for r in knn_join(df, df, 5, exclude_self=True, stats=stats).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"]))
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(X)):
+        assert [j for _, j in sorted(got[i])] == np.lexsort((np.arange(len(X)), d[i]))[:5].tolist()
+    assert stats["rows_sent"] <= 2 * len(X)  # 38 cells, one region: before, a copy for each cell
+
+
+def test_regions_are_bounded_or_one_cell():
+    from loupe.operators.knn import _regions
+    rng = np.random.default_rng(6)
+    count = rng.integers(0, 200, size=300)
+    count[7] = 5000
+    region = _regions(rng.normal(size=(300, 8)), count, 1000)
+    held = np.bincount(region, weights=count)
+    assert held.sum() == count.sum() and len(held) <= 4 * count.sum() / 1000
+    assert all(n <= 1000 or (region == i).sum() == 1 for i, n in enumerate(held))
+
+
 def test_radius_votes_equal_all_pairs(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(120, 3))
