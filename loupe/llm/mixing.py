@@ -96,6 +96,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     (F.size("due") * F.col("size")).alias("taken"), F.transform("due", position).alias("positions")))
 
 
+def training_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column position, range-sorted by it."""
+    return rows.repartitionByRange("position").sortWithinPartitions("position")
+
+
+def mix_totals(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``mix`` with ``taken`` as the written training order holds it: every copy of a row is
+    placed by its position, the schedule is range-sorted and written, and a row's words are summed from
+    what is read back.  The schedule holds numbers, no texts."""
+    mixed = mix(docs, id_col, **options)
+    numbered = staged(mixed.withColumn("row", F.monotonically_increasing_id()), "mixed")
+    copies = numbered.select("row", "size", F.explode("positions").alias("position"))
+    schedule = staged(training_order(copies), "schedule")
+    # the position is read back too
+    read = schedule.where("position is not null").groupBy("row").agg(F.sum("size").alias("read"))
+    return numbered.join(read, "row", "left").withColumn("taken", F.coalesce("read", F.lit(0)).cast("long")).drop("row", "read")
+
+
 def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The taken documents, a row for each copy, range-sorted by position; the columns of ``docs``, of any
     type and name.  Rows of one id and text are told apart by nothing else: each copy is the row of the
@@ -104,4 +122,4 @@ def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     each = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), whole_row(docs).alias("doc"))
     each = each.groupBy("own_id", "own_hash").agg(F.min_by("doc", row_hash("doc")).alias("doc"))
     met = each.join(taken, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")))
-    return unpacked(met.select("doc", "position").repartitionByRange("position").sortWithinPartitions("position"), docs)
+    return unpacked(training_order(met.select("doc", "position")), docs)

@@ -88,6 +88,27 @@ def test_curriculum_order(spark):
     assert [r.doc_id for r in ordered] == [d for _, d in places] or sorted(r.doc_id for r in ordered) == sorted(d for _, d in places)
 
 
+def test_query_takes_its_words_from_the_training_order(spark, tmp_path, monkeypatch):
+    from loupe.llm import mixing
+    docs = [(i, "w " * (1 + i % 7), s) for i, s in enumerate(["a", "b", "c"] * 60)] + [(None, "", "a"), (None, "x y", "a"), (None, "x y", "a"), (0, "w ", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    written, order = [], mixing.training_order
+
+    def seen(rows):
+        written.append(order(rows))
+        return written[-1]
+
+    monkeypatch.setattr(mixing, "training_order", seen)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(rows(QUERIES["op9_mix_sources"](spark, str(tmp_path))), key=key) == sorted(brute(docs), key=key)
+    positions = [r.position for r in written[0].collect()]
+    assert len(written) == 1 and positions == sorted(positions) and len(set(positions)) > 100
+    # a copy that the order does not hold is not counted
+    monkeypatch.setattr(mixing, "training_order", lambda rows: order(rows).where("size <> 3"))
+    left = rows(QUERIES["op9_mix_sources"](spark, str(tmp_path)))
+    assert len(left) == len(docs) and any(t for *_, t in left) and not any(t for _, z, _, _, t in left if z == 3)
+
+
 def test_many_rows_without_id_fall_into_many_bins(spark):
     docs = [(None, f"text {i} of a source", "x") for i in range(1500)] + [(i, "some words here", "y") for i in range(1500)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
