@@ -7,6 +7,8 @@ whole-stage code generation.  ``spark.sql.ansi.enabled`` is on in Spark 4, hence
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +70,13 @@ def to_ordinal(c) -> Column:
 def parse_datetime_multi(c) -> Column:
     """First of the fixed formats that parses; null when none does."""
     s = F.trim(as_text(c))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATETIME_FORMATS])
+    return F.coalesce(*[F.when(s.like(_marks(fmt)), F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATETIME_FORMATS])
+
+
+def _marks(fmt: str) -> str:
+    """What a text of this format is like: its marks in order.  A parser that fails throws, which costs far
+    more than a look at the marks."""
+    return re.sub(r"[A-Za-z]+", "%", fmt)
 
 
 def is_float(c) -> Column:
@@ -98,9 +106,8 @@ def sanitize_text(c) -> Column:
 def sanitize_number(c) -> Column:
     """Null -> 0, date -> ordinal, unparsable -> 0, else double."""
     d = parse_datetime_multi(c)
-    return (F.when(_c(c).isNull(), F.lit(0.0))
-            .when(d.isNotNull(), to_ordinal(d).cast("double"))
-            .otherwise(F.coalesce(_try_cast(F.trim(as_text(c)), "double"), F.lit(0.0))))
+    return F.coalesce(F.when(_c(c).isNull(), F.lit(0.0)), to_ordinal(d).cast("double"),
+                      _try_cast(F.trim(as_text(c)), "double"), F.lit(0.0))
 
 
 def text_as_string(c, null_token: str = "None") -> Column:

@@ -52,3 +52,13 @@ def test_labels_and_keys(spark):
     assert one(spark, P.is_unlabelled, None) is True
     assert one(spark, P.is_unlabelled, "") is True
     assert one(spark, P.is_unlabelled, "a") is False
+
+
+def test_dates_are_parsed_only_where_the_marks_fit(spark):
+    """A failed parse throws; before, every text went through all twelve parsers."""
+    assert str(P.parse_datetime_multi("x")).lower().count("like(") == len(P.DATETIME_FORMATS)
+    values = ["{\"k\": 69}", "12.5", "1-2-3", "-1e-05", " 2005-12-09 ", "31/12/2005 1:02:03,123456", "2005-12-9 1:2:3", "20051209", "", "2/31/2005", "12/31/2005"]
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("x"), F.lit(fmt)) for fmt in P.DATETIME_FORMATS])
+    assert df.where(~P.parse_datetime_multi("x").eqNullSafe(plain)).count() == 0
+    assert [r.n for r in df.select(P.sanitize_number("x").alias("n")).collect()][:4] == [0.0, 12.5, 0.0, -1e-05]
