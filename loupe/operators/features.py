@@ -93,6 +93,10 @@ def ordinal_encode(df: DataFrame, cols: list[str], fitted: dict[str, DataFrame]
     return out, fitted
 
 
+#: Rows of one id that a task may take.
+HOT_ROWS = 1000
+
+
 # ------------------------------------------------------------------ bag of words, long form
 def terms(df: DataFrame, id_col: str, text_cols, ngram_range=(1, 1), stop_words: str | None = None,
           extra_stop_words: tuple[str, ...] = (), encrypt: bool = False) -> DataFrame:
@@ -112,9 +116,21 @@ def terms(df: DataFrame, id_col: str, text_cols, ngram_range=(1, 1), stop_words:
     return with_grams.select(id_col, F.explode("_grams").alias("term"))
 
 
+def count_by_document(df: DataFrame, id_col: str, to_terms, out_col: str) -> DataFrame:
+    """(id, term, count) of ``to_terms(rows)``, whose rows are (id, term).  Texts are shuffled by id, so the
+    many (id, term) pairs are counted where they arise and are not shuffled; rows of an id that is
+    repeated more than ``HOT_ROWS`` times (a null id too) are spread by term."""
+    count = lambda rows: to_terms(rows).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias(out_col))
+    hot = F.broadcast(df.groupBy(F.col(id_col).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select("_hot"))
+    is_hot = F.col(id_col).eqNullSafe(F.col("_hot"))
+    return count(df.join(hot, is_hot, "left_anti").repartition(id_col)).unionByName(count(df.join(hot, is_hot, "left_semi")))
+
+
 def term_counts(df: DataFrame, id_col: str, text_cols, **kw) -> DataFrame:
-    """(id, term, tf) — a grouped count, partially aggregated per task."""
-    return terms(df, id_col, text_cols, **kw).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf) — a grouped count inside the tasks that hold a document."""
+    cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
+    rows = df.select(*dict.fromkeys([id_col, *cols]))
+    return count_by_document(rows, id_col, lambda part: terms(part, id_col, text_cols, **kw), "tf")
 
 
 def document_frequency(tc: DataFrame, id_col: str) -> DataFrame:

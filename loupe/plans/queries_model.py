@@ -146,9 +146,11 @@ SELECT doc_id, term, count(*) AS n FROM (
   WHERE len(t) >= 2)
 GROUP BY 1, 2""")
 def q_x6(spark, sf):
-    d = S.load(spark, sf, "documents").select("doc_id", TX.tokenize("text").alias("tokens"))
-    g = X.add_ngrams(d, "tokens", "grams", 2, 2)
-    return g.select("doc_id", F.explode("grams").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    def grams(docs):
+        g = X.add_ngrams(docs.select("doc_id", TX.tokenize("text").alias("tokens")), "tokens", "grams", 2, 2)
+        return g.select("doc_id", F.explode("grams").alias("term"))
+
+    return X.count_by_document(S.load(spark, sf, "documents").select("doc_id", "text"), "doc_id", grams, "n")
 
 
 @query("X7_term_counts", r"""
