@@ -282,16 +282,27 @@ class Model:
 # ---------------------------------------------------------------- training
 
 def _calibrate(best: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on the highest logit of whole texts, by Newton steps with a small ridge;
-    the score does not fall with the logit, and a text's length plays no other part."""
-    x = np.stack([best, np.ones_like(best)], axis=1)
+    """Weighted logistic regression on the highest logit of whole texts, by Newton steps with a small ridge,
+    each halved until the loss falls (whole steps can swing for ever where the classes lie far apart); the
+    score does not fall with the logit, and a text's length plays no other part."""
+    x = np.stack([best, np.ones_like(best)], axis=1).astype(float)
     beta, ridge = np.zeros(2), np.array([0.1, 0.01])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((weights * (np.logaddexp(0, z) - labels * z)).sum() + (ridge * beta * beta).sum() / 2)
+
+    now = loss(beta)
+    for _ in range(100):
+        q = sigmoid(x @ beta)
         grad = x.T @ (weights * (q - labels)) + ridge * beta
         hess = (x * (weights * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
-        beta -= np.clip(step, -2, 2)
+        while (new := loss(beta - step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if new > now or np.abs(step).max() <= 1e-12:
+            break
+        beta, now = beta - step, new
     return max(float(beta[0]), 0.0), float(beta[1])
 
 

@@ -141,3 +141,22 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert score_toxicity(docs.limit(0), model).collect() == []
     empty = fit_toxicity(docs.limit(0), labels.limit(0))
     assert score_toxicity(docs, empty).where("score is null").count() == 0
+
+
+def test_calibration_of_classes_far_apart():
+    """Whole Newton steps swing for ever on these logits and end at a constant score."""
+    for seed in (54, 89, 182, 211, 234, 259, 322, 335, 412, 442):
+        rng = np.random.default_rng(seed)
+        n_toxic, n_clean = rng.integers(20, 300), rng.integers(50, 600)
+        toxic, clean, spread = rng.uniform(1, 60), rng.uniform(-60, -1), rng.uniform(0.1, 4)
+        best = np.concatenate([rng.normal(toxic, spread, n_toxic), rng.normal(clean, spread, n_clean)])
+        y = np.concatenate([np.ones(n_toxic), np.zeros(n_clean)])
+        odd = rng.random(len(best)) < 0.01
+        best[odd] = rng.normal(0, 20, odd.sum())
+        share = rng.uniform(0.05, 0.3)
+        weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y).mean())
+        a, c = toxicity._calibrate(best, y, weights)
+        p = toxicity.sigmoid(a * best + c)
+        assert a > 0 and ((p >= toxicity.THRESHOLD) == (y == 1)).mean() > 0.95
+        gradient = np.array([(weights * (p - y) * best).sum() + 0.1 * a, (weights * (p - y)).sum() + 0.01 * c])
+        assert np.abs(gradient).max() < 1e-5
