@@ -32,7 +32,7 @@ from pyspark.sql import types
 
 from loupe.operators import trees as T
 from loupe.operators.networks import NETWORKS, fit_network, fit_sgd
-from loupe.session import cut_lineage
+from loupe.session import cut_lineage, staged
 
 FEATURES, LABEL, PRED, PROB, WEIGHT, KEY = "features", "label_idx", "prediction", "probability", "weight", "_key"
 # The reference library's defaults.  Trees grow without a depth limit there; 30 is the
@@ -449,6 +449,33 @@ class ForestFitted(Fitted):
         return out.withColumn(PRED, argmax(F.col(name))).withColumn(PROB, F.col(name)).drop(name)
 
 
+class DealtForestFitted(Fitted):
+    """Scores from written subtrees (``trees.DealtForest``): rows are written with a number and dealt to them."""
+
+    def __init__(self, forest: T.DealtForest):
+        self.forest, self.feature_weights = forest, forest.gains
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        number, name = f"_q{next(_TAGS)}", f"_f{next(_TAGS)}"
+        asked = staged(df.drop(PRED, PROB).withColumn(number, F.monotonically_increasing_id()), "asked")
+        found = self.forest.scores(asked.select(F.col(number).alias("id"), vector_to_array(F.col(FEATURES)).alias("x")))
+        out = asked.join(found.select(F.col("id").alias(number), F.col("p").alias(name)), number, "left").drop(number)
+        return out.withColumn(PRED, argmax(F.col(name))).withColumn(PROB, F.col(name)).drop(name)
+
+
+def _forest_fitted(train: DataFrame, forest: T.FlatForest | T.DealtForest) -> Fitted:
+    return DealtForestFitted(forest) if isinstance(forest, T.DealtForest) else ForestFitted(train.sparkSession, forest)
+
+
+def fit_random_forest(train: DataFrame, k: int, trees: int = 100, max_depth: int = TREE_DEPTH, criterion: str = "gini", seed: int = 42) -> Fitted:
+    """A4: trees on bootstrap draws, the root of the number of features (rounded up) drawn at each node."""
+    if criterion not in ("gini", "entropy"):
+        raise ValueError("criterion is 'gini' or 'entropy'")
+    data = _binned(train, k)
+    share = math.ceil(math.sqrt(data.d))
+    return _forest_fitted(train, T.grow_forest(data, trees, T.Bags((1.0,) * k, False, seed), share, max_depth, seed, criterion == "entropy"))
+
+
 def _binned(train: DataFrame, k: int, bins: int = T.BINS) -> T.Binned:
     return T.bin_rows(_with_content_key(train), k, KEY, FEATURES, LABEL, bins)
 
@@ -475,7 +502,7 @@ def fit_bagging(train: DataFrame, k: int, n_bags: int = 10, seed: int = 0, balan
             return fit_dummy(train, k)
         return ForestFitted(train.sparkSession, T.stump_forest(data, stumps))
     share = max(1, math.isqrt(data.d)) if base == "forest" else None
-    return ForestFitted(train.sparkSession, T.grow_forest(data, n_bags, T.Bags(rates, False, seed), share, max_depth, seed))
+    return _forest_fitted(train, T.grow_forest(data, n_bags, T.Bags(rates, False, seed), share, max_depth, seed))
 
 
 def fit_hist_boosting(train: DataFrame, k: int, rounds: int = T.HIST_ROUNDS, learning_rate: float = T.LEARNING_RATE,
@@ -585,7 +612,7 @@ def fit_spark(code: str, train: DataFrame, k: int, max_iter: int = 100, seed: in
     if code == "DTC":
         return SparkFitted(C.DecisionTreeClassifier(maxDepth=kw.get("max_depth", TREE_DEPTH), impurity=kw.get("criterion", "gini"), seed=seed, **L).fit(train))
     if code == "RFCL":
-        return SparkFitted(C.RandomForestClassifier(numTrees=kw.get("trees", 100), maxDepth=kw.get("max_depth", TREE_DEPTH), impurity=kw.get("criterion", "gini"), seed=seed, **L).fit(train))
+        return fit_random_forest(train, k, kw.get("trees", 100), kw.get("max_depth", TREE_DEPTH), kw.get("criterion", "gini"), seed)
     if code == "GBC":
         return fit_ovr(lambda: C.GBTClassifier(maxIter=kw.get("rounds", BOOSTING_ROUNDS), maxDepth=kw.get("max_depth", 3), stepSize=kw.get("learning_rate", 0.1), seed=seed, **L), train, k)
     if code in ("LSVC", "SVC"):

@@ -5,13 +5,16 @@ member (bootstrap counts, balanced draws, boosting weights) is a function of its
 and the trees so far, so nothing is rewritten between rounds and plans do not grow.
 
 * Forests: large nodes of all members are split level by level from class-by-bin histograms that are
-  summed and searched in groups of one node; a node of at most ``SMALL`` rows is finished in one group.
+  summed and searched in groups of one node; a node of at most ``FINISH`` rows is finished in one group.
+  Trees without a depth limit have nodes in proportion to the rows, so the subtrees of those groups are
+  written as a table, and rows that are scored are dealt to them (:class:`DealtForest`); the driver holds
+  the nodes above.  A forest of at most ``NODES_MOST`` nodes is one :class:`FlatForest`.
 * AdaBoost: one grouped aggregate a round for all bags finds the best stump of every feature block.
 * Histogram boosting: gradient and Hessian histograms of the k trees of a round; of two siblings the
   smaller is counted, the other is their parent less it.  A table of at most ``SMALL`` rows grows each
   tree in one group, by the same rule.
 
-A fitted ensemble is a :class:`FlatForest`, arrays of nodes that score a batch in one pass; the plan
+Other fitted ensembles are a :class:`FlatForest`, arrays of nodes that score a batch in one pass; the plan
 does not depend on the number of members.
 """
 
@@ -29,8 +32,14 @@ from pyspark.sql import functions as F
 from loupe.session import staged
 
 BINS, HIST_BINS = 32, 64
-#: Rows of a node that one group finishes.
+#: Rows of a table whose boosted trees grow in one group each.
 SMALL = 4096
+#: Rows of a forest's node that one group finishes; nodes of a forest that the driver holds at most.
+FINISH, NODES_MOST = 1 << 16, 1 << 17
+#: Cells of histograms that a group holds at once; rows that a group scores by a subtree.
+CELLS, SCORED = 1 << 20, 1 << 16
+#: A class share in the sums of written subtrees, which do not depend on the order of arrival.
+UNIT = 1 << 40
 #: Bytes of histograms that a task holds; features of a group of stump histograms.
 HELD, BLOCK = 1 << 26, 64
 LEAF = -1
@@ -76,10 +85,7 @@ def bin_rows(train: DataFrame, k: int, key: str, features: str = "features", lab
     @F.pandas_udf("binary")
     def binned(x: pd.Series) -> pd.Series:
         X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(edges)))
-        out = np.zeros(X.shape, np.uint8)
-        for j, e in enumerate(edges):
-            out[:, j] = np.searchsorted(e, X[:, j], side="left")
-        return pd.Series([r.tobytes() for r in out], dtype=object)
+        return pd.Series([r.tobytes() for r in binned_rows(X, edges)], dtype=object)
 
     rows = train.select(F.xxhash64(F.col(key)).alias("h"), F.col(label).cast("int").alias("y"), binned(vector_to_array(F.col(features))).alias("bins"))
     rows = staged(rows, "binned")
@@ -208,58 +214,169 @@ def class_histogram(X: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, bins: i
     return np.bincount(code, weights=np.repeat(w, m), minlength=m * bins * k).reshape(m, bins, k)
 
 
-def best_class_split(hist: np.ndarray) -> tuple[int, int, float, np.ndarray, np.ndarray]:
-    """(feature, bin, gain, left, right class weights) of the largest decrease of Gini impurity, the first of
-    equal ones; feature -1 if no split lowers it."""
-    left = np.cumsum(hist, axis=1)[:, :-1]
-    total = hist[:1].sum(axis=1, keepdims=True)
+def best_class_splits(hist: np.ndarray, entropy: bool = False) -> tuple[np.ndarray, ...]:
+    """For histograms by (node, feature, bin, class): feature, bin, gain, left and right class weights of the
+    largest decrease of Gini impurity (or entropy), the first of equal ones; feature -1 if no split lowers it."""
+    left = np.cumsum(hist, axis=2)[:, :, :-1]
+    total = hist[:, :1].sum(axis=2, keepdims=True)
     right = total - left
-    n_left, n_right = left.sum(axis=2), right.sum(axis=2)
-    square = lambda part, n: np.divide((part * part).sum(axis=2), n, out=np.zeros_like(n), where=n > 1e-12)
-    whole = total[0, 0]
-    gain = square(left, n_left) + square(right, n_right) - (whole * whole).sum() / max(whole.sum(), 1e-300)
-    gain = np.where((n_left > 1e-12) & (n_right > 1e-12), gain, -1.0)
-    if not gain.size or gain.max() <= 1e-9 * max(whole.sum(), 1e-300):
-        return -1, 0, 0.0, whole, whole
-    j, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
-    return int(j), int(b), float(gain[j, b]), left[j, b], right[j, b]
+    n_left, n_right = left.sum(axis=3), right.sum(axis=3)
+
+    def purity(part, n):
+        if entropy:
+            return (part * np.log(np.maximum(part, 1e-300))).sum(axis=-1) - n * np.log(np.maximum(n, 1e-300))
+        return np.divide((part * part).sum(axis=-1), n, out=np.zeros_like(n), where=n > 1e-12)
+
+    whole = total[:, 0, 0]
+    n = whole.sum(axis=1)
+    before = purity(whole, n) if entropy else (whole * whole).sum(axis=1) / np.maximum(n, 1e-300)
+    gain = purity(left, n_left) + purity(right, n_right) - before[:, None, None]
+    gain = np.where((n_left > 1e-12) & (n_right > 1e-12), gain, -1.0).reshape(len(hist), -1)
+    if not gain.shape[1]:
+        return np.full(len(hist), -1), np.zeros(len(hist), int), np.zeros(len(hist)), whole, whole
+    at, node = gain.argmax(axis=1), np.arange(len(hist))
+    best = gain[node, at]
+    j, b = np.divmod(at, left.shape[2])
+    good = best > 1e-9 * np.maximum(n, 1e-300)
+    left, right = left[node, j, b], right[node, j, b]
+    return np.where(good, j, -1), np.where(good, b, 0), np.where(good, best, 0.0), np.where(good[:, None], left, whole), np.where(good[:, None], right, whole)
+
+
+def best_class_split(hist: np.ndarray, entropy: bool = False) -> tuple[int, int, float, np.ndarray, np.ndarray]:
+    """``best_class_splits`` of one node."""
+    j, b, gain, left, right = best_class_splits(hist[None], entropy)
+    return int(j[0]), int(b[0]), float(gain[0]), left[0], right[0]
+
+
+def feature_subsets(d: int, share: int | None, seed: int, tree: int, paths: np.ndarray) -> np.ndarray:
+    """The features that each node looks at, a row a path: ``share`` of them by a draw, or all."""
+    if share is None or share >= d:
+        return np.tile(np.arange(d), (len(paths), 1))
+    salt = (np.asarray(paths, np.uint64) + np.uint64(((seed * 1_000_003 + tree) * 1_000_003 + 7) % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+    u = uniforms(np.arange(d).astype(np.uint64) + salt[:, None], 0)
+    return np.sort(np.argsort(u, axis=1, kind="stable")[:, :share], axis=1)
 
 
 def feature_subset(d: int, share: int | None, seed: int, tree: int, path: int) -> np.ndarray:
-    """The features that a node looks at: ``share`` of them by a draw, or all."""
-    if share is None or share >= d:
-        return np.arange(d)
-    u = uniforms(np.arange(d).astype(np.uint64), (seed * 1_000_003 + tree) * 1_000_003 + path + 7)
-    return np.sort(np.argsort(u, kind="stable")[:share])
-
-
-def local_tree(X: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, bins: int, share: int | None, seed: int, tree: int, path: int, depth: int) -> list[tuple]:
-    """Nodes (feature, bin, left, right, gain, class weights) of a whole subtree, the root first."""
-    nodes, open_ = [None], [(0, np.arange(len(y)), path, depth)]
-    while open_:
-        at, rows, path, depth = open_.pop()
-        weights = np.bincount(y[rows], weights=w[rows], minlength=k)
-        j = -1
-        if depth and (weights > 0).sum() > 1:
-            cols = feature_subset(X.shape[1], share, seed, tree, path)
-            j, b, gain, _, _ = best_class_split(class_histogram(X[np.ix_(rows, cols)], y[rows], w[rows], k, bins))
-            if j < 0 and len(cols) < X.shape[1]:  # none of its features parts the node: look at all
-                cols = np.arange(X.shape[1])
-                j, b, gain, _, _ = best_class_split(class_histogram(X[rows], y[rows], w[rows], k, bins))
-        if j < 0:
-            nodes[at] = (LEAF, 0, 0, 0, 0.0, weights)
-            continue
-        low = X[rows, cols[j]] <= b
-        nodes += [None, None]
-        nodes[at] = (int(cols[j]), b, len(nodes) - 2, len(nodes) - 1, gain, weights)
-        open_ += [(len(nodes) - 2, rows[low], (2 * path) % 2**40, depth - 1), (len(nodes) - 1, rows[~low], (2 * path + 1) % 2**40, depth - 1)]
-    return nodes
+    """``feature_subsets`` of one node."""
+    return feature_subsets(d, share, seed, tree, np.array([path]))[0]
+
+
+def _node_splits(X: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, cols: np.ndarray, k: int, bins: int, entropy: bool) -> tuple[np.ndarray, ...]:
+    """(feature, bin, gain) of the best split of each node.  Row i lies in node ``slot[i]``, rows sorted by it;
+    ``cols``: the features that each node looks at."""
+    n, m = cols.shape
+    step, found = max(1, CELLS // (m * bins * k)), []
+    for lo in range(0, n, step):
+        a, b = np.searchsorted(slot, [lo, lo + step])
+        own, here = slot[a:b] - lo, min(step, n - lo)
+        code = ((own[:, None] * m + np.arange(m)) * bins + X[np.arange(a, b)[:, None], cols[slot[a:b]]]) * k + y[a:b, None]
+        hist = np.bincount(code.ravel(), weights=np.repeat(w[a:b], m), minlength=here * m * bins * k).reshape(here, m, bins, k)
+        found.append(best_class_splits(hist, entropy)[:3])
+    j, cut, gain = (np.concatenate(x) for x in zip(*found))
+    return np.where(j >= 0, cols[np.arange(n), np.maximum(j, 0)], -1), cut, gain
+
+
+def local_tree(X: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, bins: int, share: int | None, seed: int, tree: int, path: int, depth: int,
+               entropy: bool = False) -> tuple[np.ndarray, ...]:
+    """(feature, bin, left child, gain, class weights) of the nodes of a whole subtree, the root first, level by
+    level; the right child follows the left."""
+    d = X.shape[1]
+    feature, cut, left, gain, weights, made = [], [], [], [], [], 1
+    slot, paths = np.zeros(len(y), np.int64), np.array([path], np.int64)
+    while len(paths):
+        n = len(paths)
+        held = np.bincount(slot * k + y, weights=w, minlength=n * k).reshape(n, k)
+        j, b, g, kids = np.full(n, LEAF), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+        open_ = np.flatnonzero((held > 0).sum(axis=1) > 1) if depth > 0 else np.zeros(0, np.int64)
+        cols = feature_subsets(d, share, seed, tree, paths[open_]) if len(open_) else None
+        while len(open_):
+            place = np.full(n, -1)
+            place[open_] = np.arange(len(open_))
+            rows = np.flatnonzero(place[slot] >= 0)
+            j[open_], b[open_], g[open_] = _node_splits(X[rows], y[rows], w[rows], place[slot[rows]], cols, k, bins, entropy)
+            # none of their features parts these nodes: look at all
+            open_ = open_[j[open_] < 0] if cols.shape[1] < d else open_[:0]
+            cols = np.tile(np.arange(d), (len(open_), 1))
+        inner = np.flatnonzero(j >= 0)
+        kids[inner] = made + 2 * np.arange(len(inner))
+        made += 2 * len(inner)
+        for out, new in zip((feature, cut, left, gain, weights), (j, b, kids, g, held)):
+            out.append(new)
+        place = np.full(n, -1)
+        place[inner] = np.arange(len(inner))
+        rows = np.flatnonzero(place[slot] >= 0)
+        high = X[rows, j[slot[rows]]] > b[slot[rows]]
+        child = 2 * place[slot[rows]] + high
+        order = np.argsort(child, kind="stable")
+        X, y, w, slot = X[rows[order]], y[rows[order]], w[rows[order]], child[order]
+        paths = ((2 * paths[inner])[:, None] + np.arange(2)).ravel() % 2**40
+        depth -= 1
+    return tuple(np.concatenate(x) for x in (feature, cut, left, gain, weights))
 
 
 # ---------------------------------------------------------------- forests
 
-def grow_forest(data: Binned, n_trees: int, bags: Bags, share: int | None = None, depth: int = 30, seed: int = 0) -> FlatForest:
-    """``n_trees`` Gini trees, each on its own bag; a leaf's value is its class shares / ``n_trees``."""
+@dataclass
+class DealtForest:
+    """The nodes of a forest down to written subtrees.  ``parts``: (node, and arrays as bytes: feature, cut, left
+    child or the number of the leaf, class shares of the leaves), a row for every end of ``top``."""
+
+    top: FlatForest
+    parts: DataFrame
+    edges: list[np.ndarray]
+    k: int
+
+    @property
+    def gains(self) -> np.ndarray:
+        return self.top.gains
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """(id, p: mean class shares) of rows(id, x).  A row goes to the subtree it reaches in each tree; many
+        rows of one subtree are split into parts by hash."""
+        top, edges, k, n_trees = self.top, self.edges, self.k, len(self.top.roots)
+        n_parts = max(1, -(-rows.count() // SCORED))
+
+        def deal(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                X = binned_rows(np.stack(pdf["x"].to_numpy()), edges)
+                ids, data = pdf["id"].to_numpy(), np.array([r.tobytes() for r in X], object)
+                for t in range(n_trees):
+                    yield pd.DataFrame({"node": top.ends(X, np.array([t]), True)[:, 0], "id": ids, "bins": data})
+
+        def score(key, asked, part):
+            if not len(asked) or not len(part):
+                return pd.DataFrame({"id": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object)})
+            X = np.frombuffer(b"".join(asked["bins"]), np.uint8).reshape(len(asked), len(edges))
+            feature, cut, left = (np.frombuffer(part[c].iloc[0], t) for c, t in (("feature", np.int16), ("cut", np.uint8), ("left", np.int32)))
+            at, open_ = np.zeros(len(X), np.int64), np.arange(len(X))
+            while len(open_ := open_[feature[at[open_]] != LEAF]):
+                node = at[open_]
+                at[open_] = left[node] + (X[open_, feature[node]] > cut[node])
+            shares = np.frombuffer(part["value"].iloc[0]).reshape(-1, k)[left[at]]
+            return pd.DataFrame({"id": asked["id"], "v": list(np.rint(shares * UNIT).astype(np.int64))})
+
+        dealt = rows.mapInPandas(deal, "node long, id long, bins binary").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
+        held = self.parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+        found = dealt.groupBy("node", "part").cogroup(held.groupBy("node", "part")).applyInPandas(score, "id long, v array<long>")
+        sums = F.array(*[F.sum(F.col("v")[c]) / F.lit(float(UNIT * n_trees)) for c in range(k)])
+        return found.groupBy("id").agg(sums.alias("p"))
+
+
+def binned_rows(X: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The bin of every value."""
+    out = np.zeros(X.shape, np.uint8)
+    for j, e in enumerate(edges):
+        out[:, j] = np.searchsorted(e, X[:, j], side="left")
+    return out
+
+
+def grow_forest(data: Binned, n_trees: int, bags: Bags, share: int | None = None, depth: int = 30, seed: int = 0,
+                entropy: bool = False) -> FlatForest | DealtForest:
+    """``n_trees`` trees by Gini impurity or entropy, each on its own bag; a leaf's value is its class shares /
+    ``n_trees``."""
     d, k, bins = data.d, data.k, BINS
     grown = Growing(k, data.edges)
     expected = data.counts * np.asarray(bags.rates)
@@ -268,16 +385,16 @@ def grow_forest(data: Binned, n_trees: int, bags: Bags, share: int | None = None
 
     def opened(node: int, tree: int, path: int, left: int, weights) -> None:
         if left and (np.asarray(weights) > 0).sum() > 1:
-            (large if np.sum(weights) > SMALL else small)[node] = (tree, path, left)
+            (large if np.sum(weights) > FINISH else small)[node] = (tree, path, left)
 
     for t in range(n_trees):
         grown.roots.append(grown.node(expected))
         opened(grown.roots[-1], t, 1, depth, expected)
     while large:
-        splits = _split_level(data, grown.flat(), large, bags, share, seed)
+        splits = _split_level(data, grown.flat(), large, bags, share, seed, entropy)
         stuck = {n: large[n] for n, split in splits.items() if split[0] < 0} if share is not None and share < d else {}
         if stuck:  # none of their features parts these nodes: look at all
-            splits |= _split_level(data, grown.flat(), stuck, bags, None, seed)
+            splits |= _split_level(data, grown.flat(), stuck, bags, None, seed, entropy)
         for node, (feature, cut, gain, a, b) in splits.items():
             tree, path, left = large[node]
             if feature >= 0:
@@ -285,15 +402,38 @@ def grow_forest(data: Binned, n_trees: int, bags: Bags, share: int | None = None
                 for kid, weights, side in zip(kids, (a, b), (0, 1)):
                     opened(kid, tree, (2 * path + side) % 2**40, left - 1, weights)
             del large[node]
-    _finish(data, grown, small, bags, share, seed)
 
     def shares(weights: np.ndarray) -> np.ndarray:
         total = weights.sum()
         return (weights / total if total > 0 else np.full(k, 1.0 / k)) / n_trees
-    return grown.flat(shares)
-
-
-def _split_level(data: Binned, forest: FlatForest, open_: dict, bags: Bags, share: int | None, seed: int) -> dict:
+    top = grown.flat(shares)
+    parts = _finish(data, grown, small, bags, share, seed, entropy)
+    sizes = parts.select("node", "n", "gains").toArrow() if small else None  # a row a subtree
+    n_nodes = len(top.feature) + (sum(sizes["n"].to_pylist()) if small else 0)
+    if small:
+        top.gains = top.gains + np.sum(sizes["gains"].to_pylist(), axis=0)
+    return _flat(top, parts, data.edges, k, n_trees) if n_nodes <= NODES_MOST else DealtForest(top, parts, data.edges, k)
+
+
+def _flat(top: FlatForest, parts: DataFrame, edges: list[np.ndarray], k: int, n_trees: int) -> FlatForest:
+    """One table of all nodes of a forest."""
+    cols = {f: [getattr(top, f)] for f in ("feature", "cut", "threshold", "left", "right", "value")}
+    made, roots = len(top.feature), {}
+    for r in sorted(parts.drop("gains").toArrow().to_pylist(), key=lambda r: r["node"]):
+        feature, cut, left = (np.frombuffer(r[c], t).astype(np.int64) for c, t in (("feature", np.int16), ("cut", np.uint8), ("left", np.int32)))
+        inner, held = feature != LEAF, np.zeros((len(feature), k))
+        held[~inner] = np.frombuffer(r["value"]).reshape(-1, k)[left[~inner]] / n_trees
+        left = np.where(inner, left + made - 1, 0)
+        new = {"feature": feature, "cut": cut, "threshold": np.array([edges[f][c] if f != LEAF else 0.0 for f, c in zip(feature, cut)]),
+               "left": left, "right": np.where(inner, left + 1, 0), "value": held}
+        for f, v in new.items():  # the root's place is in ``top``
+            cols[f][0][r["node"]] = v[0]
+            cols[f].append(v[1:])
+        made += len(feature) - 1
+    return FlatForest(**{f: np.concatenate(v) for f, v in cols.items()}, roots=top.roots, gains=top.gains)
+
+
+def _split_level(data: Binned, forest: FlatForest, open_: dict, bags: Bags, share: int | None, seed: int, entropy: bool = False) -> dict:
     """The best split of every open node: histograms of a task's rows, summed and searched by node."""
     d, k, bins = data.d, data.k, BINS
     m = d if share is None else min(share, d)
@@ -314,17 +454,19 @@ def _split_level(data: Binned, forest: FlatForest, open_: dict, bags: Bags, shar
                 for tree, mine in by_tree.items():
                     w = bags.draw(h, y, tree)
                     at = forest.ends(X, np.array([tree]), True)[:, 0]
-                    for n in mine:
-                        rows = np.flatnonzero((at == n) & (w > 0))
-                        if len(rows):
-                            found = class_histogram(X[np.ix_(rows, cols[n])], y[rows], w[rows], k, bins)
+                    rows = np.flatnonzero(w > 0)
+                    rows = rows[np.argsort(at[rows], kind="stable")]
+                    for n, lo, hi in zip(mine, *(np.searchsorted(at[rows], mine, side) for side in ("left", "right"))):
+                        if hi > lo:
+                            some = rows[lo:hi]
+                            found = class_histogram(X[np.ix_(some, cols[n])], y[some], w[some], k, bins)
                             held[n] = held[n] + found if n in held else found
             for n, hist in held.items():
                 yield pd.DataFrame({"node": [n], "hist": [hist.ravel()]})
 
         def search(pdf):
             n = int(pdf["node"].iloc[0])
-            j, b, gain, left, right = best_class_split(sum(pdf["hist"]).reshape(-1, bins, k))
+            j, b, gain, left, right = best_class_split(sum(pdf["hist"]).reshape(-1, bins, k), entropy)
             return pd.DataFrame({"node": [n], "feature": [int(cols[n][j]) if j >= 0 else -1], "cut": [b], "gain": [gain], "a": [left], "b": [right]})
 
         found = data.rows.mapInPandas(histograms, "node long, hist array<double>").groupBy("node").applyInPandas(
@@ -333,11 +475,11 @@ def _split_level(data: Binned, forest: FlatForest, open_: dict, bags: Bags, shar
     return out
 
 
-def _finish(data: Binned, grown: Growing, small: dict, bags: Bags, share: int | None, seed: int) -> None:
-    """The subtrees under all nodes of at most SMALL rows, one group each."""
-    if not small:
-        return
+def _finish(data: Binned, grown: Growing, small: dict, bags: Bags, share: int | None, seed: int, entropy: bool = False) -> DataFrame:
+    """The subtrees under all nodes of at most FINISH rows, one group each, as a written table; a leaf above them
+    is a subtree of one node.  Nothing in proportion to the rows comes to the driver."""
     d, k = data.d, data.k
+    schema = "node long, n long, feature binary, cut binary, left binary, value binary, gains array<double>"
     forest = grown.flat()
     trees = sorted({t for t, _, _ in small.values()})
     is_open = np.zeros(len(forest.feature), bool)
@@ -353,24 +495,29 @@ def _finish(data: Binned, grown: Growing, small: dict, bags: Bags, share: int |
                 rows, at = rows[is_open[at]], at[is_open[at]]
                 yield pd.DataFrame({"node": at, "h": pdf["h"].to_numpy()[rows], "y": y[rows], "w": w[rows], "bins": pdf["bins"].to_numpy()[rows]})
 
+    def row(node, feature, cut, left, gain, weights):
+        """A row of the table; leaves are numbered."""
+        leaf = feature == LEAF
+        left = np.where(leaf, np.cumsum(leaf) - 1, left)
+        total = weights[leaf].sum(axis=1, keepdims=True)
+        value = np.where(total > 0, weights[leaf] / np.where(total > 0, total, 1), 1.0 / k)
+        return {"node": node, "n": len(feature), "feature": feature.astype(np.int16).tobytes(), "cut": cut.astype(np.uint8).tobytes(), "left": left.astype(np.int32).tobytes(),
+                "value": value.tobytes(), "gains": np.bincount(feature[~leaf], weights=gain[~leaf], minlength=d).astype(float).tolist()}
+
     def subtree(pdf):
         n = int(pdf["node"].iloc[0])
         pdf = pdf.sort_values(["h", "y", "bins"], kind="stable")  # sums do not depend on the order of arrival
         X, y, _ = _batch(pdf, d)
         tree, path, depth = small[n]
-        nodes = local_tree(X, y, pdf["w"].to_numpy(), k, BINS, share, seed, tree, path, depth)
-        return pd.DataFrame({"node": n, "at": np.arange(len(nodes)), "feature": [x[0] for x in nodes], "cut": [x[1] for x in nodes], "a": [x[2] for x in nodes],
-                             "b": [x[3] for x in nodes], "gain": [x[4] for x in nodes], "value": [x[5] for x in nodes]})
-
-    found = (data.rows.mapInPandas(deal, "node long, h long, y int, w double, bins binary").groupBy("node")
-             .applyInPandas(subtree, "node long, at int, feature int, cut int, a int, b int, gain double, value array<double>").orderBy("node", "at").toPandas())
-    for n, nodes in found.groupby("node", sort=True):
-        place = {0: int(n)}
-        for r in nodes.itertuples(index=False):
-            at = place[r.at]
-            grown.value[at] = np.array(r.value)
-            if r.feature != LEAF:
-                place[r.a], place[r.b] = grown.split(at, r.feature, r.cut, r.gain, None, None)
+        return pd.DataFrame([row(n, *local_tree(X, y, pdf["w"].to_numpy(), k, BINS, share, seed, tree, path, depth, entropy))])
+
+    ends = [i for i in np.flatnonzero(forest.feature == LEAF) if not is_open[i]]
+    one = np.zeros(1, np.int64)
+    above = [row(int(i), one + LEAF, one, one, one.astype(float), np.asarray(grown.value[i], float)[None]) for i in ends]
+    out = data.rows.sparkSession.createDataFrame([tuple(r.values()) for r in above], schema)
+    if small:
+        out = out.unionByName(data.rows.mapInPandas(deal, "node long, h long, y int, w double, bins binary").groupBy("node").applyInPandas(subtree, schema))
+    return staged(out, "subtrees")
 
 
 # ---------------------------------------------------------------- AdaBoost

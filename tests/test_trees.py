@@ -173,3 +173,32 @@ def test_one_class_and_constant_features(spark):
     rng = np.random.default_rng(0)
     mixed = A.fit("HIST", frame(spark, X, rng.integers(0, 2, 30)), 2, rounds=2).transform(frame(spark, X, y)).count()
     assert mixed == 30 and F is not None
+
+
+@pytest.mark.parametrize("entropy", [False, True])
+def test_written_subtrees_score_as_one_table_and_the_driver_holds_the_top(spark, monkeypatch, entropy):
+    X, y = points(6, n=400)
+    X[:150] = X[0]  # a node that no feature parts
+    data = T.bin_rows(frame(spark, X, y), 3, "_key")
+    bags = T.Bags((1.0, 1.0, 1.0), False, 0)
+    whole = T.grow_forest(data, 4, bags, 2, seed=1, entropy=entropy)
+    for name, value in (("FINISH", 60), ("HELD", 5000), ("NODES_MOST", 0), ("SCORED", 150)):
+        monkeypatch.setattr(T, name, value)
+    dealt = T.grow_forest(data, 4, bags, 2, seed=1, entropy=entropy)
+    assert isinstance(whole, T.FlatForest) and isinstance(dealt, T.DealtForest)
+    assert len(dealt.top.feature) < len(whole.feature) / 2 and np.allclose(dealt.gains, whole.gains)
+    assert dealt.parts.count() == (dealt.top.feature == T.LEAF).sum()
+    want = whole.scores(X)
+    got = A.DealtForestFitted(dealt).transform(frame(spark, X, y)).orderBy("_key").collect()
+    assert np.allclose([r.probability for r in got], want, atol=1e-9)
+    assert all(want[i, int(r.prediction)] == pytest.approx(want[i].max()) for i, r in enumerate(got))
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_random_forest_is_grown_by_levels_and_learns(spark, criterion):
+    X, y = points(7)
+    m = A.fit("RFCL", frame(spark, X, y), 3, trees=20, criterion=criterion)
+    assert isinstance(m, A.ForestFitted)
+    got = m.transform(frame(spark, X, y)).collect()
+    assert len(got) == len(y) and sum(r.prediction == r.label_idx for r in got) > 0.9 * len(y)
+    assert all(sum(r.probability) == pytest.approx(1) for r in got)
