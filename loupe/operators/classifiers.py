@@ -17,10 +17,12 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import classification as C
 from pyspark.ml import regression as Rg
 from pyspark.ml.feature import Binarizer, VectorSlicer
@@ -38,6 +40,8 @@ FEATURES, LABEL, PRED, PROB, WEIGHT, KEY = "features", "label_idx", "prediction"
 # The reference library's defaults.  Trees grow without a depth limit there; 30 is the
 # deepest that Spark ML allows.
 TREE_DEPTH, BOOSTING_ROUNDS, EASY_ROUNDS, HIDDEN, HIDDEN_LIGHT = 30, 100, 50, (100,), (50,)
+#: Classes of a one-vs-rest that are fitted at once.
+OVR_AT_ONCE = 8
 _TAGS = itertools.count()  # unique scratch-column prefixes, so nested ensembles do not collide
 
 
@@ -374,11 +378,13 @@ class OneVsRestProb(Fitted):
 def fit_ovr(make: Callable[[], object], train: DataFrame, k: int, has_probability=True) -> Fitted:
     if k == 2:
         return SparkFitted(make().fit(train), has_probability)
-    models = []
-    for c in range(k):
-        t = train.withColumn("_bin", (F.col(LABEL) == float(c)).cast("double"))
-        est = make().setLabelCol("_bin")
-        models.append(est.fit(t))
+
+    def one(c: int):
+        return make().setLabelCol("_bin").fit(train.withColumn("_bin", (F.col(LABEL) == float(c)).cast("double")))
+
+    # the classes' fits are many short jobs each and do not depend on each other
+    with ThreadPool(min(k, OVR_AT_ONCE)) as pool:
+        models = pool.map(inheritable_thread_target(train.sparkSession)(one), range(k))
     return OneVsRestProb(models, k, has_probability)
 
 
@@ -535,7 +541,8 @@ def fit_self_training(train: DataFrame, k: int, unlabelled: DataFrame | None = N
 
 def fit_stacking(train: DataFrame, k: int, base_codes: tuple[str, ...], folds: int = 5, seed: int = 1) -> Fitted:
     """Out-of-fold base-model probabilities -> logistic regression."""
-    df = _with_content_key(train).withColumn("_f", F.pmod(F.xxhash64(KEY, F.lit(seed)), F.lit(folds)))
+    # written once: every base model of every fold reads the rows again, and draws by their keys
+    df = staged(_with_content_key(train).withColumn("_f", F.pmod(F.xxhash64(KEY, F.lit(seed)), F.lit(folds))), "folds")
     oof_parts = []
     for f in range(folds):
         tr, te = df.filter(F.col("_f") != f), df.filter(F.col("_f") == f)
@@ -550,9 +557,9 @@ def fit_stacking(train: DataFrame, k: int, base_codes: tuple[str, ...], folds: i
     for p in oof_parts[1:]:
         oof = oof.unionByName(p)
     meta_x = F.flatten(F.array(*[F.col(c) for c in [f"_b{j}" for j in range(len(base_codes))]]))
-    meta = oof.select(array_to_vector(meta_x).alias(FEATURES), LABEL)
+    meta = staged(oof.select(array_to_vector(meta_x).alias(FEATURES), LABEL), "stacked")
     meta_model = fit_spark("LRN", meta, k)
-    bases = [fit(code, train, k) for code in base_codes]
+    bases = [fit(code, df.drop("_f") if KEY in train.columns else df.drop("_f", KEY), k) for code in base_codes]
 
     class Stacked(Fitted):
         has_probability = True
