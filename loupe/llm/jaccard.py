@@ -6,8 +6,9 @@ Texts are sets of word shingles (64-bit hashes); equal sets are one class.  A bo
   linked pair must share.  Two sets with a common subset of size c are linked if c is enough for their
   sizes, so in each group it is enough to link all to its smallest set, which a grouped minimum finds;
 * heavy pairs (one set above it): inverted lists.  A linked pair shares a token among the first
-  n - ceil(t n) + 1 of each set in a common order (rare ones first), so only those are listed.  Lists
-  are scanned in blocks of bounded size: pairs whose parity bitmaps differ in more bits than a linked
+  n - ceil(t n) + 1 of each set in a common order (rare ones first), so only those are listed.  The first
+  token it shares leaves the items that must be shared behind it in both sets, so most lists of two sets
+  that meet by chance go by the places of their token alone.  Lists are scanned in blocks of bounded size: pairs whose parity bitmaps differ in more bits than a linked
   pair may are dropped, the others are thinned to a forest in each block, and its edges are compared
   exactly.  A block with a failed edge offers the pairs that the failure left apart, until none is left.
 
@@ -99,6 +100,10 @@ class Rule:
     def prefix(self, s):
         return s - self.least(s) + 1
 
+    def reach(self, s, t):
+        """Last place (from 0) in a set of s items of the first item that it shares with a linked set of t."""
+        return s - self.share(s, t)
+
     def subset_sizes(self, s: int, most: int) -> list[int]:
         """The intersections c that light partners of a set of s items need."""
         return sorted({int(self.share(s, t)) for t in range(int(self.least(s)), most + 1) if self.least(t) <= s})
@@ -171,10 +176,12 @@ class Bitmaps:
         return out
 
 
-def list_pairs(first: np.ndarray, part: np.ndarray, n: np.ndarray, bits: Bitmaps, rule: Rule, heavy_from: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(first: np.ndarray, part: np.ndarray, n: np.ndarray, bits: Bitmaps, rule: Rule, heavy_from: int,
+               place: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one list that may be linked, some at a time.  ``first``: end of each row's list
     (rows of a list stand together); ``part``: rows with the same non-negative part are not compared
-    (another block does that); a pair has one set of ``heavy_from`` items at least."""
+    (another block does that); a pair has one set of ``heavy_from`` items at least.  With ``place`` (of the
+    list's token in each set), only pairs whose first shared token may be this one."""
     rest = first - np.arange(len(first)) - 1  # rows after it in its list
     total = np.cumsum(rest)
     lo = 0
@@ -184,6 +191,9 @@ def list_pairs(first: np.ndarray, part: np.ndarray, n: np.ndarray, bits: Bitmaps
         b = _spans(np.arange(lo, hi) + 1, rest[lo:hi])
         keep = rule.fits(n[a], n[b]) & (np.maximum(n[a], n[b]) >= heavy_from) & ((part[a] < 0) | (part[a] != part[b]))
         a, b = a[keep], b[keep]
+        if place is not None:
+            keep = (place[a] <= rule.reach(n[a], n[b])) & (place[b] <= rule.reach(n[b], n[a]))
+            a, b = a[keep], b[keep]
         near = bits.near(a, b, n[a] + n[b] - 2 * rule.share(n[a], n[b]))
         yield a[near], b[near]
         lo = hi
@@ -257,6 +267,13 @@ def first_items(items: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return items[take]
 
 
+def places(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The place of each of the first items of a set in the common order; ``tokens`` ascend."""
+    out = np.empty(len(tokens), np.int64)
+    out[np.argsort(order[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")] = np.arange(len(tokens))
+    return out
+
+
 def _postings(docs: DataFrame, shingle: int, order: np.ndarray, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, shingle):
@@ -267,9 +284,9 @@ def _postings(docs: DataFrame, shingle: int, order: np.ndarray, rule: Rule) -> D
             many = [len(t) for t in tokens]
             yield pa.RecordBatch.from_pydict({
                 "token": pa.array(np.concatenate(tokens).view(np.int64)), "short": pa.array(np.repeat(np.array([_digest(s)[1] for s in sets], np.int64), many)),
-                "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), many))})
+                "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), many)), "place": pa.array(np.concatenate([places(t, order) for t in tokens]))})
 
-    return docs.select("text").mapInArrow(run, "token long, short long, n long")
+    return docs.select("text").mapInArrow(run, "token long, short long, n long, place long")
 
 
 def _bit_set(rows: DataFrame, key: str) -> np.ndarray:
@@ -363,12 +380,13 @@ LISTS = ["token", "i", "j"]
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members (token, short, size of the list) dealt to blocks of their list: (token, i, j), and part,
-    the member's side in a block of two (-1 where a block is compared with itself)."""
+    """Members (token, short, place if any, size of the list) dealt to blocks of their list: (token, i, j), and
+    part, the member's side in a block of two (-1 where a block is compared with itself)."""
+    place = [c for c in members.columns if c == "place"]
     dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("short", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("token", "short", "own", other)
-    return dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "short",
+    dealt = dealt.select("token", "short", *place, "own", other)
+    return dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "short", *place,
                         F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part"))
 
 
@@ -380,10 +398,16 @@ def _grouped(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 def _sized(members: DataFrame, rule: Rule, heavy_from: int) -> DataFrame:
     """Members (token, short, n) with the size of their list; lists without a pair to compare go, as do
-    lists of two sets whose sizes do not fit (most of those that meet by chance)."""
+    lists of two sets whose sizes do not fit, or with column place, whose first shared token this cannot be
+    (most of those that meet by chance), and longer ones in which no set has the token early enough for a
+    larger one."""
     n_rows = members.count()
-    lists = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("top"))
-    lists = staged(lists.where(f"top >= {heavy_from} and (size > 2 or size = 2 and 100 * low >= {rule.percent} * top)").select("token", "size"), "lists")
+    row = F.struct("n", *(["place"] if "place" in members.columns else [F.lit(0).cast("long").alias("place")]))
+    need = lambda s, t: f"cast(ceil({rule.percent} * ({s} + {t}) / {100 + rule.percent}) as long)"
+    lists = members.select("token", row.alias("row"), F.expr(f"row.place <= row.n - {need('row.n', 'row.n')}").alias("early")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("row").alias("a"), F.max("row").alias("z"), F.max("early").alias("early"))
+    two = f"size = 2 and 100 * a.n >= {rule.percent} * z.n and a.place <= a.n - {need('a.n', 'z.n')} and z.place <= z.n - {need('a.n', 'z.n')}"
+    lists = staged(lists.where(f"z.n >= {heavy_from} and (size > 2 and early or {two})").select("token", "size"), "lists")
     return attach(members, lists, "token", "size", n_rows)
 
 
@@ -400,7 +424,7 @@ def _candidates(members: DataFrame, classes: DataFrame, rule: Rule, heavy_from:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, ends = _sorted(pdf)
         met = np.zeros(len(pdf), bool)
-        for a, b in list_pairs(ends, pdf["part"].to_numpy(), pdf["n"].to_numpy(), Bitmaps(pdf["coarse"].tolist(), 1), rule, heavy_from):
+        for a, b in list_pairs(ends, pdf["part"].to_numpy(), pdf["n"].to_numpy(), Bitmaps(pdf["coarse"].tolist(), 1), rule, heavy_from, pdf["place"].to_numpy()):
             met[a] = met[b] = True
         return pdf.loc[met, ["token", "short", "n"]]
 

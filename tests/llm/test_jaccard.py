@@ -148,3 +148,40 @@ def test_forest_edges_join_all():
     again = Forest(8)
     again.add(a[pick], b[pick])
     assert [x.tolist() for x in (forest.find(np.arange(8)) == 0, again.find(np.arange(8)) == 0)] == [[True] * 4 + [False] * 4] * 2
+
+
+def members_of(spark, rows, rule, k=3):
+    """The members of all lists of two sets or more, as the operator makes them."""
+    docs = spark.createDataFrame(rows, "id long, text string")
+    prints = J.staged(J._prints(docs, k), "prints")
+    members = J._postings(docs, k, J._order(prints), rule).distinct()
+    return J.staged(members.join(members.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "members")
+
+
+def test_lists_go_whose_token_stands_too_late_to_be_the_first_shared(spark):
+    rng = random.Random(6)
+    common = [f"c{k}a{i}" for k in range(60) for i in range(3)]  # 60 shingles, each shared by two texts by chance
+    rows = [(k, " ".join([f"u{k}a{i}" for i in range(100)] + common[3 * (k // 2):3 * (k // 2) + 3])) for k in range(120)]
+    rows += [(1000 + k, t) for k, t in near_copies(7, groups=8) if len(t.split()) > 20]
+    rng.shuffle(rows)
+    rule = J.Rule(90)
+    members = members_of(spark, rows, rule)
+    every = {(r.token, r.short) for r in members.collect()}
+    kept = {(r.token, r.short) for r in J._sized(members, rule, 1).collect()}
+    assert kept < every
+    sized = {r.short: r.n for r in members.collect()}
+    place = {(r.token, r.short): r.place for r in members.collect()}
+    lists = {}
+    for token, short in every:
+        lists.setdefault(token, []).append(short)
+    linked = {s: set(next(J.shingle_sets([t], 3)).tolist()) for _, t in rows for s in [J._digest(next(J.shingle_sets([t], 3)))[1]]}
+    for token, some in lists.items():
+        fits = [(a, b) for a, b in itertools.combinations(some, 2) if all(place[token, x] <= rule.reach(sized[x], sized[y]) for x, y in ((a, b), (b, a)))]
+        assert not fits or all((token, x) in kept for x in some)
+        assert len(some) > 2 or fits or not kept & {(token, x) for x in some}
+    # each linked pair has a list that stays and that holds both early enough
+    for a, b in itertools.combinations(sorted(linked), 2):
+        shared = len(linked[a] & linked[b])
+        if 100 * shared >= 90 * (len(linked[a]) + len(linked[b]) - shared):
+            assert any({(t, a), (t, b)} <= kept and place[t, a] <= rule.reach(sized[a], sized[b]) and place[t, b] <= rule.reach(sized[b], sized[a])
+                       for t, some in lists.items() if a in some and b in some)
