@@ -105,13 +105,15 @@ def _spread(base: DataFrame, n_new: int, seed: int) -> DataFrame:
 
 
 def _make(df: DataFrame, base: DataFrame, others: DataFrame, label: float, k: int, seed: int, space: str = "_x",
-          combine=None) -> DataFrame:
+          combine=None, nn: DataFrame | None = None) -> DataFrame:
     """Synthetic rows: for each of base(_key, _x, _m) its _m rows, by default on the line to one of its k
     nearest rows of ``others``.  ``space`` names the array that distances are taken in; ``combine``
-    (x, drawn neighbour, all k neighbours, uniform number) makes the new array otherwise."""
+    (x, drawn neighbour, all k neighbours, uniform number) makes the new array otherwise; ``nn``: the k nearest
+    rows (``knn_join``), if they are known."""
     from loupe.operators.knn import knn_join
     base = staged(base.where(F.col("_m") > 0), "seeds")
-    nn = knn_join(base.select(KEY, space), others.select(KEY, space), k, KEY, KEY, x=space, exclude_self=True, seed=seed)
+    if nn is None:
+        nn = knn_join(base.select(KEY, space), others.select(KEY, space), k, KEY, KEY, x=space, exclude_self=True, seed=seed)
     near = nn.join(others.select(F.col(KEY).alias(f"right_{KEY}"), F.col("_x").alias("_nx")), f"right_{KEY}")
     near = near.groupBy(F.col(f"left_{KEY}").alias(KEY)).agg(F.sort_array(F.collect_list(F.struct("rank", "_nx"))).alias("_near"))
     rows = base.join(near, KEY).withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_m"))))
@@ -236,7 +238,11 @@ def smote_n(df: DataFrame, seed: int = 0, k: int = 5, key: str | None = None) ->
 def kmeans_smote(df: DataFrame, seed: int = 0, k: int = 5, clusters: int = 8, key: str | None = None) -> DataFrame:
     """O8 KMeans-SMOTE: all rows are clustered; clusters in which a smaller class has at least its share of
     all rows get its synthetic rows, the sparser (the larger the mean distance to the k nearest rows
-    of the class in the cluster) the more, made by SMOTE inside the cluster."""
+    of the class in the cluster) the more, made by SMOTE inside the cluster.  Neighbours are searched once (again
+    where keys repeat), in eight clusters at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
 
     from loupe.operators.knn import knn_join
@@ -246,25 +252,32 @@ def kmeans_smote(df: DataFrame, seed: int = 0, k: int = 5, clusters: int = 8, ke
     fitted = KMeans(k=min(clusters, max(2, n - 1)), seed=seed, featuresCol=FEATURES, predictionCol="_cl").fit(df)
     rows = staged(_x(fitted.transform(df)).select(KEY, LABEL, "_x", "_cl"), "clusters")
     held = {(r["_cl"], float(r[LABEL])): r["n"] for r in rows.groupBy("_cl", LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_rows, n_keys = rows.agg(F.count(F.lit(1)), F.count_distinct(KEY)).first()
     of_cluster = {}
     for (cl, _), m in held.items():
         of_cluster[cl] = of_cluster.get(cl, 0) + m
     out = df
     for c, n_new in need.items():
-        weight, parts = {}, {}
+        parts = {}
         for cl, total in sorted(of_cluster.items()):
             m = held.get((cl, c), 0)
             if m < 2 or m / total < sizes[c] / n:
                 continue
             parts[cl] = rows.filter((F.col(LABEL) == c) & (F.col("_cl") == cl)).select(KEY, "_x")
-            far = knn_join(parts[cl], parts[cl], min(k, m - 1), KEY, KEY, x="_x", exclude_self=True).agg(F.avg("dist")).first()[0]
-            weight[cl] = float(far or 0.0) + 1e-12
+
+        def searched(cl, c=c, parts=parts):
+            nn = staged(knn_join(parts[cl], parts[cl], min(k, held[(cl, c)] - 1), KEY, KEY, x="_x", exclude_self=True), "near")
+            return nn, float(nn.agg(F.avg("dist")).first()[0] or 0.0) + 1e-12
+
+        with ThreadPool(8) as pool:
+            near = dict(zip(parts, pool.map(inheritable_thread_target(df.sparkSession)(searched), parts)))
+        weight = {cl: far for cl, (_, far) in near.items()}
         whole, given = sum(weight.values()), 0
         for j, cl in enumerate(weight):
             share = n_new - given if j == len(weight) - 1 else round(n_new * weight[cl] / whole)
             share = min(share, n_new - given)
             given += share
-            out = out.unionByName(_make(df, _spread(parts[cl], share, seed), parts[cl], c, min(k, held[(cl, c)] - 1), seed))
+            out = out.unionByName(_make(df, _spread(parts[cl], share, seed), parts[cl], c, min(k, held[(cl, c)] - 1), seed, nn=near[cl][0] if n_keys == n_rows else None))
     return out
 
 

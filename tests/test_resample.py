@@ -119,3 +119,16 @@ def test_over_then_undersampling_keeps_synthetic_rows(data):
         assert any("#" in k for k, _, _ in out) and len({k for k, _, _ in out}) == len(out)
     with pytest.raises(ValueError):
         R.undersample("ENN", df)
+
+
+def test_kmeans_smote_searches_neighbours_once(data, monkeypatch):
+    """One search a class and cluster; the rows are those of a second search."""
+    from loupe.operators import knn
+    X, y, df = data
+    calls, search, make = [], knn.knn_join, R._make
+    monkeypatch.setattr(knn, "knn_join", lambda left, *a, **b: (calls.append(left), search(left, *a, **b))[1])
+    once = sorted((k, c, x.round(9).tolist()) for k, c, x in points(R.oversample("KMS", df, key="id")))
+    n_once = len(calls)
+    monkeypatch.setattr(R, "_make", lambda *a, nn=None, **b: make(*a, **b))
+    assert sorted((k, c, x.round(9).tolist()) for k, c, x in points(R.oversample("KMS", df, key="id"))) == once
+    assert n_once and len(calls) - n_once == 2 * n_once
