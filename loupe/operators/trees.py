@@ -11,8 +11,9 @@ and the trees so far, so nothing is rewritten between rounds and plans do not gr
   the nodes above.  A forest of at most ``NODES_MOST`` nodes is one :class:`FlatForest`.
 * AdaBoost: one grouped aggregate a round for all bags finds the best stump of every feature block.
 * Histogram boosting: gradient and Hessian histograms of the k trees of a round; of two siblings the
-  smaller is counted, the other is their parent less it.  A table of at most ``SMALL`` rows grows each
-  tree in one group, by the same rule.
+  smaller is counted, the other is their parent less it, and what a leaf adds follows from its parent's.
+  The raw scores are kept between rounds.  A table of at most ``SMALL`` rows grows each tree in one
+  group, by the same rule.
 
 Other fitted ensembles are a :class:`FlatForest`, arrays of nodes that score a batch in one pass; the plan
 does not depend on the number of members.
@@ -25,6 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -625,6 +628,17 @@ def gradient_histogram(X: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int) -
     return np.stack([np.bincount(code, weights=np.repeat(v, m), minlength=m * bins).reshape(m, bins) for v in (g, h, np.ones(len(g)))])
 
 
+def add_gradients(held: np.ndarray, X: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    """Add rows to ``held``, the histograms of some nodes; row i lies in node ``slot[i]`` of them."""
+    n, _, m, bins = held.shape
+    step = max(1, CELLS // m)
+    for lo in range(0, len(X), step):
+        some = slice(lo, lo + step)
+        code = (X[some] + np.arange(m) * bins + (slot[some] * (m * bins))[:, None]).ravel()
+        for i, v in enumerate((g, h, None)):
+            held[:, i] += np.bincount(code, weights=None if v is None else np.repeat(v[some], m), minlength=n * m * bins).reshape(n, m, bins)
+
+
 def best_gradient_split(hist: np.ndarray, least: int) -> tuple[int, int, float]:
     """(feature, bin, gain) of the largest second-order gain with ``least`` rows on each side; feature -1 if
     there is none."""
@@ -668,6 +682,11 @@ def boost_histograms(data: Binned, rounds: int = HIST_ROUNDS, rate: float = LEAR
     start = np.log(np.maximum(data.counts, 1e-12) / data.counts.sum())
     rows = data.rows.withColumn("raw", F.array(*[F.lit(float(s)) for s in start]))
     parts, recent, losses = [], Growing(k, data.edges), []  # recent: the trees that are not in ``raw`` yet
+    kept, small_table = [], data.counts.sum() <= SMALL
+
+    def step(c: int, sums: np.ndarray) -> np.ndarray:
+        """What a node of class c with these sums adds to the scores."""
+        return np.eye(k)[c] * (-rate * sums[0] / (sums[1] + 1e-12))
 
     def gradients(pdf: pd.DataFrame, forest: FlatForest, trees: list[int]) -> tuple:
         """Bins, classes, probabilities and the loss of a batch.  All trees but the round's own (``trees``, one a
@@ -708,46 +727,65 @@ def boost_histograms(data: Binned, rounds: int = HIST_ROUNDS, rate: float = LEAR
             out.setdefault(r["c"], []).append(r)
         return out, out.pop(-1)[0]["step"]
 
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Bins, classes and raw scores of a batch."""
+        return (np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(len(batch), d), batch["y"].to_numpy(),
+                batch["raw"].flatten().to_numpy().reshape(len(batch), k))
+
     def summed(forest: FlatForest, wanted: list[tuple[int, int]], trees: list[int]) -> tuple[dict, float]:
         """Histograms of the nodes (class, node), and the loss."""
+        asked = sorted({c for c, _ in wanted})
+        own = {c: [i for i, (other, _) in enumerate(wanted) if other == c] for c in asked}
+
         def part(batches):
-            held, loss = np.zeros((len(wanted), 3, d, bins)), 0.0
-            for pdf in batches:
-                if not len(pdf):
+            held, loss = {c: np.zeros((len(own[c]), 3, d, bins)) for c in asked}, 0.0
+            for batch in batches:
+                if not len(batch):
                     continue
-                X, y, P, more = gradients(pdf, forest, trees)
-                loss += more
-                at = forest.ends(X, np.array(trees), True)
-                for i, (c, node) in enumerate(wanted):
-                    mine = np.flatnonzero(at[:, c] == node)
-                    if len(mine):
-                        p = P[mine, c]
-                        held[i] += gradient_histogram(X[mine], p - (y[mine] == c), p * (1 - p), bins)
-            some = [i for i in range(len(wanted)) if held[i, 2].any()]
-            yield pd.DataFrame({"slot": [*some, -1], "hist": [*(held[i].tobytes() for i in some), np.array(loss).tobytes()]})
+                X, y, raw = arrays(batch)
+                P = _softmax(raw)
+                loss -= np.log(np.maximum(P[np.arange(len(y)), y], 1e-300)).sum()
+                ends = forest.ends(X, np.array(trees)[asked], True)
+                for c, at in zip(asked, ends.T):
+                    slot = np.full(len(forest.feature), -1)
+                    slot[[wanted[i][1] for i in own[c]]] = np.arange(len(own[c]))
+                    mine = np.flatnonzero(slot[at] >= 0)
+                    p = P[mine, c]
+                    add_gradients(held[c], X[mine], slot[at[mine]], p - (y[mine] == c), p * (1 - p))
+            found = {i: hist.tobytes() for c in asked for i, hist in zip(own[c], held[c]) if hist[2].any()}
+            yield pa.RecordBatch.from_arrays([pa.array([*found, -1], pa.int32()), pa.array([*found.values(), np.array(loss).tobytes()], pa.binary())], ["slot", "hist"])
 
         def added(pdf):
             return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "hist": [sum(np.frombuffer(b) for b in pdf["hist"]).tobytes()]})
 
-        found = rows.mapInPandas(part, "slot int, hist binary").groupBy("slot").applyInPandas(added, "slot int, hist binary").toArrow().to_pylist()
+        found = rows.mapInArrow(part, "slot int, hist binary").groupBy("slot").applyInPandas(added, "slot int, hist binary").toArrow().to_pylist()
         found = {r["slot"]: np.frombuffer(r["hist"]) for r in found}
         none = np.zeros((3, d, bins))
         return {key: found[i].reshape(3, d, bins) if i in found else none for i, key in enumerate(wanted)}, float(found[-1][0])
 
-    def rewrite(turn: int) -> None:
-        """From time to time the trees so far go into the raw scores, as a written table."""
-        nonlocal rows, recent
-        if (turn + 1) % REWRITE and turn + 1 < rounds:
+    def rescore(turn: int) -> None:
+        """The trees so far go into the raw scores: as a written table from time to time, and, of tables that are
+        not small, as a kept one after every other round."""
+        nonlocal rows, recent, kept
+        write = (turn + 1) % REWRITE == 0 or turn + 1 == rounds
+        if not write and small_table:
             return
         forest = recent.flat()
 
         def rescored(batches):
-            for pdf in batches:
-                if len(pdf):
-                    pdf["raw"] = list(np.stack(pdf["raw"].to_numpy()) + forest.scores(_batch(pdf, d)[0], True))
-                    yield pdf
-
-        rows = staged(rows.mapInPandas(rescored, rows.schema), "scores")
+            for batch in batches:
+                if len(batch):
+                    X, _, raw = arrays(batch)
+                    raw = raw + forest.scores(X, True)
+                    flat = pa.ListArray.from_arrays(np.arange(0, raw.size + 1, k, dtype=np.int32), raw.ravel())
+                    yield pa.RecordBatch.from_arrays([flat if f == "raw" else batch[f] for f in batch.schema.names], batch.schema.names)
+
+        rows = rows.mapInArrow(rescored, rows.schema)
+        rows = staged(rows, "scores") if write else rows.persist(StorageLevel.MEMORY_AND_DISK)
+        if write:
+            for df in kept:
+                df.unpersist()
+        kept = [] if write else [*kept, rows]
         parts.append(forest)
         recent = Growing(k, data.edges)
 
@@ -756,7 +794,7 @@ def boost_histograms(data: Binned, rounds: int = HIST_ROUNDS, rate: float = LEAR
         for c in range(k):
             recent.roots.append(recent.node(np.zeros(k)))
             trees.append(len(recent.roots) - 1)
-        if data.counts.sum() <= SMALL:
+        if small_table:
             found, loss = grown_in_groups(recent.flat(), trees)
             losses.append(loss / data.counts.sum())
             for c, nodes in found.items():
@@ -766,7 +804,7 @@ def boost_histograms(data: Binned, rounds: int = HIST_ROUNDS, rate: float = LEAR
                     recent.value[at] = np.eye(k)[c] * r["step"]
                     if r["feature"] != LEAF:
                         place[r["a"]], place[r["b"]] = recent.split(at, r["feature"], r["cut"], r["gain"], np.zeros(k), np.zeros(k))
-            rewrite(turn)
+            rescore(turn)
             continue
         n_leaves = [1] * k
         hists: dict[tuple[int, int], np.ndarray] = {}
@@ -777,22 +815,23 @@ def boost_histograms(data: Binned, rounds: int = HIST_ROUNDS, rate: float = LEAR
             now, loss = summed(recent.flat(), wanted, trees)
             if level == 0:
                 losses.append(loss / data.counts.sum())
+                for c, node in wanted:
+                    recent.value[node] = step(c, now[c, node][:, 0].sum(axis=1))
             for c, parent, counted, other in pairs:
-                now[c, other] = hists.pop((c, parent)) - now[c, counted]
-            hists, wanted, pairs, level = dict(now), [], [], level + 1
+                now[c, other] = hists[c, parent] - now[c, counted]
+            hists, pairs, level = now, [], level + 1
             ranked = sorted(((best_gradient_split(hist, least), key) for key, hist in now.items()), key=lambda x: (-x[0][2], x[1]))
             for (j, b, gain), (c, node) in ranked:
-                G, H, _ = now[c, node][:, 0].sum(axis=1)
-                recent.value[node] = np.eye(k)[c] * (-rate * G / (H + 1e-12))
                 if j < 0 or n_leaves[c] >= leaves:
-                    hists.pop((c, node), None)
                     continue
                 n_leaves[c] += 1
-                a, z = recent.split(node, j, b, gain, np.zeros(k), np.zeros(k))
-                small, large = (a, z) if 2 * now[c, node][2, j, :b + 1].sum() <= now[c, node][2, j].sum() else (z, a)
-                pairs.append((c, node, small, large))
-                wanted.append((c, small))
-        rewrite(turn)
+                low, high = now[c, node][:, j, :b + 1].sum(axis=1), now[c, node][:, j, b + 1:].sum(axis=1)
+                a, z = recent.split(node, j, b, gain, step(c, low), step(c, high))
+                if max(low[2], high[2]) > 2 * least - 0.5:  # one of them could be split again
+                    pairs.append((c, node, a, z) if low[2] <= high[2] else (c, node, z, a))
+            pairs = [p for p in pairs if n_leaves[p[0]] < leaves]
+            wanted = [(c, counted) for c, _, counted, _ in pairs]
+        rescore(turn)
     loss = F.expr("aggregate(transform(raw, r -> exp(r - array_max(raw))), 0D, (s, x) -> s + x)")
     losses.append(rows.agg(F.avg(F.log(loss) - (F.col("raw")[F.col("y")] - F.array_max("raw")))).first()[0])
     return joined(parts), start, losses

@@ -149,6 +149,20 @@ def test_histogram_boosting_equals_a_plain_version_and_lowers_the_loss(spark, mo
     assert np.allclose(start + forest.scores(X), raw)
 
 
+def test_boosting_passes_score_by_their_own_round_and_end_with_the_last_split(spark, monkeypatch):
+    """Trees of earlier rounds are in the kept scores, and no pass is made for nodes that stay leaves."""
+    monkeypatch.setattr(T, "SMALL", 10)
+    X, y = points(8, n=120, d=3)
+    data = T.bin_rows(frame(spark, X, y), 3, "_key", bins=T.HIST_BINS)
+    trees, searched, flat, search = [], [], T.Growing.flat, T.best_gradient_split
+    monkeypatch.setattr(T.Growing, "flat", lambda self, *a: (trees.append(len(self.roots)), flat(self, *a))[1])
+    monkeypatch.setattr(T, "best_gradient_split", lambda *a: (searched.append(a), search(*a))[1])
+    forest, start, losses = T.boost_histograms(data, rounds=4, leaves=2, least=8)
+    raw, want = plain_boosting(X, y, 3, 4, T.LEARNING_RATE, 2, 8)
+    assert np.allclose(losses, want) and np.allclose(start + forest.scores(X), raw)
+    assert max(trees) == 3 and len(searched) == 4 * 3
+
+
 @pytest.mark.parametrize("name", ["A6_hist_gradient_boosting", "A7_adaboost", "A8_bagging", "A24_balanced_random_forest", "A25_balanced_bagging", "A26_rusboost",
                                   "A27_easy_ensemble", "A30_stacked_forests"])
 def test_registered_ensembles_run_at_the_library_settings(spark, sf, name):
