@@ -16,6 +16,8 @@ from loupe.functions.split import hash_unit
 from loupe.session import staged
 
 LABEL, FEATURES, KEY = "label_idx", "features", "_key"
+#: Clusters of a class whose centres the driver holds at most.
+CENTRES_MOST = 256
 # Sampler codes.
 OVERSAMPLERS = {"NOG": "none", "RND": "random", "SME": "SMOTE", "SNC": "SMOTE-NC", "SNN": "SMOTE-N",
                 "ADA": "ADASYN", "BRD": "Borderline-SMOTE", "KMS": "KMeans-SMOTE", "SVM": "SVM-SMOTE"}
@@ -436,27 +438,31 @@ def instance_hardness(df: DataFrame, seed: int = 0, algorithm: str = "LRN", fold
 
 def cluster_centroids(df: DataFrame, seed: int = 0, key: str | None = None) -> DataFrame:
     """Each majority class replaced by the means of n_min KMeans clusters.  Centroids are
-    computed by a grouped aggregate over the assigned rows, so they stay distributed."""
+    computed by a grouped aggregate over the assigned rows, so they stay distributed.  More than
+    ``CENTRES_MOST`` clusters are found with the centres as a table (``clusters.py``)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.stat import Summarizer
+
+    from loupe.operators.clusters import cluster_means
     df = with_key(df, key)
     sizes = class_sizes(df)
     n_min = min(sizes.values())
-    out = None
-    for c, n in sizes.items():
+    large = [c for c, n in sizes.items() if n > n_min]
+    out = df.filter(~F.col(LABEL).isin(large))
+
+    def centroids(part: DataFrame, c) -> DataFrame:
+        part = part.withColumn(KEY, F.concat_ws("#", F.lit(f"centre{seed}"), c, F.col("_cl"))).withColumn(LABEL, c)
+        rest = [col for col in df.columns if col not in (FEATURES, LABEL, KEY)]
+        return part.withColumns({col: F.lit(None).cast(df.schema[col].dataType) for col in rest}).select(*df.columns)
+
+    if n_min > CENTRES_MOST and large:
+        found = cluster_means(_x(df.filter(F.col(LABEL).isin(large))).select(LABEL, F.col("_x").alias("x")), n_min, large, seed)
+        return out.unionByName(centroids(found.select(LABEL, F.col("c").alias("_cl"), F.col("x").alias(FEATURES)), F.col(LABEL)))
+    for c in large:
         cls = df.filter(F.col(LABEL) == c)
-        if n > n_min:
-            km = KMeans(k=n_min, seed=seed, featuresCol=FEATURES, predictionCol="_cl").fit(cls)
-            part = (km.transform(cls).groupBy("_cl").agg(Summarizer.mean(F.col(FEATURES)).alias(FEATURES))
-                    .withColumn(LABEL, F.lit(float(c))))
-            part = part.withColumn(KEY, F.concat_ws("#", F.lit(f"centre{seed}"), F.lit(float(c)), F.col("_cl")))
-            for col in df.columns:
-                if col not in (FEATURES, LABEL, KEY):
-                    part = part.withColumn(col, F.lit(None).cast(df.schema[col].dataType))
-            part = part.select(*df.columns)
-        else:
-            part = cls
-        out = part if out is None else out.unionByName(part)
+        km = KMeans(k=n_min, seed=seed, featuresCol=FEATURES, predictionCol="_cl").fit(cls)
+        part = km.transform(cls).groupBy("_cl").agg(Summarizer.mean(F.col(FEATURES)).alias(FEATURES))
+        out = out.unionByName(centroids(part, F.lit(float(c))))
     return out
 
 

@@ -132,3 +132,34 @@ def test_kmeans_smote_searches_neighbours_once(data, monkeypatch):
     monkeypatch.setattr(R, "_make", lambda *a, nn=None, **b: make(*a, **b))
     assert sorted((k, c, x.round(9).tolist()) for k, c, x in points(R.oversample("KMS", df, key="id"))) == once
     assert n_once and len(calls) - n_once == 2 * n_once
+
+
+def test_cluster_centroids_with_centres_as_a_table(spark, monkeypatch):
+    """Every row is nearest to its cluster's mean, equal rows count by their number, the cost is near KMeans', and
+    Spark ML's KMeans, which holds the centres on the driver, is not called."""
+    from pyspark.ml.clustering import KMeans
+
+    from loupe.operators import clusters
+    rng = np.random.default_rng(5)
+    X = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(90, 3)), rng.normal(size=(60, 3))])
+    X[:20] = X[0]  # 131 different rows of class 0
+    y = np.repeat([0, 1, 2], [150, 90, 60])
+    df = frame(spark, X, y).cache()
+
+    def cost(rows):
+        found = {c: np.array([x for _, label, x in rows if label == c]) for c in (0.0, 1.0)}
+        return sum((((X[y == c][:, None] - found[c][None]) ** 2).sum(-1)).min(axis=1).sum() for c in found)
+    plain = cost(points(R.undersample("CCS", df, key="id")))
+    monkeypatch.setattr(R, "CENTRES_MOST", 10)
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    monkeypatch.setattr(clusters, "PART", 25)
+    monkeypatch.setattr(KMeans, "fit", lambda *a: pytest.fail("KMeans on the driver"))
+    got = points(R.undersample("CCS", df, key="id"))
+    assert [sum(c == v for _, c, _ in got) for v in (0.0, 1.0, 2.0)] == [60, 60, 60] and len({k for k, _, _ in got}) == 180
+    assert cost(got) < 1.1 * plain
+    for c in (0, 1):
+        C, mine = np.array([x for _, label, x in got if label == c]), X[y == c]
+        at = ((mine[:, None] - C[None]) ** 2).sum(-1).argmin(axis=1)
+        assert np.allclose([mine[at == i].mean(axis=0) for i in range(60)], C, atol=1e-3)
+    same = points(R.undersample("CCS", frame(spark, np.repeat(X[:1], 80, axis=0), np.repeat([0, 1], [60, 20])), key="id"))
+    assert [sum(c == v for _, c, _ in same) for v in (0.0, 1.0)] == [1, 20]
