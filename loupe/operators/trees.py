@@ -5,7 +5,8 @@ member (bootstrap counts, balanced draws, boosting weights) is a function of its
 and the trees so far, so nothing is rewritten between rounds and plans do not grow.
 
 * Forests: large nodes of all members are split level by level from class-by-bin histograms that are
-  summed and searched in groups of one node; a node of at most ``FINISH`` rows is finished in one group.
+  summed and searched in groups of one node; a node of at most ``FINISH`` rows is finished in one group,
+  where nodes of few rows are searched by ordered rows.  Rows travel packed, many of a group in one row.
   Trees without a depth limit have nodes in proportion to the rows, so the subtrees of those groups are
   written as a table, and rows that are scored are dealt to them (:class:`DealtForest`); the driver holds
   the nodes above.  A forest of at most ``NODES_MOST`` nodes is one :class:`FlatForest`.
@@ -41,6 +42,10 @@ SMALL = 4096
 FINISH, NODES_MOST = 1 << 16, 1 << 17
 #: Cells of histograms that a group holds at once; rows that a group scores by a subtree.
 CELLS, SCORED = 1 << 20, 1 << 16
+#: Numbers that a group sums to the scores of its rows.
+SUMMED = 1 << 22
+#: Bits of a bin, a class and a weight of a row in the order of its node.
+BIN_BITS, CLASS_BITS, WEIGHT_BITS = 5, 10, 6
 #: A class share in the sums of written subtrees, which do not depend on the order of arrival.
 UNIT = 1 << 40
 #: Bytes of histograms that a task holds; features of a group of stump histograms.
@@ -169,6 +174,15 @@ class FlatForest:
             low = X[rows, np.where(inner, f, 0)] <= bound[at]
             at = np.where(inner, np.where(low, self.left[at], self.right[at]), at)
 
+    def end(self, X: np.ndarray, tree: int) -> np.ndarray:
+        """Node at which each binned row ends in one tree."""
+        at = np.full(len(X), self.roots[tree])
+        open_ = np.arange(len(X))
+        while len(open_ := open_[self.feature[at[open_]] != LEAF]):
+            node = at[open_]
+            at[open_] = np.where(X[open_, self.feature[node]] <= self.cut[node], self.left[node], self.right[node])
+        return at
+
     def scores(self, X: np.ndarray, binned: bool = False) -> np.ndarray:
         """Sums of the values over all trees, some trees at a time."""
         out = np.zeros((len(X), self.value.shape[1]))
@@ -267,17 +281,63 @@ def feature_subset(d: int, share: int | None, seed: int, tree: int, path: int) -
 
 def _node_splits(X: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, cols: np.ndarray, k: int, bins: int, entropy: bool) -> tuple[np.ndarray, ...]:
     """(feature, bin, gain) of the best split of each node.  Row i lies in node ``slot[i]``, rows sorted by it;
-    ``cols``: the features that each node looks at."""
+    ``cols``: the features that each node looks at.  Nodes of few rows are searched without class histograms, by
+    the same sums: they are whole numbers, so both ways give the same splits."""
     n, m = cols.shape
-    step, found = max(1, CELLS // (m * bins * k)), []
-    for lo in range(0, n, step):
-        a, b = np.searchsorted(slot, [lo, lo + step])
-        own, here = slot[a:b] - lo, min(step, n - lo)
-        code = ((own[:, None] * m + np.arange(m)) * bins + X[np.arange(a, b)[:, None], cols[slot[a:b]]]) * k + y[a:b, None]
-        hist = np.bincount(code.ravel(), weights=np.repeat(w[a:b], m), minlength=here * m * bins * k).reshape(here, m, bins, k)
-        found.append(best_class_splits(hist, entropy)[:3])
-    j, cut, gain = (np.concatenate(x) for x in zip(*found))
-    return np.where(j >= 0, cols[np.arange(n), np.maximum(j, 0)], -1), cut, gain
+    size = np.bincount(slot, minlength=n)
+    by_order = not entropy and k <= 1 << CLASS_BITS and bins <= 1 << BIN_BITS and len(w) > 0 and w.max() < 1 << WEIGHT_BITS and (w == np.floor(w)).all()
+    few = size <= (bins * k // 2 if by_order else -1)
+    feature, cut, gain = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
+    for mine, search, cells in ((few, _splits_by_order, 8 * m * bins), (~few, _splits_by_histogram, m * bins * k)):
+        nodes = np.flatnonzero(mine)
+        step, first = max(1, CELLS // cells), np.concatenate([[0], np.cumsum(size)])
+        for lo in range(0, len(nodes), step):
+            some = nodes[lo:lo + step]
+            own = np.repeat(np.arange(len(some)), size[some])
+            rows = np.arange(len(own)) + np.repeat(first[some] - np.cumsum(size[some]) + size[some], size[some])
+            values = X[rows[:, None], cols[some][own]]
+            j, cut[some], gain[some] = search(values, y[rows], w[rows], own, len(some), k, bins, entropy)
+            feature[some] = np.where(j >= 0, cols[some, np.maximum(j, 0)], -1)
+    return feature, cut, gain
+
+
+def _splits_by_histogram(values: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, n: int, k: int, bins: int, entropy: bool) -> tuple[np.ndarray, ...]:
+    m = values.shape[1]
+    code = ((slot[:, None] * m + np.arange(m)) * bins + values) * k + y[:, None]
+    hist = np.bincount(code.ravel(), weights=np.repeat(w, m), minlength=n * m * bins * k).reshape(n, m, bins, k)
+    return best_class_splits(hist, entropy)[:3]
+
+
+def _splits_by_order(values: np.ndarray, y: np.ndarray, w: np.ndarray, slot: np.ndarray, n: int, k: int, bins: int, entropy: bool) -> tuple[np.ndarray, ...]:
+    """``best_class_splits`` by Gini impurity.  Rows of a node and class are ordered by value, so the sum of the
+    squared class weights up to a bin is a sum over rows: one of weight w after L of its class adds w (2 L + w)."""
+    m, low = values.shape[1], BIN_BITS + WEIGHT_BITS
+    key = ((slot << CLASS_BITS | y) << low | w.astype(np.int64)) + (values.T.astype(np.int64) << WEIGHT_BITS)
+    key.sort(axis=1)  # a row a feature; node and class of a place are the same in all
+    group = key[0] >> low
+    own = group >> CLASS_BITS
+    weight = (key & (1 << WEIGHT_BITS) - 1).astype(float)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    size = np.diff(starts, append=len(group))
+    of_class = np.add.reduceat(weight[0], starts)  # of a node and class
+    before = np.repeat(np.cumsum(of_class) - of_class, size)
+    square = weight * (2 * (np.cumsum(weight, axis=1) - before) - weight)
+    code = ((own * m + np.arange(m)[:, None]) * bins + (key >> WEIGHT_BITS & (1 << BIN_BITS) - 1)).ravel()
+    n_left, left, right = (np.cumsum(np.bincount(code, weights=x.ravel(), minlength=n * m * bins).reshape(n, m, bins), axis=2)[:, :, :-1]
+                           for x in (weight, square, square - 2 * weight * np.repeat(of_class, size)))
+    node = own[starts]
+    total, whole = np.bincount(node, weights=of_class, minlength=n), np.bincount(node, weights=of_class * of_class, minlength=n)
+    n_right, right = total[:, None, None] - n_left, right + whole[:, None, None]
+    inner = (n_left > 1e-12) & (n_right > 1e-12)
+    gain = np.divide(left, n_left, out=np.zeros_like(left), where=inner) + np.divide(right, n_right, out=np.zeros_like(left), where=inner) - (whole / np.maximum(total, 1e-300))[:, None, None]
+    gain = np.where(inner, gain, -1.0).reshape(n, -1)
+    if not gain.shape[1]:
+        return np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
+    at = gain.argmax(axis=1)
+    best = gain[np.arange(n), at]
+    j, b = np.divmod(at, bins - 1)
+    good = best > 1e-9 * np.maximum(total, 1e-300)
+    return np.where(good, j, -1), np.where(good, b, 0), np.where(good, best, 0.0)
 
 
 def local_tree(X: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, bins: int, share: int | None, seed: int, tree: int, path: int, depth: int,
@@ -339,33 +399,73 @@ class DealtForest:
         rows of one subtree are split into parts by hash."""
         top, edges, k, n_trees = self.top, self.edges, self.k, len(self.top.roots)
         n_parts = max(1, -(-rows.count() // SCORED))
+        n_sums = n_parts * max(1, SCORED * n_trees * (k + 1) // SUMMED)
+
+        def place(ids, n):
+            return np.minimum(uniforms(ids.view(np.uint64), 0) * n, n - 1).astype(np.int64)
 
         def deal(batches):
+            packs = Packs("code", "ids", "bins")
             for pdf in batches:
                 if not len(pdf):
                     continue
-                X = binned_rows(np.stack(pdf["x"].to_numpy()), edges)
-                ids, data = pdf["id"].to_numpy(), np.array([r.tobytes() for r in X], object)
+                X, ids = binned_rows(np.stack(pdf["x"].to_numpy()), edges), pdf["id"].to_numpy(np.int64)
+                part = place(ids, n_parts)
                 for t in range(n_trees):
-                    yield pd.DataFrame({"node": top.ends(X, np.array([t]), True)[:, 0], "id": ids, "bins": data})
+                    yield from packs.add(top.end(X, t) * n_parts + part, ids, X)
+            yield packs.taken()
 
         def score(key, asked, part):
             if not len(asked) or not len(part):
-                return pd.DataFrame({"id": pd.Series([], dtype="int64"), "v": pd.Series([], dtype=object)})
-            X = np.frombuffer(b"".join(asked["bins"]), np.uint8).reshape(len(asked), len(edges))
+                return pd.DataFrame({"bucket": pd.Series([], dtype="int64"), "ids": [], "v": []})
+            ids, X = np.frombuffer(b"".join(asked["ids"]), np.int64), np.frombuffer(b"".join(asked["bins"]), np.uint8).reshape(-1, len(edges))
             feature, cut, left = (np.frombuffer(part[c].iloc[0], t) for c, t in (("feature", np.int16), ("cut", np.uint8), ("left", np.int32)))
             at, open_ = np.zeros(len(X), np.int64), np.arange(len(X))
             while len(open_ := open_[feature[at[open_]] != LEAF]):
                 node = at[open_]
                 at[open_] = left[node] + (X[open_, feature[node]] > cut[node])
             shares = np.frombuffer(part["value"].iloc[0]).reshape(-1, k)[left[at]]
-            return pd.DataFrame({"id": asked["id"], "v": list(np.rint(shares * UNIT).astype(np.int64))})
+            packs = Packs("bucket", "ids", "v")
+            packs.hold(place(ids, n_sums), ids, np.rint(shares * UNIT).astype(np.int64))
+            return packs.taken()
+
+        def sums(pdf):
+            ids, v = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("ids", "v"))
+            order = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+            total = np.add.reduceat(v.reshape(-1, k)[order], starts, axis=0)
+            return pd.DataFrame({"id": ids[order][starts], "p": list(total / float(UNIT * n_trees))})
+
+        dealt = rows.mapInPandas(deal, "code long, ids binary, bins binary")
+        held = self.parts.select(F.explode(F.sequence(F.col("node") * n_parts, F.col("node") * n_parts + (n_parts - 1))).alias("code"), "feature", "cut", "left", "value")
+        found = dealt.groupBy("code").cogroup(held.groupBy("code")).applyInPandas(score, "bucket long, ids binary, v binary")
+        return found.groupBy("bucket").applyInPandas(sums, "id long, p array<double>")
+
 
-        dealt = rows.mapInPandas(deal, "node long, id long, bins binary").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int"))
-        held = self.parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-        found = dealt.groupBy("node", "part").cogroup(held.groupBy("node", "part")).applyInPandas(score, "id long, v array<long>")
-        sums = F.array(*[F.sum(F.col("v")[c]) / F.lit(float(UNIT * n_trees)) for c in range(k)])
-        return found.groupBy("id").agg(sums.alias("p"))
+class Packs:
+    """Columns of rows that go to one group, as bytes: a row a group and some tens of megabytes."""
+
+    def __init__(self, key: str, *columns: str):
+        self.names, self.held, self.size = (key, *columns), {}, 0
+
+    def hold(self, key: np.ndarray, *columns: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        key, columns = key[order], [x[order] for x in columns]
+        cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            self.held.setdefault(int(key[lo]), []).append([x[lo:hi].tobytes() for x in columns])
+        self.size += sum(x.nbytes for x in columns)
+
+    def add(self, key: np.ndarray, *columns: np.ndarray):
+        """Hold the rows; yields a table if there is much."""
+        self.hold(key, *columns)
+        if self.size > HELD >> 2:
+            yield self.taken()
+
+    def taken(self) -> pd.DataFrame:
+        out = [(key, *map(b"".join, zip(*parts))) for key, parts in self.held.items()]
+        self.held, self.size = {}, 0
+        return pd.DataFrame(out, columns=self.names)
 
 
 def binned_rows(X: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -456,10 +556,11 @@ def _split_level(data: Binned, forest: FlatForest, open_: dict, bags: Bags, shar
                 X, y, h = _batch(pdf, d)
                 for tree, mine in by_tree.items():
                     w = bags.draw(h, y, tree)
-                    at = forest.ends(X, np.array([tree]), True)[:, 0]
                     rows = np.flatnonzero(w > 0)
-                    rows = rows[np.argsort(at[rows], kind="stable")]
-                    for n, lo, hi in zip(mine, *(np.searchsorted(at[rows], mine, side) for side in ("left", "right"))):
+                    at = forest.end(X[rows], tree)
+                    order = np.argsort(at, kind="stable")
+                    rows, at = rows[order], at[order]
+                    for n, lo, hi in zip(mine, *(np.searchsorted(at, mine, side) for side in ("left", "right"))):
                         if hi > lo:
                             some = rows[lo:hi]
                             found = class_histogram(X[np.ix_(some, cols[n])], y[some], w[some], k, bins)
@@ -489,14 +590,16 @@ def _finish(data: Binned, grown: Growing, small: dict, bags: Bags, share: int |
     is_open[list(small)] = True
 
     def deal(batches):
+        packs = Packs("node", "y", "w", "bins")
         for pdf in batches:
             X, y, h = _batch(pdf, d)
             for tree in trees:
                 w = bags.draw(h, y, tree)
                 rows = np.flatnonzero(w > 0)
-                at = forest.ends(X[rows], np.array([tree]), True)[:, 0]
+                at = forest.end(X[rows], tree)
                 rows, at = rows[is_open[at]], at[is_open[at]]
-                yield pd.DataFrame({"node": at, "h": pdf["h"].to_numpy()[rows], "y": y[rows], "w": w[rows], "bins": pdf["bins"].to_numpy()[rows]})
+                yield from packs.add(at, y[rows].astype(np.int32), w[rows].astype(np.uint8), X[rows])
+        yield packs.taken()
 
     def row(node, feature, cut, left, gain, weights):
         """A row of the table; leaves are numbered."""
@@ -509,17 +612,16 @@ def _finish(data: Binned, grown: Growing, small: dict, bags: Bags, share: int |
 
     def subtree(pdf):
         n = int(pdf["node"].iloc[0])
-        pdf = pdf.sort_values(["h", "y", "bins"], kind="stable")  # sums do not depend on the order of arrival
-        X, y, _ = _batch(pdf, d)
-        tree, path, depth = small[n]
-        return pd.DataFrame([row(n, *local_tree(X, y, pdf["w"].to_numpy(), k, BINS, share, seed, tree, path, depth, entropy))])
+        y, w, X = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("y", np.int32), ("w", np.uint8), ("bins", np.uint8)))
+        tree, path, depth = small[n]  # weights are whole numbers, so sums do not depend on the order of arrival
+        return pd.DataFrame([row(n, *local_tree(X.reshape(-1, d), y.astype(np.int64), w.astype(float), k, BINS, share, seed, tree, path, depth, entropy))])
 
     ends = [i for i in np.flatnonzero(forest.feature == LEAF) if not is_open[i]]
     one = np.zeros(1, np.int64)
     above = [row(int(i), one + LEAF, one, one, one.astype(float), np.asarray(grown.value[i], float)[None]) for i in ends]
     out = data.rows.sparkSession.createDataFrame([tuple(r.values()) for r in above], schema)
     if small:
-        out = out.unionByName(data.rows.mapInPandas(deal, "node long, h long, y int, w double, bins binary").groupBy("node").applyInPandas(subtree, schema))
+        out = out.unionByName(data.rows.mapInPandas(deal, "node long, y binary, w binary, bins binary").groupBy("node").applyInPandas(subtree, schema))
     return staged(out, "subtrees")
 
 

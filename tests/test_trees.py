@@ -216,3 +216,42 @@ def test_random_forest_is_grown_by_levels_and_learns(spark, criterion):
     got = m.transform(frame(spark, X, y)).collect()
     assert len(got) == len(y) and sum(r.prediction == r.label_idx for r in got) > 0.9 * len(y)
     assert all(sum(r.probability) == pytest.approx(1) for r in got)
+
+
+@pytest.mark.parametrize("share", [None, 2])
+def test_nodes_of_few_rows_are_searched_without_class_histograms(monkeypatch, share):
+    """Before, every node had a histogram of all bins and classes, most of them for a handful of rows."""
+    rng = np.random.default_rng(3)
+    X, y = rng.integers(0, 32, (900, 5)).astype(np.uint8), rng.integers(0, 4, 900)
+    X[:200] = X[0]  # rows that no feature parts
+    X[:, 4] = 31
+    w = rng.poisson(1.0, 900).astype(float)
+    X, y, w = X[w > 0], y[w > 0], w[w > 0]
+    search, searched = T.best_class_splits, []
+    monkeypatch.setattr(T, "best_class_splits", lambda hist, entropy=False: searched.append(len(hist)) or search(hist, entropy))
+    grow = lambda: T.local_tree(X, y, w, 4, 32, share, 5, 1, 1, 30)
+    got, few = grow(), sum(searched)
+    monkeypatch.setattr(T, "BIN_BITS", 0)  # all by histograms
+    want, many = grow(), sum(searched) - few
+    assert all((a == b).all() for a, b in zip(got, want)) and len(want[0]) > 300
+    assert 0 < few < many / 10
+    halves = T.local_tree(X, y, w / 2, 4, 32, share, 5, 1, 1, 30)  # no whole numbers: by histograms
+    assert (halves[0] == want[0]).all()
+
+
+def test_one_class_in_a_few_rows_of_one_bin_is_no_split():
+    for bins in (1, 32):
+        j, cut, gain = T._splits_by_order(np.zeros((3, 2), np.uint8), np.array([0, 1, 1]), np.array([1.0, 2.0, 1.0]), np.array([0, 0, 0]), 1, 2, bins, False)
+        assert j.tolist() == [-1] and cut.tolist() == [0] and gain.tolist() == [0.0]
+
+
+def test_packs_hold_all_rows_of_a_group(monkeypatch):
+    monkeypatch.setattr(T, "HELD", 400)
+    packs, rng, made, want = T.Packs("key", "a", "b"), np.random.default_rng(0), [], []
+    for n in (0, 7, 60, 1):
+        key, a, b = rng.integers(0, 3, n), rng.integers(0, 99, n), rng.integers(0, 255, (n, 2)).astype(np.uint8)
+        want += [(int(k), int(x), bytes(z)) for k, x, z in zip(key, a, b)]
+        made += packs.add(key, a, b)
+    made.append(packs.taken())
+    got = [(r.key, int(x), bytes(z)) for t in made for r in t.itertuples() for x, z in zip(np.frombuffer(r.a, np.int64), np.frombuffer(r.b, np.uint8).reshape(-1, 2))]
+    assert sorted(got) == sorted(want) and len(made) > 1 and not len(packs.taken())
